@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ _CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
 _ESCAPED = re.compile(r"<\\(\\*)\|(im_start|im_end)\|>")
 _ROLE = {"\\": "\\\\", "\n": "\\n"}
 
+#: Rows of a batch that are encoded before they are handed on.
+ENCODED_AT_ONCE = 500
 FORMATTED = "conv_id long, turn_index long, ids array<int>, start long, loss_from long, loss_to long"
 
 
@@ -61,6 +64,10 @@ def load_tokenizer(path: str):
     return _LOADED[path]
 
 
+def _ids(text: str, tokenizer) -> list[int]:
+    return tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def reserved(tokenizer) -> tuple[int, int, int]:
     """Ids of START, SEP and END, the first three after the vocabulary."""
     n = tokenizer.get_vocab_size()
@@ -73,7 +80,7 @@ def format_turns(turns: DataFrame, tokenizer_path: str, loss_role: str = "assist
     turns: conv_id, turn, role, text; other columns are ignored. start is the position of the
     turn's first id in its conversation; loss_from and loss_to bound the ids under the loss mask
     (equal: none). Null roles and texts are empty; rows of one conversation with the same turn are
-    ordered by role and text, nulls first; rows without conv_id form one conversation of id null.
+    ordered by role and a hash of the text; rows without conv_id form one conversation of id null.
     No turns: no rows. Texts are encoded where they lie; after that one shuffle brings together the
     ids of a conversation, which are then read as a stream, turn by turn, and never gathered.
     """
@@ -82,18 +89,18 @@ def format_turns(turns: DataFrame, tokenizer_path: str, loss_role: str = "assist
         t = load_tokenizer(tokenizer_path)
         begin, sep, end = reserved(t)
         for b in batches:
-            roles = [x.ids for x in t.encode_batch([escape_role(x) for x in b.role], add_special_tokens=False)]
-            texts = [x.ids for x in t.encode_batch([escape(x) for x in b.text], add_special_tokens=False)]
-            yield pd.DataFrame({
-                "conv_id": b.conv_id, "turn": b.turn, "role": b.role, "text_key": b.text,
-                "ids": [[begin, *r, sep, *x, end] for r, x in zip(roles, texts)],
-                "n_role": [len(r) for r in roles],
-            })
+            for at in range(0, len(b), ENCODED_AT_ONCE):
+                part = b.iloc[at : at + ENCODED_AT_ONCE]
+                roles = [_ids(x, t) for x in map(escape_role, part.role)]
+                yield pd.DataFrame({
+                    "conv_id": part.conv_id, "turn": part.turn, "role": part.role, "text_key": part.text_key,
+                    "ids": [np.array([begin, *r, sep, *_ids(escape(x), t), end], np.int32) for r, x in zip(roles, part.text)],
+                    "n_role": [len(r) for r in roles],
+                })
 
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded = clean.mapInPandas(encode, "conv_id long, turn long, role string, text_key string, ids array<int>, n_role int")
     # The text itself need not travel: its hash orders repeated turns alike on every run.
-    encoded = encoded.withColumn("text_key", F.xxhash64("text_key"))
+    encoded = clean.withColumn("text_key", F.xxhash64("text")).mapInPandas(encode, "conv_id long, turn long, role string, text_key long, ids array<int>, n_role int")
     by = encoded.repartition(partitions, "conv_id") if partitions else encoded.repartition("conv_id")
     ordered = by.sortWithinPartitions("conv_id", "turn", "role", "text_key")
 
@@ -119,24 +126,25 @@ def decode(ids: list[int], tokenizer) -> str:
     return tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def read_turns(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Turns read back from format_turns: FORMATTED's keys with role, text, masked text and rendered text.
+def parse_turn(ids: list[int], start: int, loss_from: int, loss_to: int, tokenizer) -> tuple[str, str, str, str]:
+    """(role, text, text under the loss mask, rendered turn), the first three unescaped, from a turn's ids."""
+    begin, sep, end = reserved(tokenizer)
+    cut = ids.index(sep)
+    if ids[0] != begin or ids[-1] != end or max(ids[1:cut] + ids[cut + 1 : -1], default=0) >= begin:
+        raise ValueError("not a formatted turn")
+    role, text = decode(ids[1:cut], tokenizer), decode(ids[cut + 1 : -1], tokenizer)
+    lo, hi = loss_from - start, loss_to - start
+    loss = text if (lo, hi) == (cut + 1, len(ids) - 1) else decode(ids[lo:hi], tokenizer)
+    return unescape_role(role), unescape(text), unescape(loss), f"{CONTROL[0]}{role}\n{text}{CONTROL[1]}\n"
 
-    loss_text is what stands under the loss mask, unescaped (null where the mask is empty and none was meant).
-    """
+
+def read_turns(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Turns read back from format_turns: role, text, loss_text (what stands under the mask) and rendered by turn."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = load_tokenizer(tokenizer_path)
-        begin, sep, end = reserved(t)
         for b in batches:
-            rows = []
-            for ids, start, lo, hi in zip(b.ids, b.start, b.loss_from, b.loss_to):
-                ids = list(map(int, ids))
-                if ids[0] != begin or ids[-1] != end or any(x >= begin for x in ids[1 : ids.index(sep)]):
-                    raise ValueError("not a formatted turn")
-                cut = ids.index(sep)
-                role, text, loss = (decode(x, t) for x in (ids[1:cut], ids[cut + 1 : -1], ids[lo - start : hi - start]))
-                rows.append((unescape_role(role), unescape(text), unescape(loss), f"{CONTROL[0]}{role}\n{text}{CONTROL[1]}\n"))
+            rows = [parse_turn(list(map(int, ids)), *x, t) for ids, *x in zip(b.ids, b.start, b.loss_from, b.loss_to)]
             yield pd.DataFrame({"conv_id": b.conv_id, "turn_index": b.turn_index} | {k: [r[i] for r in rows] for i, k in enumerate(("role", "text", "loss_text", "rendered"))})
 
     return formatted.mapInPandas(read, "conv_id long, turn_index long, role string, text string, loss_text string, rendered string")
@@ -145,31 +153,37 @@ def read_turns(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digest_turns(turns: DataFrame) -> DataFrame:
-    """One row per conversation (DIGEST) from read_turns, whose order within partitions it relies on."""
+def digest_turns(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
+    """One row per conversation (DIGEST), read back from format_turns, on whose order within partitions it relies.
+
+    Turns are decoded and hashed one after another: a conversation of any length is never gathered.
+    """
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = load_tokenizer(tokenizer_path)
         names = [x.split()[0] for x in DIGEST.split(", ")]
+        kinds = [pa.string() if "sha256" in x else pa.int64() for x in names]
         open_: list | None = None
-
-        def close(x: list) -> tuple:
-            return (x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5])
-
+        close = lambda x: (x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5])
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
         for b in batches:
             done = []
-            for c, i, role, text, loss, rendered in zip(b.conv_id, b.turn_index, b.role, b.text, b.loss_text, b.rendered):
-                if i == 0:
+            column = {n: b.column(n) for n in ("conv_id", "turn_index", "ids", "start", "loss_from", "loss_to")}
+            for i in range(b.num_rows):
+                conv_id, turn_index, ids, start, lo, hi = (c[i].as_py() for c in column.values())
+                role, text, loss, rendered = parse_turn(ids, start, lo, hi, t)
+                if turn_index == 0:
                     if open_:
                         done.append(close(open_))
-                    open_ = [None if pd.isna(c) else int(c), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    open_ = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 open_[1] += 1
                 open_[2].update(f"{role}\n{text}\n".encode())
                 open_[3] += len(loss)
                 open_[4].update(loss.encode())
                 open_[5] += len(rendered)
             if done:
-                yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+                yield as_batch(done)
         if open_:
-            yield pd.DataFrame([close(open_)], columns=names).astype({"conv_id": "Int64"})
+            yield as_batch([close(open_)])
 
-    return turns.mapInPandas(digest, DIGEST)
+    return formatted.mapInArrow(digest, DIGEST)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, license, scratch, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,7 +36,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"), F.lit(PROBE).alias("text"))
     path = tokenizer_path("byte_bpe_50k.json")
-    return chat.digest_turns(chat.read_turns(chat.format_turns(turns.union(probe), path), path))
+    return chat.digest_turns(chat.format_turns(turns.union(probe), path), path)
 
 
 ORACLES["op1_chat_formatting"] = r"""
@@ -54,3 +54,67 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(safe_role) + length(safe) + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id
 """
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license notices in every document."""
+    return license.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
+
+
+def _op4_oracle() -> str:
+    word = license.WORD
+    a_z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    places = " || ".join(
+        f"list_transform(list_filter(range(len(w)), lambda i: {' AND '.join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(phrase.split()))}), lambda i: {{'at': i, 'label': '{label}'}})" for phrase, label in license.PHRASES.items()
+    )
+    shares = ", ".join(f"{{'label': '{label}', 'share': len(list_intersect({listed(ws)}, b)) / {float(len(ws))}}}" for label, ws in license._vocabulary(license.TEMPLATES).items())
+    return f"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), {a_z}) AS t FROM documents),
+ws AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM low),
+base AS (SELECT doc_id, t, len(w) AS n, {places} AS p FROM ws),
+blocks AS (SELECT doc_id, n, p, list_filter(flatten(list_transform(list_transform(string_split(t, chr(10)), lambda x: list_distinct(regexp_extract_all(x, '{word}'))), lambda b: [{shares}])), lambda x: x.share >= 0.8 - 1e-9) AS f FROM base)
+SELECT doc_id, n AS n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label) || list_transform(f, lambda x: x.label))), ',') AS labels,
+  CAST(CASE WHEN len(p) > 0 THEN 1 ELSE coalesce(list_max(list_transform(f, lambda x: x.share)), 0) END AS DOUBLE) AS score
+FROM blocks
+"""
+
+
+ORACLES["op4_license_scan"] = _op4_oracle()
+
+
+@query
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in ZIP packages, read back from them by range."""
+    packages = scratch.keep(warc.write_packages(warc.with_revisits(table(spark, sf_dir, "pages"))), "packages")
+    return warc.read_packages(packages, payloads=False).drop("url", "payload")
+
+
+ORACLES["op2_warc_packages"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@query
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every fiftieth vector with all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+ORACLES["op6_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(len(q.e)), lambda i: q.e[i + 1] * c.e[i + 1])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
