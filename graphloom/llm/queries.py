@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license, scratch, topk, warc
+from . import chat, license, scratch, substring, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -118,3 +118,21 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that start elsewhere, too."""
+    return substring.drop_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 34, 0))) AS s FROM d),
+h AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 35], ' ') AS t FROM p),
+r AS (SELECT doc_id, s, count(*) OVER (PARTITION BY t) AS n FROM h),
+g AS (SELECT DISTINCT doc_id, s + o AS i FROM (SELECT doc_id, s FROM r WHERE n > 1), range(35) q(o)),
+x AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END AS kept FROM d LEFT JOIN x ON x.doc_id = d.doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -35,22 +37,24 @@ def _powers(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(int(_ODD), -1, 2**64)
 
 
-def words_of(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each text: (hash of each word, number of words by text, starts and ends in UTF-8).
+def words_of(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of each text: (hash of each word in order, number of words of each text).
 
-    Starts and ends count bytes from the start of their own text. lower: A-Z count as a-z. A null text has no word.
+    lower: A-Z count as a-z. A null text has no word.
     """
-    raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-    size = np.array([len(r) for r in raw], np.int64)
-    first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    blank = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(end) < len(start):
-        end = np.append(end, len(data))
-    owner = np.searchsorted(first, start, side="right") - 1
-    count = np.bincount(owner, minlength=len(raw)).astype(np.int64)
+    raw = pa.compute.fill_null(texts.cast(pa.large_string()).cast(pa.large_binary()), b"")
+    _, offsets, body = raw.buffers()
+    first = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(body, np.uint8)[first[0] : first[-1]] if body is not None and first[-1] > first[0] else np.empty(0, np.uint8)
+    first = first - first[0]
+    word = ~_SPACE[data]
+    before = np.concatenate([[False], word])
+    before[first] = False
+    after = np.append(word, False)
+    start = np.flatnonzero(word & ~before[:-1])
+    after[first] = False
+    end = np.flatnonzero(word & ~after[1:]) + 1
+    count = np.bincount(np.searchsorted(first, start, side="right") - 1, minlength=len(raw)).astype(np.int64)[: len(raw)]
     out = np.empty(len(start), np.uint64)
     # In slices of words: the sums of a slice need eight bytes for each byte of text.
     at = 0
@@ -64,7 +68,7 @@ def words_of(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarr
         back = _powers(_INVERSE, hi - lo)
         out[at:stop] = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * _ODD)
         at = stop
-    return out, count, start - first[owner], end - first[owner]
+    return out, count
 
 
 def runs_of(words: np.ndarray, k: int) -> np.ndarray:
