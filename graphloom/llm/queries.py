@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, epsgrid, license, ngram_join, scratch, substring, topk, warc
+from . import chat, epsgrid, license, ngram_join, scratch, substring, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -174,3 +174,12 @@ n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
 SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN n ON n.a = node
 """
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a model fitted outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
