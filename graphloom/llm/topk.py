@@ -171,7 +171,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float =
             yield from flush()
 
     # Pairs of blocks: each candidate block goes to every group of queries, of which there are few.
-    pairs = blocks.withColumn("lane", F.pmod(F.col("number"), F.lit(lanes))).withColumn("q_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    pairs = blocks.withColumn("lane", F.pmod(F.xxhash64("number"), F.lit(lanes))).withColumn("q_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     pairs = pairs.join(asked, "q_number")
     ordered = pairs.repartition("q_number", "lane").sortWithinPartitions("q_number", "lane", F.col("longest").desc())
     found = ordered.select("q_number", "q_ids", "q_data", "ids", "data", "longest").mapInArrow(meet, "query_id long, vec_id long, score long")
