@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, epsgrid, license, ngram_join, scratch, substring, topk, toxicity, warc
+from . import chat, epsgrid, license, ngram_join, packing, scratch, sentencepiece_viterbi, substring, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -183,3 +183,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the digest of the text read back from them."""
+    return sentencepiece_viterbi.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of up to 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
