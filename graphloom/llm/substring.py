@@ -117,36 +117,45 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
     return full.union(parts).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: bool = False) -> DataFrame:
     """docs' id with n_words, n_removed and kept: the words outside repeated windows, joined by one space.
 
     Every occurrence of a repeated window goes, the first included. digest: kept_sha256 (lower-case
-    hex of kept in UTF-8) in place of kept. Rows stay one for one, repeats included (which then repeat
-    each other). Null and empty texts: no words, kept empty. Other columns are left out.
+    hex of kept in UTF-8) in place of kept. keep: all columns of docs, the text replaced by kept where
+    a word went and left as it is elsewhere, with n_words and n_removed. Rows stay one for one, repeats
+    included (which then repeat each other). Null and empty texts: no words, kept empty (with keep:
+    unchanged). Columns named n_words or n_removed are replaced.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    others = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")] if keep else [id_col]
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct(*others).alias("others"), text.alias("text"), F.xxhash64(id_col, text).alias("row"))
     spans = repeated_spans(keyed, length)
-    kind = dict(keyed.dtypes)["id"]
-    last = "kept_sha256" if digest else "kept"
+    last = "kept" if keep or not digest else "kept_sha256"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
             lists = b.column(2)
             for i, text in enumerate(b.column(1).cast(pa.binary())):
-                words = (text.as_py() or b"").split()
+                raw = text.as_py()
+                words = (raw or b"").split()
                 n = len(words)
                 if lists[i].is_valid:
-                    keep = np.zeros(n + 1, np.int64)
+                    cover = np.zeros(n + 1, np.int64)
                     spans = lists[i].values
-                    np.add.at(keep, spans.field("lo").to_numpy(), 1)
-                    np.add.at(keep, spans.field("hi").to_numpy(), -1)
-                    words = [words[j] for j in np.flatnonzero(np.cumsum(keep[:n]) == 0)]
-                body = b" ".join(words)
+                    np.add.at(cover, spans.field("lo").to_numpy(), 1)
+                    np.add.at(cover, spans.field("hi").to_numpy(), -1)
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(cover[:n]) == 0)]
                 n_words.append(n)
                 n_removed.append(n - len(words))
-                kept.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", last])
-
-    joined = keyed.join(spans, "row", "left").select("id", "text", "spans")
-    return joined.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, {last} string").withColumnRenamed("id", id_col)
+                body = raw if keep and n == len(words) else b" ".join(words)
+                kept.append(body if body is None or last == "kept" else hashlib.sha256(body).hexdigest())
+            final = pa.array(kept, pa.binary()).cast(pa.string()) if last == "kept" else pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), final], names=["others", "n_words", "n_removed", last])
+
+    joined = keyed.join(spans, "row", "left").select("others", "text", "spans")
+    made = joined.mapInArrow(cut, f"others {dict(keyed.dtypes)['others']}, n_words long, n_removed long, {last} string")
+    if not keep:
+        return made.select("others.*", "n_words", "n_removed", last)
+    order = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    return made.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"others.`{c}`").alias(c) for c in order], "n_words", "n_removed")
