@@ -208,7 +208,7 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 400) -> tup
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents outside the held-out fifth (crc32 of the id's digits, mod 5, is 0).
 
     The letter counts cover all documents. The classifier is fitted on at most about max_rows labelled
@@ -233,35 +233,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
 
     sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string"), "__toxic")
     rows = sample.mapInArrow(restore, "toxic int, key long, words string").toArrow()
-    bags, y, met = [], [], set()
-    for toxic, key, words in zip(*(rows.column(c).to_pylist() for c in ("toxic", "key", "words"))):
-        if (key, toxic) not in met:
-            met.add((key, toxic))
-            parts = words.split(" ") if words else []
-            bags.append(Counter(dict(zip(parts[::2], map(int, parts[1::2])))))
-            y.append(toxic)
-    y = np.array(y, float)
+    # The words stay packed in Arrow; a bag of words lives no longer than it is looked at.
+    first: dict[tuple, int] = {}
+    for i, key in enumerate(zip(rows.column("key").to_pylist(), rows.column("toxic").to_pylist())):
+        first.setdefault(key, i)
+    packed = rows.column("words").take(pa.array(list(first.values()), pa.int64()))
+    y = np.array([toxic for _, toxic in first], float)
     bad, good = int(y.sum()), int(len(y) - y.sum())
     if not bad or not good:
         return Model({}, np.zeros(0), math.log((bad + 0.5) / (good + 0.5)) if bad + good else -3.0, counts)
-    per = [sum(sum(b.values()) for b, t in zip(bags, y) if t == c) for c in (0, 1)]
-    in_bad, n_bad, n_good = Counter(), Counter(), Counter()
-    for b, t in zip(bags, y):
-        if t:
-            f = features(b)
-            in_bad.update(f.keys())
-            n_bad.update(f)
-    may = {f for f, n in in_bad.items() if n >= 3}
-    for b, t in zip(bags, y):
-        if not t:
-            n_good.update({f: n for f, n in features(b).items() if f in may})
+
+    def bag(i: int) -> Counter:
+        parts = packed[i].as_py().split(" ")
+        return Counter(dict(zip(parts[::2], map(int, parts[1::2])))) if len(parts) > 1 else Counter()
+
+    in_bad: Counter = Counter()
+    for i in np.flatnonzero(y == 1):
+        in_bad.update(features(bag(i)).keys())
+    in_bad = {f: n for f, n in in_bad.items() if n >= 3}
+    n_bad, n_good, per = Counter(), Counter(), [0, 0]
+    for i, toxic in enumerate(y):
+        b = bag(i)
+        per[int(toxic)] += sum(b.values())
+        (n_bad if toxic else n_good).update({f: n for f, n in features(b).items() if f in in_bad})
     rate = per[1] / max(1, sum(per))
-    z = {f: (n_bad[f] - (n_bad[f] + n_good[f]) * rate) / math.sqrt((n_bad[f] + n_good[f]) * rate + 1) for f in may}
+    z = {f: (n_bad[f] - (n_bad[f] + n_good[f]) * rate) / math.sqrt((n_bad[f] + n_good[f]) * rate + 1) for f in in_bad}
     # What stands in few documents must not count by standing there often.
     z = {f: v * min(1.0, in_bad[f] / 10) for f, v in z.items()}
     best = sorted((f for f, v in z.items() if v > 4), key=lambda f: (-z[f], f))[:max_features]
     model = Model({f: i for i, f in enumerate(best)}, np.zeros(2 * len(best)), 0.0, counts)
-    x = np.array([model.row(b) for b in bags]).reshape(len(bags), 2 * len(best))
+    x = np.zeros((len(y), 2 * len(best)), np.float32)
+    for i in range(len(y)):
+        x[i] = model.row(bag(i))
     w, b = _fit(x, y)
     return Model(model.places, w, b, counts)
 
