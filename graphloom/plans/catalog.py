@@ -571,3 +571,50 @@ def label_coverage(spark, d):
     gold = role(spark, d, "gold").select("doc_id", "quality", F.lit(1).alias("has"))
     per = docs.join(gold, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("documents"), F.count("has").alias("labelled"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"))
     return per.withColumn("coverage", F.col("labelled") / F.col("documents"))
+
+
+@query()
+def extract_subschema(spark, d):
+    """Sub-schemas of queries over one schema graph, each schema parsed against once."""
+    from ..functions.cypher import extract_udf
+
+    nodes = role(spark, d, "nodes").select(F.col("label"), F.col("node_id"))
+    side = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
+    rel = role(spark, d, "relations").join(side("source"), "source").join(side("target"), "target")
+    schema = rel.agg(F.array_sort(F.collect_set(F.struct(F.col("source_label").alias("source"), "type", F.col("target_label").alias("target")))).alias("relations"))
+    schema = schema.crossJoin(nodes.agg(F.array_sort(F.collect_set("label")).alias("labels")))
+    k = F.col("example_id")
+    label = lambda c: F.concat(F.lit("NATION_"), c.cast("string"))
+    text = F.concat(F.lit("MATCH (a:"), label(k % 27), F.lit(")-[:"), F.element_at(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "HOUSEHOLD", "UNKNOWN"))), (k % 4 + 1).cast("int")), F.when(k % 2 == 0, "]->(b) RETURN b").otherwise("]-(b) RETURN b"))
+    examples = role(spark, d, "examples").where("example_id < 2000").select("example_id", text.alias("query"))
+    return examples.crossJoin(F.broadcast(schema)).select("example_id", extract_udf("query", "labels", "relations").alias("x")).select("example_id", "x.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM @events_by_user WHERE event_id < 2000")
+def execution_accuracy(spark, d):
+    """Results that are equal up to the order of columns and rows, but every fifth, which lacks a row."""
+    from ..functions.results import execution_accuracy as accuracy
+
+    e = role(spark, d, "events_by_user").where("event_id < 2000")
+    gold = F.format_string("[[%d, \"a\", 1.5], [%d, \"b\", 2.5]]", "event_id", "user_id")
+    other = F.format_string("[[2.5, %d, \"b\"], [1.5, %d, \"a\"]]", "user_id", "event_id")
+    short = F.format_string("[[1.5, %d, \"a\"]]", "event_id")
+    return e.select("event_id", accuracy(F.when(F.col("event_id") % 5 == 0, short).otherwise(other), gold, F.lit("MATCH (n) RETURN n")).alias("score"))
+
+
+@query("SELECT example_id, CASE WHEN question = '' THEN NULL ELSE question END AS answer FROM @examples WHERE question IS NOT NULL AND question <> ''")
+def answer_extraction(spark, d):
+    """Queries read back from JSON, fenced and cut-off answers."""
+    from ..functions.cypher import answer_udf
+
+    q = F.col("question")
+    wrapped = F.when(F.col("example_id") % 3 == 0, F.concat(F.lit('noise {"cypher": "'), q, F.lit('"} more'))).when(F.col("example_id") % 3 == 1, F.concat(F.lit("```cypher\n"), q, F.lit("\n```"))).otherwise(F.concat(F.lit('{"cypher": "'), q))
+    return role(spark, d, "examples").where("question <> ''").select("example_id", answer_udf(wrapped).alias("answer"))
+
+
+@query("SELECT concat('s:g:', substring(sha256(concat('{\"graph\": \"', graph, '\", \"n\": ', count(*), '}')), 1, 16)) AS schema_id, graph FROM @examples GROUP BY graph")
+def schema_digests(spark, d):
+    from ..functions.canonical import schema_id_udf
+
+    payload = F.to_json(F.struct(F.col("count").alias("n"), "graph"))
+    return role(spark, d, "examples").groupBy("graph").count().select(schema_id_udf(F.lit("s"), F.lit("g"), payload).alias("schema_id"), "graph")
