@@ -576,18 +576,17 @@ def label_coverage(spark, d):
 @query()
 def extract_subschema(spark, d):
     """Sub-schemas of queries over one schema graph, each schema parsed against once."""
-    from ..functions.cypher import extract_udf
+    from ..operators.extraction import extract_all
 
     nodes = role(spark, d, "nodes").select(F.col("label"), F.col("node_id"))
     side = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
     rel = role(spark, d, "relations").join(side("source"), "source").join(side("target"), "target")
     schema = rel.agg(F.array_sort(F.collect_set(F.struct(F.col("source_label").alias("source"), "type", F.col("target_label").alias("target")))).alias("relations"))
-    schema = schema.crossJoin(nodes.agg(F.array_sort(F.collect_set("label")).alias("labels")))
+    schema = schema.crossJoin(nodes.agg(F.array_sort(F.collect_set("label")).alias("labels"))).withColumn("schema_id", F.lit(0))
     k = F.col("example_id")
     label = lambda c: F.concat(F.lit("NATION_"), c.cast("string"))
     text = F.concat(F.lit("MATCH (a:"), label(k % 27), F.lit(")-[:"), F.element_at(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "HOUSEHOLD", "UNKNOWN"))), (k % 4 + 1).cast("int")), F.when(k % 2 == 0, "]->(b) RETURN b").otherwise("]-(b) RETURN b"))
-    examples = role(spark, d, "examples").where("example_id < 2000").select("example_id", text.alias("query"))
-    return examples.crossJoin(F.broadcast(schema)).select("example_id", extract_udf("query", "labels", "relations").alias("x")).select("example_id", "x.*")
+    return extract_all(role(spark, d, "examples").select("example_id", F.lit(0).alias("schema_id"), text.alias("query")), schema, "example_id")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM @events_by_user WHERE event_id < 2000")

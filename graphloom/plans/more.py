@@ -212,3 +212,36 @@ def first_schema_row(spark, d):
 def manifest_counts(spark, d):
     e = role(spark, d, "examples")
     return e.groupingSets([["split", "source"], ["split"], []], "split", "source").agg(F.count("*").alias("n"), F.countDistinct("graph").alias("graphs"))
+
+
+@query()
+def provenance_queries(spark, d):
+    """Queries rewritten to return the ids of the nodes that took part."""
+    from ..functions.provenance import provenance_udf
+
+    e = F.col("example_id")
+    text = F.concat(F.lit("MATCH (n:A"), e % 9, F.lit(")-[:R]->(:B {key: "), e, F.lit("}) WHERE n.x > 1 RETURN n"))
+    return role(spark, d, "examples").where("example_id < 3000").select("example_id", provenance_udf(text).alias("provenance"))
+
+
+@query()
+def contrast_sampler(spark, d):
+    """Covering contrast pairs, 40 for each schema."""
+    from ..operators.samplers import contrast_sample
+
+    rows = role(spark, d, "selection").withColumn("graph", F.concat(F.lit("g"), "schema_id"))
+    return contrast_sample(rows.where("example_id < 3000"), "graph", "example_id", "unit_id", "label", 40, 42)
+
+
+@query()
+def distractor_sampler(spark, d):
+    """Up to 4 distractors for each question, closed under the ends of relations."""
+    from ..operators.samplers import distractor_udf
+
+    rows = role(spark, d, "selection").where("example_id < 1000")
+    per = rows.groupBy("example_id").agg(F.array_sort(F.collect_set(F.when(F.col("label") == 1, F.concat(F.lit("n"), "unit_id")))).alias("gold"))
+    numbers = F.sequence(F.lit(0), F.lit(59))
+    names = lambda k, m: F.transform(F.filter(numbers, lambda x: x % m == k), lambda x: F.concat(F.lit("n"), x))
+    relations = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: F.struct(F.concat(F.lit("r"), x).alias("id"), F.concat(F.lit("n"), x).alias("source"), F.concat(F.lit("n"), x * 3 % 60).alias("target")))
+    run = distractor_udf(4, {"hard": 2.0, "neighbor": 1.0, "lexical": 1.0, "random": 0.5}, 7)
+    return per.select("example_id", run("example_id", F.transform(relations, lambda r: r.id), names(1, 4), names(2, 9), names(0, 2), "gold", relations).alias("distractors"))
