@@ -282,11 +282,49 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Bits of the map that tells which documents may be in a family; any number gives the same result.
+MEMBER_BITS = 1 << 23
+
+
+def _members(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the hashed ids set, so that documents outside never travel."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(MEMBER_BITS, bool)
+        for b in batches:
+            held[wordhash.mix(b.column(0).to_numpy().astype(np.uint64)) % np.uint64(MEMBER_BITS)] = True
+        if held.any():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "bits": [np.packbits(p).tobytes() for p in held.reshape(_SLICES, -1)]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                bits = np.frombuffer(raw, np.uint8)
+                total[at] = total[at] | bits if at in total else bits
+        if total:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([*total], pa.int32()), "bits": [v.tobytes() for v in total.values()]})
+
+    kind = "slice int, bits binary"
+    rows = ids.mapInArrow(local, kind).repartition(_SLICES, "slice").mapInArrow(merge, kind).collect()
+    out = np.zeros((_SLICES, MEMBER_BITS // _SLICES // 8), np.uint8)
+    for r in rows:
+        out[r.slice] |= np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def _verified(docs: DataFrame, families: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links found by exact counts within families; families: id, sig, family of one row for each set."""
     sizes = families.groupBy("family").count()
     lanes = scratch.keep(families.join(scratch.keep(sizes, "sizes"), "family").withColumn("lane", F.pmod(F.xxhash64("sig"), F.ceil(F.col("count") / (8 * BLOCK)))), "lanes")
-    texts = docs.join(lanes, "id").select("text", "sig", "family", "lane", F.col("count").alias("of"))
+    packed = _members(lanes.select("id"))
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(member[wordhash.mix(b.column(0).to_numpy().astype(np.uint64)) % np.uint64(MEMBER_BITS)]))
+
+    texts = docs.select("id", "text").mapInArrow(may, "id long, text string").join(lanes, "id").select("text", "sig", "family", "lane", F.col("count").alias("of"))
     dealt = texts.repartition("family", "lane").sortWithinPartitions("family", "lane", "sig")
     kind = "a long, b long, family long, sigs binary, sizes binary, grams binary"
 
