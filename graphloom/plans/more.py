@@ -245,3 +245,17 @@ def distractor_sampler(spark, d):
     relations = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: F.struct(F.concat(F.lit("r"), x).alias("id"), F.concat(F.lit("n"), x).alias("source"), F.concat(F.lit("n"), x * 3 % 60).alias("target")))
     run = distractor_udf(4, {"hard": 2.0, "neighbor": 1.0, "lexical": 1.0, "random": 0.5}, 7)
     return per.select("example_id", run("example_id", F.transform(relations, lambda r: r.id), names(1, 4), names(2, 9), names(0, 2), "gold", relations).alias("distractors"))
+
+
+@query()
+def normalized_schemas(spark, d):
+    """Schemas drawn as patterns, each distinct one read once and joined back."""
+    from ..functions.schemas import normalize_distinct
+
+    nodes = role(spark, d, "nodes")
+    side = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
+    rel = role(spark, d, "relations").join(side("source"), "source").join(side("target"), "target")
+    drawn = F.concat(F.lit("(:"), "source_label", F.lit(")-[:"), "type", F.lit("]->(:"), "target_label", F.lit(")"))
+    texts = rel.groupBy((F.col("source") % 5).cast("long").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(drawn)), "\n").alias("text"))
+    rows = role(spark, d, "examples").where("example_id < 500").select("example_id", (F.col("example_id") % 5).alias("k")).join(texts, "k").select("example_id", F.lit("text").alias("kind"), F.concat(F.lit("g"), "k").alias("graph"), "text")
+    return normalize_distinct(rows, "kind", "graph", "text").select("example_id", "graph", "schema_id", "n_units", "error")
