@@ -80,3 +80,16 @@ def preview(c: Column, n: int) -> Column:
 def duration(seconds: Column) -> Column:
     s = F.floor(seconds)
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """A template with its {names} replaced all at once, so braces inside values are safe; {{ and }} are braces."""
+    from string import Formatter
+
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")

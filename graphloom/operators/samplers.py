@@ -112,3 +112,61 @@ def contrast_sample(rows: DataFrame, graph: str, question: str, unit: str, label
 
     text = rows.select(*[F.col(c).cast("int" if c == label else "string").alias(c) for c in names])
     return text.groupBy(graph).applyInPandas(run, kind)
+
+
+def pair_competitors(pairs: list[tuple[str, str, str]], rows: list[tuple[str, str, int]], kind: dict[str, str], competes, draws: Draws) -> tuple[list[tuple[str, str, str]], dict[str, int]]:
+    """Pairs exchanged, where possible, so that the negative competes with the positive; and how many were so already, were exchanged, or have no option.
+
+    An option keeps the kinds of both units and never takes the last place of a unit with its label.
+    Options that keep the positive come first, otherwise in random order. Pairs are taken in order.
+    """
+    units = defaultdict(lambda: ([], []))
+    for question, unit, label in sorted(set(rows)):
+        units[question][1 - label].append(unit)
+    held = Counter((u, 1) for _, u, _ in pairs) + Counter((u, 0) for _, _, u in pairs)
+    out, stats = [], {"already": 0, "swapped": 0, "no_option": 0}
+    for question, positive, negative in pairs:
+        if competes(positive, negative):
+            stats["already"] += 1
+            out.append((question, positive, negative))
+            continue
+        positives, negatives = units[question]
+        options = [(p, n) for p in positives for n in negatives if kind[p] == kind[positive] and kind[n] == kind[negative] and competes(p, n)]
+        order = sorted(((p != positive, draws.next(), p, n) for p, n in options))
+        found = next(((p, n) for _, _, p, n in order if (p == positive or held[positive, 1] > 1) and (n == negative or held[negative, 0] > 1)), None)
+        stats["swapped" if found else "no_option"] += 1
+        if found:
+            held.subtract({(positive, 1): 1, (negative, 0): 1})
+            held.update([(found[0], 1), (found[1], 0)])
+        out.append((question, *(found or (positive, negative))))
+    return out, stats
+
+
+def rebalance(selected: dict[tuple[str, int], str], rows: list[tuple[str, str, int]], kind: dict[str, str], quota: dict[tuple[int, str], int]) -> dict[tuple[str, int], str]:
+    """Units chosen anew so that each label has its quota of each kind, without leaving a covered unit uncovered.
+
+    selected: a unit for each question and label. A question gives way only to a unit of its own with
+    the scarce kind. Raises ValueError where a quota can't be met.
+    """
+    out, options = dict(selected), defaultdict(list)
+    for question, unit, label in sorted(set(rows)):
+        options[question, label].append(unit)
+    held = Counter((u, label) for (_, label), u in out.items())
+    for label in sorted({label for _, label in out}):
+        have = Counter(kind[u] for (_, x), u in out.items() if x == label)
+        want = {k: n for (x, k), n in quota.items() if x == label}
+        for key in sorted(k for k in out if k[1] == label):
+            unit = out[key]
+            if have[kind[unit]] <= want.get(kind[unit], 0) or held[unit, label] < 2:
+                continue
+            scarce = [u for u in options[key] if have[kind[u]] < want.get(kind[u], 0)]
+            if scarce:
+                new = min(scarce, key=lambda u: (held[u, label], u))
+                out[key] = new
+                held.subtract([(unit, label)])
+                held.update([(new, label)])
+                have.subtract([kind[unit]])
+                have.update([kind[new]])
+        if any(have[k] != n for k, n in want.items()):
+            raise ValueError(f"label {label}: quotas {want} can't be met, only {dict(have)}")
+    return out

@@ -126,3 +126,7 @@ def test_labels_and_requirements_fail_loudly(spark):
     p = F.when(F.col("id") == 0, F.lit(0.3))
     got = [r.x for r in spark.range(2).select(routing.decide(F.lit(True), F.lit("NO"), p, 0.2).alias("x")).collect()]
     assert got == ["YES", "NO"]
+
+
+def test_templates_fill_at_once(spark):
+    assert one(spark, t=text.fill("Q: {q} {{x}} S: {s}", {"q": F.lit("{s}"), "s": F.lit("a")})).t == "Q: {s} {x} S: a"

@@ -38,3 +38,29 @@ def test_pairs_cover_rare_units_and_use_each_question_once():
     assert len(out) == min(25, len(both)) and len({q for q, _, _ in out}) == len(out) and {q for q, _, _ in out} <= both
     assert all((q, p, 1) in rows and (q, n, 0) in rows for q, p, n in out)
     assert {p for _, p, _ in out} == {u for q, u, label in rows if label == 1 and q in both}
+
+
+def test_competitors_are_exchanged_without_losing_cover():
+    from graphloom.operators.samplers import pair_competitors
+
+    kind = {"a": "node", "b": "node", "c": "node", "x": "node", "y": "node"}
+    competes = lambda p, n: (p, n) in {("a", "x"), ("b", "y")}
+    rows = [("q1", "a", 1), ("q1", "x", 0), ("q1", "y", 0), ("q2", "b", 1), ("q2", "y", 0), ("q3", "c", 1), ("q3", "x", 0)]
+    out, stats = pair_competitors([("q1", "a", "y"), ("q2", "b", "y"), ("q3", "c", "x")], rows, kind, competes, Draws(1, "g"))
+    assert out == [("q1", "a", "x"), ("q2", "b", "y"), ("q3", "c", "x")] and stats == {"already": 1, "swapped": 1, "no_option": 1}
+    kept, stats = pair_competitors([("q1", "a", "y"), ("q3", "c", "x")], rows, kind, competes, Draws(1, "g"))
+    assert kept[0] == ("q1", "a", "y") and stats["no_option"] == 2  # y would lose its last place
+
+
+def test_rebalancing_meets_quotas_or_fails():
+    import pytest
+
+    from graphloom.operators.samplers import rebalance
+
+    kind = {"n1": "node", "n2": "node", "r1": "relation"}
+    rows = [("q1", "n1", 1), ("q1", "r1", 1), ("q2", "n1", 1), ("q3", "n2", 1)]
+    selected = {("q1", 1): "n1", ("q2", 1): "n1", ("q3", 1): "n2"}
+    out = rebalance(selected, rows, kind, {(1, "node"): 2, (1, "relation"): 1})
+    assert out == {("q1", 1): "r1", ("q2", 1): "n1", ("q3", 1): "n2"}
+    with pytest.raises(ValueError, match="can't be met"):
+        rebalance(selected, rows, kind, {(1, "node"): 0, (1, "relation"): 3})
