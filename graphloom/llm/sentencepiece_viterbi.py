@@ -41,7 +41,20 @@ class Vocabulary:
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.unknown = sp.unk_id()
         self.penalty = min((s for _, s in self.ids.values()), default=0.0) - 10.0
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # A trie of pieces: node = [children by character, id or None, score].
+        self.trie: list = [{}, None, 0.0]
+        for p, (i, score) in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node[0].setdefault(c, [{}, None, 0.0])
+            node[1], node[2] = i, score
+        # Ids that are text by themselves; the others (parts of a longer character, control ids) are None.
+        self.text: list[str | None] = [None] * n
+        for i in plain:
+            self.text[i] = self.pieces[i]
+        for b, i in self.bytes.items():
+            if b < 128:
+                self.text[i] = chr(b)
         self.prefix = sp.encode("a") and sp.decode(sp.encode("a")) == "a" and self.pieces[sp.encode("a")[0]].startswith(SPACE)
         # Where no piece can cross: before a space mark, unless a piece holds one after something else;
         # and around characters that stand in no longer piece.
@@ -76,22 +89,21 @@ def viterbi(chars: str, v: Vocabulary, check_every: int = 64) -> Iterator[int]:
     Each position extends its best path by every piece that starts there. What is kept is bounded by
     the longest piece and the distance between points where all surviving paths meet.
     """
-    n, get, prefixes, penalty = len(chars), v.ids.get, v.prefixes, v.penalty
+    n, root, penalty = len(chars), v.trie[0], v.penalty
     best, back, done = {0: 0.0}, {}, 0
     for start in range(n):
         base = best[start]
         end = start + 1
-        part = chars[start]
-        if part not in v.ids and base + penalty > best.get(end, -np.inf):
+        node = root.get(chars[start])
+        if (node is None or node[1] is None) and base + penalty > best.get(end, -np.inf):
             best[end], back[end] = base + penalty, (start, None)
-        while part in prefixes:
-            found = get(part)
-            if found is not None and base + found[1] > best.get(end, -np.inf):
-                best[end], back[end] = base + found[1], (start, found[0])
-            end += 1
-            if end > n:
+        while node is not None:
+            if node[1] is not None and base + node[2] > best.get(end, -np.inf):
+                best[end], back[end] = base + node[2], (start, node[1])
+            if end == n:
                 break
-            part = chars[start:end]
+            node = node[0].get(chars[end])
+            end += 1
         if start == n - 1 or start % check_every == check_every - 1:
             # The latest boundary that lies on the paths of all positions from which a piece may still start.
             live = {q for q in back if q > start} if start < n - 1 else {n}
@@ -113,6 +125,34 @@ def viterbi(chars: str, v: Vocabulary, check_every: int = 64) -> Iterator[int]:
             done = meet
 
 
+def segment(chars: str, v: Vocabulary) -> tuple[int, ...]:
+    """Ids of a short marked text whose paths meet at both ends: the same choice as viterbi(), held as a whole."""
+    n, root, penalty = len(chars), v.trie[0], v.penalty
+    best, source, piece = [0.0] + [-1e300] * n, [0] * (n + 1), [None] * (n + 1)
+    for start in range(n):
+        base, end = best[start], start + 1
+        node = root.get(chars[start])
+        if (node is None or node[1] is None) and base + penalty > best[end]:
+            best[end], source[end], piece[end] = base + penalty, start, None
+        while node is not None:
+            children, found, score = node
+            if found is not None and base + score > best[end]:
+                best[end], source[end], piece[end] = base + score, start, found
+            if end == n:
+                break
+            node = children.get(chars[end])
+            end += 1
+    out: list[int] = []
+    at = n
+    while at:
+        if piece[at] is None:
+            out.extend(reversed(v.fallback(chars[source[at]])))
+        else:
+            out.append(piece[at])
+        at = source[at]
+    return tuple(reversed(out))
+
+
 def encode(text: str, v: Vocabulary) -> list[int]:
     """Ids of a text. An empty text has none."""
     out: list[int] = []
@@ -120,17 +160,24 @@ def encode(text: str, v: Vocabulary) -> list[int]:
     for part in v.split(v.marked(text)):
         ids = known.get(part)
         if ids is None:
-            ids = tuple(viterbi(part, v))
-            if len(part) <= 64:
-                if len(known) >= 400_000:
-                    known.clear()
-                known[part] = ids
+            if len(part) > 64:
+                out.extend(viterbi(part, v))
+                continue
+            ids = segment(part, v)
+            if len(known) >= 400_000:
+                known.clear()
+            known[part] = ids
         out.extend(ids)
     return out
 
 
 def decode(ids, v: Vocabulary) -> str:
     """The text behind ids; control ids stand for nothing, the unknown id for U+2047. Broken byte runs become U+FFFD."""
+    text = v.text
+    found = [text[i] for i in ids]
+    if None not in found:
+        whole = "".join(found)
+        return (whole[1:] if v.prefix and whole.startswith(SPACE) else whole).replace(SPACE, " ")
     out: list[str] = []
     raw = bytearray()
     for i in ids:
