@@ -106,7 +106,7 @@ def contrast_sample(rows: DataFrame, graph: str, question: str, unit: str, label
     names = (graph, question, unit, label)
     kind = f"{graph} string, {question} string, positive string, negative string"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         picked = choose_pairs(list(zip(pdf[question], pdf[unit], pdf[label].astype(int))), pairs_per_graph, Draws(seed, str(key[0])))
         return pd.DataFrame([(key[0], *p) for p in picked], columns=[graph, question, "positive", "negative"])
 

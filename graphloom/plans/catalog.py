@@ -452,8 +452,13 @@ def rouge_2(spark, d):
     return role(spark, d, "pairs").select("item_id", S.rouge_n(_words(F.col("predicted")), _words(F.col("reference")), 2).alias("score"))
 
 
-@query()
+@query(f"""{WORDS_SQL}, c AS (SELECT item_id, p[1:40] AS p, r[1:40] AS r FROM w),
+l AS (SELECT item_id, len(p) AS np, len(r) AS nr, list_reduce(list_transform(p, lambda x: {{'w': x, 'r': list_transform(range(len(r) + 1), lambda z: 0)}}),
+  lambda prev, cur: {{'w': cur.w, 'r': list_reduce(list_transform(range(1, len(r) + 1), lambda j: [CAST(j AS INTEGER)]), lambda acc, j: acc || [CASE WHEN r[j[1]] = cur.w THEN prev.r[j[1]] + 1 ELSE greatest(prev.r[j[1] + 1], acc[-1]) END], [0])}},
+  {{'w': '', 'r': list_transform(range(len(r) + 1), lambda z: 0)}}).r[-1] AS o FROM c)
+SELECT item_id, CASE WHEN np = 0 AND nr = 0 THEN 1 WHEN o = 0 THEN 0 ELSE 2 * (o / np) * (o / nr) / (o / np + o / nr) END AS score FROM l""")
 def rouge_l(spark, d):
+    # Forty words of each text: the table of a pair has a cell for every two words.
     rows = role(spark, d, "pairs").select("item_id", F.slice(_words(F.col("predicted")), 1, 40).alias("p"), F.slice(_words(F.col("reference")), 1, 40).alias("r"))
     return rows.select("item_id", S.rouge_l(F.col("p"), F.col("r")).alias("score"))
 
