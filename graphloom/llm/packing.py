@@ -76,17 +76,15 @@ class Index:
         self.weight = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + norm[self.unit])
         self.n = len(units)
 
-    def neighbours(self, ids: np.ndarray, query_terms: int) -> np.ndarray:
-        """Units by falling score for the query_terms rarest of the ids; ties by place."""
+    def neighbours(self, ids: np.ndarray) -> np.ndarray:
+        """Units by falling score for all distinct ids; ties by place."""
         at = np.searchsorted(self.terms, np.unique(ids))
-        if len(at) > query_terms:
-            at = at[np.argpartition(-self.idf[at], query_terms)[:query_terms]]
-        lists = [slice(self.first[t], self.end[t]) for t in at]
-        unit, weight = np.concatenate([self.unit[s] for s in lists]), np.concatenate([self.weight[s] for s in lists])
-        return np.argsort(-np.bincount(unit, weights=weight, minlength=self.n), kind="stable")
+        first, df = self.first[at], self.end[at] - self.first[at]
+        place = np.arange(df.sum()) + np.repeat(first - (np.cumsum(df) - df), df)
+        return np.argsort(-np.bincount(self.unit[place], weights=self.weight[place], minlength=self.n), kind="stable")
 
 
-def fill(units: list[np.ndarray], length: int, query_terms: int = 24) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
+def fill(units: list[np.ndarray], length: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
     """Windows of exactly ``length`` ids from units, each shorter than that, and what is left over.
 
     A window is a list of (unit, from, to); the rest a list of (unit, from) with less than length ids in all.
@@ -104,7 +102,7 @@ def fill(units: list[np.ndarray], length: int, query_terms: int = 24) -> tuple[l
         query = units[seed][start[seed] :]
         left[seed] = 0
         if free:
-            order = index.neighbours(query, query_terms)
+            order = index.neighbours(query)
             order = order[left[order] > 0]
             # Whole neighbours in order while they fit, the next one cut to what is free.
             for u in order:
@@ -123,7 +121,7 @@ def fill(units: list[np.ndarray], length: int, query_terms: int = 24) -> tuple[l
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, length: int = 1024, end_id: int = 0, shard: int = 1024, query_terms: int = 24, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, length: int = 1024, end_id: int = 0, shard: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: bool = False) -> DataFrame:
     """One row per piece: the document's id, PIECES, and with with_ids the piece's ids (array<int>).
 
     A document is its text's ids and end_id; each of its ids lies in exactly one piece. A sequence
@@ -155,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, le
 
         def close(last: bool):
             nonlocal sequence, rest
-            windows, left = fill([u[2] for u in rest], length, query_terms)
+            windows, left = fill([u[2] for u in rest], length)
             if last and left:
                 windows.append([(u, at, len(rest[u][2])) for u, at in left])
                 left = []

@@ -212,3 +212,10 @@ def test_toxicity_on_held_out_rows(spark):
     held = [x for x in got if zlib.crc32(str(x.doc_id).encode()) % 5 == 0 and x.doc_id < 900]
     assert sum(x.predicted == int(x.doc_id % 5 == 0) for x in held) / len(held) > 0.95
     assert {x.predicted for x in got if x.doc_id >= 900} == {0}
+
+
+def test_packing_asks_with_all_ids_of_a_seed():
+    shared = np.arange(100, 120)
+    units = [np.concatenate([np.arange(30), shared]), *[np.arange(1000 * i, 1000 * i + 20) for i in range(1, 6)], shared]
+    windows, _ = packing.fill(units, 70)
+    assert windows[0] == [(0, 0, 50), (6, 0, 20)]
