@@ -3,15 +3,17 @@
 A character language model (bigrams of letters within words, counted over every document) is the
 source; the channel writes letters as look-alike signs, puts signs or spaces between letters, and
 repeats letters. A disguised token is a lattice of what each sign may stand for, and Viterbi decoding
-finds its likeliest reading. Tokens of plain letters have one reading and stay as they are.
+finds its likeliest reading. Between plain letters only repeats are in doubt, and for each letter it is
+the same reading that wins everywhere. Accents and look-alike letters of other scripts are undone first.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
+#: Cyrillic, Greek and other letters that look like a letter from a to z.
+LETTERS = str.maketrans("авеіјкмнорԛѕтухүһԁԝѵαβεικνορτυχɡıłøđ", "abeijkmhopqstuxyhdwvabeikvoptuxgilod")
 #: Signs that may stand for any letter.
 MASKS = "*?"
 _A = 28  # end of a word, a to z, any other letter
@@ -35,8 +39,7 @@ _MASK = math.log(0.03)
 _NOISE = math.log(0.25)  # a sign between letters that stands for nothing
 _DIGIT = math.log(0.02)  # the same for a digit
 _AGAIN = math.log(0.2)  # a repeat of the letter before
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\s](?:[ \t][^\s]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _STRIP = ".,;:!?()[]{}<>\"'`´’‘“”«»…–—-_/\\=~^%#&*"
 
 
@@ -115,25 +118,46 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def folded(token: str) -> str:
+    """A token without accents, and with look-alike letters as a to z where that makes all its letters Latin."""
+    if token.isascii():
+        return token
+    bare = "".join(c for c in unicodedata.normalize("NFKD", token).lower() if not unicodedata.combining(c))
+    latin = bare.translate(LETTERS)
+    return latin if all(c.isascii() for c in latin if c.isalpha()) else bare
+
+
 class Restorer:
-    """Words of texts with disguises undone."""
+    """Words of texts with disguises undone.
+
+    lexicon: words to look for in runs of letters or short chunks set apart, where no blank tells the words.
+    """
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, lexicon: Iterable[str] = ()):
         self.model = log_model(counts)
         self.known: dict[str, str] = {}
+        self.lexicon = frozenset(w for w in lexicon if len(w) > 2)
+        self.longest = max(map(len, self.lexicon), default=0)
+        # What decode() does with a letter's repeats does not depend on what stands around them.
+        once = "".join(chr(96 + i) for i in range(1, 27) if _AGAIN > self.model[i, i] + _PLAIN)
+        self.repeats = re.compile(rf"([{once}])\1+" if once else r"(?!)")
+
+    def plain(self, core: str) -> str:
+        """decode() of a word of letters."""
+        return self.repeats.sub(r"\1", core)
 
     def word(self, token: str) -> str:
         core = token.strip(_STRIP)
-        if core.isalpha() and not _TRIPLE.search(core):
-            return core
+        if core.isascii() and core.isalpha():
+            return self.plain(core)
         found = self.known.get(token)
         if found is None:
             if not core or core.isdigit() or not re.search(r"[^\W\d_]", core):
                 found = ""
             else:
                 # A run of one and the same sign at either end is decoration, not spelling.
-                core = re.sub(r"^([^\w])\1+|([^\w])\2+$", "", core)
-                found = core if core.isalpha() and not _TRIPLE.search(core) else decode(core, self.model)
+                core = folded(re.sub(r"^([^\w])\1+|([^\w])\2+$", "", core))
+                found = self.plain(core) if core.isalpha() else decode(core, self.model)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[token] = found
@@ -147,10 +171,37 @@ class Restorer:
         for token, n in tokens.items():
             if w := self.word(token):
                 out[w] += n
-        if sum(len(t) == 1 for t in tokens) > 1:  # letters set apart
+        if sum(len(t) < 3 for t in tokens) > 1:  # letters set apart
             for m in _SPACED.finditer(text):
-                if w := decode(re.sub(r"\s", "", m[0]), self.model):
-                    out[w] += 1
+                out.update(self.spaced(m[0].split()))
+        return out
+
+    def spaced(self, chunks: list[str]) -> list[str]:
+        """Words of a run of short chunks: those of the lexicon where they cover most signs, and what single signs stand between."""
+        n = len(chunks)
+        best, take = [0] * (n + 1), [(1, "")] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            best[i] = best[i + 1]
+            size = sum(map(len, chunks[i : i + 2]))
+            # Repeats and signs between the letters make a disguise longer than its word.
+            for j in range(i + 3, n + 1):
+                size += len(chunks[j - 1])
+                if size > 2 * self.longest:
+                    break
+                w = self.word("".join(chunks[i:j]))
+                if w in self.lexicon and size + best[j] > best[i]:
+                    best[i], take[i] = size + best[j], (j - i, w)
+        out, single, i = [], [], 0
+        while i <= n:
+            step, w = take[i] if i < n else (1, "")
+            if i < n and not w and len(chunks[i]) == 1:
+                single.append(chunks[i])
+            else:
+                if len(single) > 2 and (x := decode(folded("".join(single)), self.model)):
+                    out.append(x)
+                single = []
+                out += [w] * bool(w)
+            i += step
         return out
 
 
@@ -280,7 +331,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c != "__text") + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(model.counts)
+        r = Restorer(model.counts, (w for w in model.places if not w.startswith("^")))
         for b in batches:
             p = [model.score(r.words(t.as_py())) for t in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=[*names, "score", "predicted"])

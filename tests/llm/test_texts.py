@@ -219,3 +219,16 @@ def test_packing_asks_with_all_ids_of_a_seed():
     units = [np.concatenate([np.arange(30), shared]), *[np.arange(1000 * i, 1000 * i + 20) for i in range(1, 6)], shared]
     windows, _ = packing.fill(units, 70)
     assert windows[0] == [(0, 0, 50), (6, 0, 20)]
+
+
+def test_disguises_of_letters_and_spaced_chunks_are_undone(spark):
+    docs = make(spark, [(i, "the stupid idiot and such a moron with a loser stated this house") for i in range(30)])
+    counts = toxicity.letter_counts(docs)
+    r = toxicity.Restorer(counts, ["idiot", "moron", "stupid"])
+    assert r.words("idioot mooron stuupid \u0456diot \u00efdiot m\u00f6r0n") == {"idiot": 3, "moron": 2, "stupid": 1}
+    assert r.words("such a m o r o n")["moron"] == 1
+    assert {"idiot", "moron"} <= set(r.words("i d i o t m o r o n")) and r.words("i\nd  i\to\nt")["idiot"] == 1
+    assert r.words("id io t")["idiot"] == 1 and r.words("m 0 r o n")["moron"] == 1
+    assert r.words("it is so") == {"it": 1, "is": 1, "so": 1}
+    for t in ("letter", "stuuupid", "idioot"):
+        assert r.plain(t) == toxicity.decode(t, r.model)
