@@ -221,7 +221,7 @@ def provenance_queries(spark, d):
 
     e = F.col("example_id")
     text = F.concat(F.lit("MATCH (n:A"), e % 9, F.lit(")-[:R]->(:B {key: "), e, F.lit("}) WHERE n.x > 1 RETURN n"))
-    return role(spark, d, "examples").where("example_id < 3000").select("example_id", provenance_udf(text).alias("provenance"))
+    return role(spark, d, "examples").select("example_id", provenance_udf(text).alias("provenance"))
 
 
 @query()
@@ -230,7 +230,7 @@ def contrast_sampler(spark, d):
     from ..operators.samplers import contrast_sample
 
     rows = role(spark, d, "selection").withColumn("graph", F.concat(F.lit("g"), "schema_id"))
-    return contrast_sample(rows.where("example_id < 3000"), "graph", "example_id", "unit_id", "label", 40, 42)
+    return contrast_sample(rows, "graph", "example_id", "unit_id", "label", 40, 42)
 
 
 @query()
@@ -238,7 +238,7 @@ def distractor_sampler(spark, d):
     """Up to 4 distractors for each question, closed under the ends of relations."""
     from ..operators.samplers import distractor_udf
 
-    rows = role(spark, d, "selection").where("example_id < 1000")
+    rows = role(spark, d, "selection")
     per = rows.groupBy("example_id").agg(F.array_sort(F.collect_set(F.when(F.col("label") == 1, F.concat(F.lit("n"), "unit_id")))).alias("gold"))
     numbers = F.sequence(F.lit(0), F.lit(59))
     names = lambda k, m: F.transform(F.filter(numbers, lambda x: x % m == k), lambda x: F.concat(F.lit("n"), x))
@@ -257,5 +257,5 @@ def normalized_schemas(spark, d):
     rel = role(spark, d, "relations").join(side("source"), "source").join(side("target"), "target")
     drawn = F.concat(F.lit("(:"), "source_label", F.lit(")-[:"), "type", F.lit("]->(:"), "target_label", F.lit(")"))
     texts = rel.groupBy((F.col("source") % 5).cast("long").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(drawn)), "\n").alias("text"))
-    rows = role(spark, d, "examples").where("example_id < 500").select("example_id", (F.col("example_id") % 5).alias("k")).join(texts, "k").select("example_id", F.lit("text").alias("kind"), F.concat(F.lit("g"), "k").alias("graph"), "text")
+    rows = role(spark, d, "examples").select("example_id", (F.col("example_id") % 5).alias("k")).join(texts, "k").select("example_id", F.lit("text").alias("kind"), F.concat(F.lit("g"), "k").alias("graph"), "text")
     return normalize_distinct(rows, "kind", "graph", "text").select("example_id", "graph", "schema_id", "n_units", "error")

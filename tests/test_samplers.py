@@ -64,3 +64,18 @@ def test_rebalancing_meets_quotas_or_fails():
     assert out == {("q1", 1): "r1", ("q2", 1): "n1", ("q3", 1): "n2"}
     with pytest.raises(ValueError, match="can't be met"):
         rebalance(selected, rows, kind, {(1, "node"): 0, (1, "relation"): 3})
+
+
+def test_queries_without_sql_cover_the_whole_table(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.plans import more
+    from graphloom.plans.roles import role
+
+    d = "/root/testdata/sf0.001"
+    examples = role(spark, d, "examples")
+    drawn = [r.k for r in role(spark, d, "relations").selectExpr("source % 5 AS k").distinct().collect()]
+    assert more.provenance_queries(spark, d).count() == examples.count()
+    assert more.normalized_schemas(spark, d).count() == examples.where((F.col("example_id") % 5).isin(drawn)).count()
+    assert more.distractor_sampler(spark, d).count() == role(spark, d, "selection").select("example_id").distinct().count()
+    assert "example_id <" not in more.contrast_sampler(spark, d)._jdf.queryExecution().logical().toString()
