@@ -1,11 +1,12 @@
 """License scan: exact containment join of text blocks against license templates, on DataFrame functions only.
 
-A block is a line. A template's distinct words are ordered by how many documents hold them, rarest
-first, over the whole input. A block that holds at least ``threshold`` of them must hold one of the
+A block is a line, or a run of as many consecutive words as the template has, over any line breaks and
+comment marks, so that wrapped notices are met. A template's distinct words are ordered by how many
+documents hold them, rarest first, over the whole input. A block that holds at least ``threshold`` of them must hold one of the
 first |T| - need + 1 (prefix filter), have at least ``need`` distinct words (length filter), and meet
 its first template word early enough for ``need`` to remain (positional filter); only then is the
-overlap counted. The templates are a parameter of bounded size, so their words are literals in the
-plan: texts are scanned where they lie and never shuffled.
+overlap counted. Runs are looked at only in texts that hold ``need`` of the words at all. The templates
+are a parameter of bounded size, so their words are literals in the plan: texts are scanned where they lie and never shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 #: Lower-cased words: ASCII digits and letters, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+KIND = "array<struct<block:int,label:string,containment:double>>"
+
 # Phrases with their labels, and license notices with theirs.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = (
@@ -63,6 +66,7 @@ class Plan:
     label: str
     tokens: tuple[str, ...]
     need: int
+    length: int
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -72,7 +76,8 @@ class Plan:
 def plan_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text_col: str = "text") -> list[Plan]:
     by = _vocabulary(templates)
     count = word_frequencies(docs, sorted({w for x in by.values() for w in x}), text_col) if by else {}
-    return [Plan(label, tuple(sorted(x, key=lambda w: (count.get(w, 0), w))), math.ceil(threshold * len(x) - 1e-9)) for label, x in by.items() if x]
+    length = {label: len(re.findall(WORD, text.lower())) for label, text in templates}
+    return [Plan(label, tuple(sorted(x, key=lambda w: (count.get(w, 0), w))), math.ceil(threshold * len(x) - 1e-9), length[label]) for label, x in by.items() if x]
 
 
 def _containment(block: Column, plan: Plan) -> Column:
@@ -85,6 +90,34 @@ def _containment(block: Column, plan: Plan) -> Column:
     return F.when(share * n >= plan.need, share)
 
 
+def _runs(w: Column, held: Column, lines: Column, plan: Plan) -> Column:
+    """The best run of words for a template as an array of one (block, label, containment), empty below the threshold.
+
+    held: the words of any template that stand in w. A run's block is the line that it starts on; of
+    equally good runs the first counts. A best run starts with a word of the template.
+    """
+    literal, n = F.array(*map(F.lit, plan.tokens)), len(plan.tokens)
+    none = F.array().cast(KIND)
+    starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(literal, F.get(w, i)))
+    sized = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(literal, F.slice(w, i + 1, plan.length))).alias("n"), (-i).alias("at")))
+
+    def line(at: Column) -> Column:
+        """How many lines end before a place."""
+        zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+        def add(acc: Column, x: Column) -> Column:
+            end = acc.end + F.size(words(x))
+            return F.struct(end.alias("end"), (acc.n + (end <= at).cast("int")).alias("n"))
+
+        return F.aggregate(lines, zero, add, lambda acc: acc.n)
+
+    def hit(best: Column) -> Column:
+        return F.struct(line(-best.at).alias("block"), F.lit(plan.label).alias("label"), (best.n / F.lit(float(n))).alias("containment"))
+
+    best = F.transform(F.filter(F.array(F.array_max(sized)), lambda x: x.n >= plan.need), hit).cast(KIND)
+    return F.when(F.size(F.array_intersect(literal, held)) >= plan.need, best).otherwise(none)
+
+
 def _stands(w: Column, parts: list[str]):
     """Whether parts stand consecutively in w from place i on."""
     return lambda i: reduce(and_, [F.get(w, i + j) == p for j, p in enumerate(parts)])
@@ -94,7 +127,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
     """docs with n_words, n_base, first_word, last_word, base_labels, blocks, labels and score.
 
     base: every place where a phrase's words stand consecutively. blocks: array of (block, label,
-    containment) for every line (numbered from 0) and template that meet the threshold. score: 1 with
+    containment) for every line (numbered from 0) and template that meet the threshold, and for each
+    template its best run of words where that beats all lines. score: 1 with
     a base place, else the best containment found, else 0. Null and empty texts: no words, empty
     labels, null first and last word, score 0. Rows are kept as they are, repeats included; columns
     of these names in docs are replaced.
@@ -110,7 +144,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
     df = df.withColumn("__starts", F.array(*starts) if starts else F.array().cast("array<array<int>>"))
     rare = sorted({t for p in plans for t in p.prefix})
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kind = "array<struct<block:int,label:string,containment:double>>"
+    kind = KIND
 
     def hits(line: Column, i: Column) -> Column:
         block = F.array_distinct(words(line))
@@ -118,7 +152,16 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
         return F.when(F.arrays_overlap(block, F.array(*map(F.lit, rare))), F.filter(found, lambda x: x.containment.isNotNull())).otherwise(F.array().cast(kind))
 
     blocks = F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), F.flatten(F.transform(lines, hits))).otherwise(F.array().cast(kind)) if rare else F.array().cast(kind)
-    df = df.withColumn("blocks", blocks.cast(kind))
+    df = df.withColumn("__lines", blocks.cast(kind))
+    vocabulary = sorted({t for p in plans for t in p.tokens})
+    if vocabulary:
+        df = df.withColumn("__held", F.array_intersect(F.array(*map(F.lit, vocabulary)), w))
+        runs = F.concat(*[_runs(w, F.col("__held"), lines, p) for p in plans])
+        runs = F.when(F.arrays_overlap("__held", F.array(*map(F.lit, rare))), runs).otherwise(F.array().cast(kind))
+        better = F.filter(runs, lambda x: ~F.exists("__lines", lambda y: (y.label == x.label) & (y.containment >= x.containment)))
+        df = df.withColumn("blocks", F.concat("__lines", better)).drop("__held", "__lines")
+    else:
+        df = df.withColumn("blocks", F.col("__lines")).drop("__lines")
     every = F.flatten("__starts")
     base = F.array_compact(F.array(*[F.when(F.size(F.get("__starts", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(phrases.values())])) if phrases else F.array().cast("array<string>")
     found = F.transform("blocks", lambda x: x.label)

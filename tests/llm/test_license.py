@@ -52,3 +52,16 @@ def test_empty_table_and_no_python(spark):
     df = license.scan(spark.createDataFrame([], KIND))
     assert df.count() == 0
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_wrapped_and_commented_grants_are_found(spark):
+    by = dict(license.TEMPLATES)
+    texts, want = ["the a of this"], [set()]
+    for label, mark in (("mit-grant", "# "), ("gpl-grant", " * "), ("bsd-grant", "// "), ("cc-by-nc-4.0-notice", "")):
+        w = by[label].split()
+        texts.append("first line\n" + "\n".join(mark + " ".join(w[i : i + 5]) for i in range(0, len(w), 5)) + "\nlast line")
+        want.append({label})
+    rows = license.scan(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], KIND)).collect()
+    for r, labels in zip(sorted(rows, key=lambda r: r.doc_id), want):
+        assert labels == {x.label for x in r.blocks} and labels <= set(r.labels.split(",") if r.labels else [])
+        assert all(x.block == 1 and x.containment == 1 for x in r.blocks) and r.score == float(bool(labels))
