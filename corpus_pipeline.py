@@ -24,14 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id; documents without words stay."""
-    classes = scratch.keep(ngram_join.jaccard_components(docs), "classes")
-    stay = classes.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
-    stay = scratch.keep(stay, "stay")
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
-    if stay.where("times > 1 and n > 0").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each class of near copies one row with the smallest id; rows without words or id stay."""
+    classes = scratch.keep(ngram_join.jaccard_components(docs, with_sets=True), "classes")
+    stays = F.col("stands") | (F.col("n_shingles") == 0)
+    ids = scratch.keep(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.max(stays).alias("stays")), "ids")
+    kept = docs.join(ids.where("stays and times = 1").select("doc_id"), "doc_id", "left_semi")
+    several = ids.where("stays and times > 1").select("doc_id")
+    if several.limit(1).count():
+        # An id alone does not tell its rows apart; their sets do.
+        rows = ngram_join.with_signatures(docs.join(several, "doc_id", "left_semi"))
+        standing = classes.where("stands").select("doc_id", F.col("sig").alias("__sig")).distinct()
+        one = rows.where("__n > 0").join(standing, ["doc_id", "__sig"], "left_semi").dropDuplicates(["doc_id", "__sig"])
+        kept = kept.select(*docs.columns).union(one.select(*docs.columns)).union(rows.where("__n = 0").select(*docs.columns))
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

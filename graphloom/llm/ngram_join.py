@@ -383,13 +383,14 @@ def _verified(docs: DataFrame, families: DataFrame, k: int, num: int, den: int)
     return made.where("a is not null").select("a", "b").union(across.mapInArrow(between, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
 
     Two rows link when their sets of distinct k-word shingles (A-Z as a-z; under k words, the whole
     sequence as one) have den * overlap >= num * union. Rows without words or text have n_shingles 0
     and link with nothing; so do rows without id, whose component is null. Repeated rows stay, each
-    with its row. Empty tables give none. Other columns are left out.
+    with its row. Empty tables give none. Other columns are left out. with_sets: also sig, the set's
+    signature, and stands, whether the row's id and set stand for its class.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = _facts(rows, k)
@@ -403,8 +404,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     classes = connected(links, "a", "b").select(F.col("node").alias("sig"), "component")
     known = least.join(classes, "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
     known = scratch.keep(known, "known")
-    roots = scratch.keep(known.groupBy("component").agg(F.min("id").alias("component_id")), "roots")
-    by_sig = scratch.keep(known.join(roots, "component").select("sig", "component_id"), "by_sig")
+    roots = scratch.keep(known.groupBy("component").agg(F.min(F.struct("id", F.col("sig").alias("first"))).alias("m")).select("component", F.col("m.id").alias("component_id"), "m.first"), "roots")
+    by_sig = scratch.keep(known.join(roots, "component").select("sig", "component_id", (F.col("sig") == F.col("first")).alias("first")), "by_sig")
     out = per_doc.select("id", F.col("n").alias("n_shingles"), "sig").join(by_sig, "sig", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
+    sets = ["sig", F.coalesce(F.col("first") & (F.col("id") == F.col("component_id")), F.lit(False)).alias("stands")] if with_sets else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), *sets)
+
+
+def with_signatures(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
+    """docs with __n and __sig: size and signature of each row's set."""
+    names = docs.columns
+    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __n long, __sig long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, size = sets_of(b.column(len(names)), k)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _signed(size), _signed(_signatures(h, size))], names=[*names, "__n", "__sig"])
+
+    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, kind)

@@ -27,3 +27,12 @@ def test_repeated_rows_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "A b c d e f", "en", "s", 11), (3, None, None, None, None), (None, "x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "x"), (1, "a b c d e f"), (3, "")]
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(1, a), (1, a), (2, b), (2, c), (3, b.upper()), (4, c), (5, None), (5, ""), (6, "s t u v w x"), (6, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    want = [(1, a), (2, b), (2, c), (5, None), (5, ""), (6, "s t u v w x"), (None, a)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((i or 0, t or "") for i, t in want)
