@@ -1,21 +1,27 @@
 """N-gram Jaccard join by vertical partitioning of a global order of n-grams.
 
 A text's set holds the hashes of its distinct runs of five words. The global order puts n-grams that
-fall into heavy counters of a corpus-wide sketch last, and others by hash. Two sets that reach the
-threshold share an n-gram in their prefixes; the order is cut into fragments by hash, each fragment
-lists which sets hold an n-gram there, and what is found in the fragments is brought together by pair.
+fall into heavy counters of a corpus-wide sketch last, and others by hash. The prefix of a set is the first
+third of it in this order. The prefixes of two sets that reach the threshold share a tenth of either set or
+more. The order is cut into fragments by hash; each fragment counts by itself how many prefix n-grams every
+pair of sets shares there, and how far down the last of them stands. The partial overlaps are summed for
+each pair, and a pair goes on only if they, the lengths and the places leave room for the threshold.
 
 * Equal sets are one: copies never travel, whatever their number.
-* N-grams with few holders give pairs, filtered by length and by place in the prefix. Pairs are then
-  held against a bound on the overlap from parity bitmaps of the sets (never below the true overlap).
-* N-grams with many holders give a star instead of pairs: each holder is tied to the first. Because a
-  star drops no holder, no linked pair can fall apart.
-* Pairs and stars make families. Inside a family all overlaps are counted exactly, in blocks, and only
-  a spanning forest of the links leaves a block, so a family's pairs are never rows.
+* N-grams with many holders give ties instead of pairs: each holder is tied to the n-gram. A pair that
+  shares such n-grams alone has a tenth of each of its sets among them; ties of other sets are left out,
+  and a pair's partial overlap may be greater by the ties of its sets. So no linked pair can fall apart.
+* Pairs and ties make families. Inside a family the overlaps of whole sets are counted exactly, again
+  slice by slice of the order and summed, in blocks of similar length; only a spanning forest of the links
+  leaves a block, so a family's pairs are never rows.
+
+N-grams are 64-bit hashes: a false match would have to fall into one and the same pair of sets. Sets are
+told apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +35,13 @@ from .components import connected
 #: Counters of the sketch that finds frequent n-grams; any number gives the same result.
 WIDTH = 1 << 20
 _SLICES = 16
-#: Up to so many holders an n-gram gives pairs, beyond that a star.
+#: Up to so many holders an n-gram gives pairs, beyond that ties.
 PAIRS_UP_TO = 128
+#: So many holders of a frequent n-gram in one portion of text are tied there.
+TIED_HERE = 32
+#: Sets, and n-grams, of a block in which overlaps are counted.
 BLOCK = 256
+BLOCK_GRAMS = 1 << 18
 
 
 def sets_of(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -51,26 +61,15 @@ def sets_of(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], np.bincount(owner[fresh], minlength=len(count)).astype(np.int64)
 
 
-def _signatures(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each whole set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    end = np.cumsum(size)
-    return wordhash.mix(total[end] - total[end - size] + size.astype(np.uint64))
+def _signatures(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each whole set."""
+    end, n = np.cumsum(size), size.astype(np.uint64)
 
+    def one(salt: int) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(h ^ np.uint64(salt)), dtype=np.uint64)])
+        return wordhash.mix(total[end] - total[end - size] + n)
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """Bitmap of which counters (as many as a power of 2 over the set's size) hold an odd number of hashes."""
-    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
-    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
-
-
-def _differ(a: bytes, b: bytes) -> int:
-    """At least so many hashes stand in one set only: the differing bits of the bitmaps, the larger folded to the smaller."""
-    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
-    if len(x) < len(y):
-        x, y = y, x
-    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.count_nonzero(x ^ y))
+    return one(0x5851F42D4C957F2D), one(0xD1342543DE82EF95)
 
 
 def need(nx, ny, num: int, den: int):
@@ -78,28 +77,38 @@ def need(nx, ny, num: int, den: int):
     return -(-num * (nx + ny) // (num + den))
 
 
+def rest(n, num: int, den: int):
+    """How many n-grams of a set lie beyond its prefix: under 13/15 of what the threshold asks of it."""
+    return -(-n * num * 13 // (den * 15)) - 1
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % WIDTH
+
+
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document id, n, sig, bits; and the sketch's counters, one row for each slice and partition."""
+    """Of each document id, n, sig, sig2; and the sketch's counters, one row for each slice and partition."""
+    names = ["id", "n", "sig", "sig2", "slice", "counters"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(WIDTH, np.int64)
-        for b in batches:
-            h, size = sets_of(b.column(1), k)
-            counters += np.bincount((h >> np.uint64(40)).astype(np.int64) % WIDTH, minlength=WIDTH)
-            end = np.cumsum(size)
-            bits = [parity(h[e - n : e]).tobytes() if n else None for e, n in zip(end, size)]
-            m = len(size)
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(size), _signed(_signatures(h, size)), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32())], names=["id", "n", "sig", "bits", "slice"])
+        for batch in batches:
+            for b in wordhash.portions(batch, 1):
+                h, size = sets_of(b.column(1), k)
+                at, times = np.unique(_counter(h), return_counts=True)
+                counters[at] += times
+                m = len(size)
+                yield pa.RecordBatch.from_arrays([b.column(0), _signed(size), *map(_signed, _signatures(h, size)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if counters.any():
             parts = np.minimum(counters, 2**32 - 1).astype(np.uint32).reshape(_SLICES, -1)
             none = pa.nulls(_SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(range(_SLICES), pa.int32())], names=["id", "n", "sig", "bits", "slice"])
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return scratch.keep(docs.mapInArrow(scan, "id long, n long, sig long, bits binary, slice int"), "facts")
+    return scratch.keep(docs.mapInArrow(scan, "id long, n long, sig long, sig2 long, slice int, counters binary"), "facts")
 
 
 def _heavy(facts: DataFrame) -> np.ndarray:
@@ -109,16 +118,16 @@ def _heavy(facts: DataFrame) -> np.ndarray:
         held, total = None, None
         give = lambda: pa.RecordBatch.from_pydict({"slice": pa.array([held], pa.int32()), "total": [total.tobytes()]})
         for b in batches:
-            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 if at != held:
                     if held is not None:
                         yield give()
                     held, total = at, np.zeros(WIDTH // _SLICES, np.int64)
-                total += np.frombuffer(raw, np.uint32)
+                total += np.frombuffer(raw.as_buffer(), np.uint32)
         if held is not None:
             yield give()
 
-    counters = facts.where("slice is not null").select("slice", "bits").repartition(_SLICES, "slice").sortWithinPartitions("slice")
+    counters = facts.where("slice is not null").select("slice", "counters").repartition(_SLICES, "slice").sortWithinPartitions("slice")
     rows = counters.mapInArrow(add, "slice int, total binary").collect()
     total = np.zeros((_SLICES, WIDTH // _SLICES), np.int64)
     for r in rows:
@@ -128,113 +137,161 @@ def _heavy(facts: DataFrame) -> np.ndarray:
     return total > mean + 8 * np.sqrt(mean) + 32
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+_POSTING = "gram long, sig long, n int, place int, other long"
+
+
 def _postings(docs: DataFrame, heavy: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(gram, sig, n, place) for the prefix of every set; a set that a partition has met before is left out."""
+    """Postings of the prefix of every set; a set that a partition has met before is left out.
+
+    A row with a gram tells that a set holds it, at a place of its order (-1: the holder stands for others
+    that are tied already). A row without one ties sig to the n-gram in other.
+    """
     packed = np.packbits(heavy)
+    names = [x.split()[0] for x in _POSTING.split(", ")]
+
+    def batch(gram, sig, n, place) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(gram), _signed(sig), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.nulls(len(gram), pa.int64())], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.unpackbits(packed).astype(bool)
         met: set[int] = set()
-        for b in batches:
-            h, size = sets_of(b.column(0), k)
-            sig = _signatures(h, size)
-            new = np.array([s not in met and not met.add(s) and n > 0 for s, n in zip(sig.tolist(), size.tolist())], bool)
-            owner = np.repeat(np.arange(len(size)), size)
-            late = last[(h >> np.uint64(40)).astype(np.int64) % WIDTH]
-            by = np.lexsort((h, late, owner))
-            h, owner = h[by], owner[by]
-            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            n = size[owner]
-            pick = new[owner] & (place < n - -(-num * n // den) + 1)
-            yield pa.RecordBatch.from_arrays([_signed(h[pick]), _signed(sig[owner[pick]]), pa.array(n[pick].astype(np.int32)), pa.array(place[pick].astype(np.int32))], names=["gram", "sig", "n", "place"])
-
-    return docs.select("text").mapInArrow(scan, "gram long, sig long, n int, place int")
+        for whole in batches:
+            for b in wordhash.portions(whole, 0):
+                h, size = sets_of(b.column(0), k)
+                sig, sig2 = _signatures(h, size)
+                new = np.array([s not in met and not met.add(s) and n > 0 for s, n in zip((sig ^ sig2).tolist(), size.tolist())], bool)
+                owner = np.repeat(np.arange(len(size)), size)
+                late = last[_counter(h)]
+                by = np.lexsort((h, late, owner))
+                h, owner, late = h[by], owner[by], late[by]
+                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                n = size[owner]
+                pick = new[owner] & (place < n - rest(n, num, den))
+                h, owner, late, place, n = h[pick], owner[pick], late[pick], place[pick], n[pick]
+                # Frequent n-grams with many holders right here.
+                at = np.flatnonzero(late)
+                at = at[np.lexsort((place[at], h[at]))]
+                start = _starts(h[at])
+                times = np.diff(np.append(start, len(at)))
+                tied = at[np.repeat(times >= TIED_HERE, times)]
+                if len(tied):
+                    none = pa.nulls(len(tied), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, _signed(sig[owner[tied]]), pa.array(n[tied].astype(np.int32)), none.cast(pa.int32()), _signed(h[tied])], names=names)
+                    stays = np.ones(len(h), bool)
+                    stays[tied] = False
+                    first = at[start[times >= TIED_HERE]]
+                    stays[first], place[first] = True, -1
+                    h, owner, place, n = h[stays], owner[stays], place[stays], n[stays]
+                yield batch(h, sig[owner], n, place)
+
+    return docs.select("text").mapInArrow(scan, _POSTING)
 
 
 def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, star): sets that share an n-gram of their prefixes, from the fragments of the global order."""
+    """Partial overlaps by fragment: (a, b, shared, na, nb, pa, pb) of pairs, and ties (n-gram a, set b, its size nb) with the rest null.
+
+    shared: prefix n-grams of this fragment that both hold; pa, pb: the place of the last of them.
+    """
+    kind = "a long, b long, shared int, na int, nb int, pa int, pb int"
+    names = [x.split()[0] for x in kind.split(", ")]
 
-    def pairs_of(gram, sig, n, place):
-        """All pairs of holders of each n-gram that can reach the threshold if this is the first they share."""
-        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    def pairs_of(gram, sig, n, place) -> np.ndarray:
+        """(a, b, na, nb, pa, pb) of all pairs of holders of each n-gram whose lengths allow a link."""
+        start = _starts(gram)
         rank = np.arange(len(gram)) - np.repeat(start, np.diff(np.append(start, len(gram))))
         b = np.repeat(np.arange(len(gram)), rank)
         a = b - 1 - (np.arange(len(b)) - np.repeat(np.cumsum(rank) - rank, rank))
-        ok = 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= need(n[a].astype(np.int64), n[b].astype(np.int64), num, den)
-        return np.stack([sig[a[ok]], sig[b[ok]]], axis=1)
-
-    def batch(pairs: np.ndarray, star: bool) -> pa.RecordBatch:
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), star))], names=["a", "b", "star"])
+        ok = den * np.minimum(n[a], n[b]).astype(np.int64) >= num * np.maximum(n[a], n[b]).astype(np.int64)
+        a, b = a[ok], b[ok]
+        # Holders of an n-gram come in order of their signatures.
+        return np.stack([sig[a], sig[b], n[a], n[b], place[a], place[b]])
+
+    def summed(found: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(found, axis=1)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        start = np.flatnonzero(np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])) if x.shape[1] else np.empty(0, np.int64)
+        shared = np.diff(np.append(start, x.shape[1]))
+        most = [np.maximum.reduceat(x[i], start) if len(start) else x[i] for i in (4, 5)]
+        small = [shared, x[2][start], x[3][start], *most]
+        return pa.RecordBatch.from_arrays([pa.array(x[0][start]), pa.array(x[1][start]), *[pa.array(v.astype(np.int32)) for v in small]], names=names)
+
+    def tied(ties: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(ties, axis=1)
+        none = pa.nulls(x.shape[1], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), none, none, pa.array(x[2].astype(np.int32)), none, none], names=names)
 
     def fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "sig", "n", "place")
-        held = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.int32)] * 2
-        hub = None  # (n-gram, first holder) of a star that is under way
-        found, stars, n_found = [], [], 0
+        held = [np.empty(0, np.int64)] * 4
+        many_of = None  # an n-gram of many holders that is under way
+        found, ties, n_found = [], [], 0
+
+        def whole(x: list[np.ndarray]) -> None:
+            """Takes n-grams of which all holders are there."""
+            nonlocal n_found
+            start = _starts(x[0])
+            times = np.diff(np.append(start, len(x[0])))
+            many = np.repeat((times > PAIRS_UP_TO) | (x[3][start] < 0), times)
+            ties.append(np.stack([v[many] for v in x[:3]]))
+            got = pairs_of(*(v[~many] for v in x))
+            found.append(got)
+            n_found += got.shape[1]
+
         for b in batches:
-            x = [np.concatenate([o, b.column(c).to_numpy()]) for o, c in zip(held, names)]
+            if b.column("gram").null_count:
+                own = b.filter(b.column("gram").is_null())
+                ties.append(np.stack([own.column(c).to_numpy().astype(np.int64) for c in ("other", "sig", "n")]))
+                b = b.filter(b.column("gram").is_valid())
+            x = [np.concatenate([o, b.column(c).to_numpy().astype(np.int64)]) for o, c in zip(held, ("gram", "sig", "n", "place"))]
             fresh = np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])]) if len(x[0]) else np.empty(0, bool)
             x = [v[fresh] for v in x]
-            if not len(x[0]):
-                continue
-            if hub and (same := x[0] == hub[0]).any():
-                stars.append(np.stack([np.full(same.sum(), hub[1]), x[1][same]], axis=1))
+            if many_of is not None and (same := x[0] == many_of).any():
+                ties.append(np.stack([v[same] for v in x[:3]]))
                 x = [v[~same] for v in x]
-            if not len(x[0]):
-                held = x
-                continue
-            tail = x[0] == x[0][-1]
-            if tail.sum() > PAIRS_UP_TO:
-                hub = (x[0][-1], x[1][tail][0])
-                stars.append(np.stack([np.full(tail.sum(), hub[1]), x[1][tail]], axis=1))
-                held = [v[:0] for v in x]
-            else:
-                hub, held = None, [v[tail] for v in x]
-            x = [v[~tail] for v in x]
-            many = np.repeat(np.diff(np.append(s := np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]])), len(x[0]))), np.diff(np.append(s, len(x[0])))) > PAIRS_UP_TO if len(x[0]) else np.empty(0, bool)
-            if many.any():
-                gram, sig = x[0][many], x[1][many]
-                begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-                stars.append(np.stack([np.repeat(sig[begin], np.diff(np.append(begin, len(gram)))), sig], axis=1))
+            held = x
             if len(x[0]):
-                got = pairs_of(*(v[~many] for v in x))
-                found.append(got)
-                n_found += len(got)
-            if n_found > 1_000_000:
-                yield batch(np.concatenate(found), False)
+                tail = x[0] == x[0][-1]
+                held = [v[tail] for v in x]
+                whole([v[~tail] for v in x])
+                if tail.sum() > PAIRS_UP_TO or held[3][0] < 0:
+                    many_of = held[0][0]
+                    ties.append(np.stack(held[:3]))
+                    held = [v[:0] for v in held]
+            if n_found > 300_000:
+                yield summed(found)
                 found, n_found = [], 0
-            if sum(map(len, stars)) > 1_000_000:
-                yield batch(np.concatenate(stars), True)
-                stars = []
-        if len(held[0]):
-            found.append(pairs_of(*held))
-        if found:
-            yield batch(np.concatenate(found), False)
-        if stars:
-            yield batch(np.concatenate(stars), True)
-
-    ordered = postings.repartition("gram").sortWithinPartitions("gram", "sig")
-    return scratch.keep(ordered.mapInArrow(fragment, "a long, b long, star boolean"), "candidates")
-
-
-def _bounded(candidates: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates whose overlap can reach the threshold by their bitmaps; stars as they are."""
-    pairs = candidates.where("not star").select("a", "b").distinct()
-    sets = facts.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = scratch.keep(sets.join(wanted, "sig", "left_semi"), "bitmaps")
-    side = lambda c: sets.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")))
-            ok = [(na + nb - _differ(x, y)) // 2 >= need(na, nb, num, den) for na, nb, x, y in rows]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            if ties:
+                yield tied(ties)
+                ties = []
+        whole(held)
+        yield summed(found)
+        yield tied(ties)
 
-    kept = both.mapInArrow(bound, "a long, b long")
-    return kept.union(candidates.where("star and a <> b").select("a", "b"))
+    dealt = postings.repartition(F.coalesce("gram", "sig")).sortWithinPartitions("gram", F.col("place") >= 0, "sig")
+    return scratch.keep(dealt.mapInArrow(fragment, kind), "candidates")
+
+
+def _edges(candidates: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs whose summed partial overlaps leave room for the threshold, and sets tied to n-grams that may link by these alone.
+
+    What two sets share beyond the last n-gram that their prefixes share is at most what is left of
+    either; and of the set whose prefix ends first, only what lies beyond that prefix is not yet counted.
+    """
+    pairs = candidates.where("shared is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    ties = scratch.keep(candidates.where("shared is null").select("a", "b", F.col("nb").alias("n")).distinct(), "ties")
+    tied = scratch.keep(ties.groupBy("b").agg(F.count("*").alias("ties"), F.max("n").alias("n")), "tied")
+    for c in "ab":
+        pairs = pairs.join(tied.select(F.col("b").alias(c), F.col("ties").alias(f"ties_{c}")), c, "left")
+    beyond = lambda c: F.ceil(F.col(c) * (num * 13) / F.lit(den * 15)) - 1
+    room = F.least(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1, F.greatest(beyond("na"), beyond("nb")))
+    more = F.least(F.coalesce("ties_a", F.lit(0)), F.coalesce("ties_b", F.lit(0)))
+    wanted = F.ceil((F.col("na") + F.col("nb")) * num / F.lit(num + den))
+    alone = tied.where(F.col("ties") * (den * 15) >= F.col("n") * (num * 2)).select("b")
+    return pairs.where(F.col("shared") + more + room >= wanted).select("a", "b").union(ties.join(alone, "b").select("a", "b"))
 
 
 def _overlap_links(x_sets: list[np.ndarray], y_sets: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,10 +370,17 @@ def _members(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _verified(docs: DataFrame, families: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links found by exact counts within families; families: id, sig, family of one row for each set."""
-    sizes = families.groupBy("family").count()
-    lanes = scratch.keep(families.join(scratch.keep(sizes, "sizes"), "family").withColumn("lane", F.pmod(F.xxhash64("sig"), F.ceil(F.col("count") / (8 * BLOCK)))), "lanes")
+def _verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links of nodes found by exact counts within families; members: id, node, sig, sig2, n, family of one row for each set."""
+    sizes = scratch.keep(members.groupBy("family").agg(F.count("*").alias("of")), "sizes")
+    # Sets that link have lengths of one or of neighbouring bands.
+    band = F.floor(F.log("n") / F.lit(math.log(1.0001 * den / num))).cast("int")
+    large = F.col("of") > BLOCK
+    lanes = members.join(sizes, "family").select(
+        "id", "node", "sig", "sig2", "family", F.when(large, band).otherwise(0).alias("band"),
+        F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / (8 * BLOCK)))).otherwise(0).alias("lane"), "of",
+    )
+    lanes = scratch.keep(lanes, "lanes")
     packed = _members(lanes.select("id"))
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,46 +388,50 @@ def _verified(docs: DataFrame, families: DataFrame, k: int, num: int, den: int)
         for b in batches:
             yield b.filter(pa.array(member[wordhash.mix(b.column(0).to_numpy().astype(np.uint64)) % np.uint64(MEMBER_BITS)]))
 
-    texts = docs.select("id", "text").mapInArrow(may, "id long, text string").join(lanes, "id").select("text", "sig", "family", "lane", F.col("count").alias("of"))
-    dealt = texts.repartition("family", "lane").sortWithinPartitions("family", "lane", "sig")
-    kind = "a long, b long, family long, sigs binary, sizes binary, grams binary"
+    texts = docs.select("id", "text").mapInArrow(may, "id long, text string").join(lanes, "id").drop("id")
+    dealt = texts.repartition("family", "band", "lane").sortWithinPartitions("family", "band", "lane", "node")
+    kind = "a long, b long, family long, band int, nodes binary, sizes binary, grams binary"
+    names = [c.split()[0] for c in kind.split(", ")]
 
-    def links(a, b):
+    def links(a, b) -> pa.RecordBatch:
         m = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.binary())] * 3], names=[c.split()[0] for c in kind.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], names=names)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sigs, sets, of = None, [], [], 0
+        held, nodes, sets, of = None, [], [], 0
 
         def close():
             i, j = _overlap_links(sets, None, num, den)
-            found = _forest((sigs[p], sigs[q]) for p, q in zip(i.tolist(), j.tolist()))
+            found = _forest((nodes[p], nodes[q]) for p, q in zip(i.tolist(), j.tolist()))
             if found:
                 yield links(*zip(*found))
             if of > len(sets):
                 sizes = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([held[0]], pa.int64()), pa.array([np.array(sigs, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary())], names=[c.split()[0] for c in kind.split(", ")])
-
-        for b in batches:
-            h, size = sets_of(b.column(0), k)
-            end, same = np.cumsum(size), _signatures(h, size).view(np.int64) == b.column(1).to_numpy()
-            for key, sig, total, e, n, own in zip(zip(b.column(2).to_pylist(), b.column(3).to_pylist()), b.column(1).to_pylist(), b.column(4).to_pylist(), end, size, same):
-                if not own or (sets and key == held and sigs[-1] == sig):
-                    continue  # another text under the same id, or a repeated row
-                if sets and (key != held or len(sets) >= BLOCK):
-                    yield from close()
-                    sigs, sets = [], []
-                held, of = key, total
-                sigs.append(sig)
-                sets.append(h[e - n : e].copy())
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (np.array(nodes, np.int64), sizes, np.concatenate(sets))]], names=names)
+
+        for batch in batches:
+            for b in wordhash.portions(batch, batch.schema.get_field_index("text")):
+                column = lambda c: b.column(c).to_pylist()  # noqa: B023, E731
+                h, size = sets_of(b.column("text"), k)
+                same = np.logical_and(*(own.view(np.int64) == b.column(c).to_numpy() for own, c in zip(_signatures(h, size), ("sig", "sig2"))))
+                for key, node, total, e, n, own in zip(zip(column("family"), column("band"), column("lane")), column("node"), column("of"), np.cumsum(size), size, same):
+                    if not own or (sets and key == held and nodes[-1] == node):
+                        continue  # another text under the same id, or a repeated row
+                    if sets and (key != held or len(sets) >= BLOCK or sum(map(len, sets)) + n > BLOCK_GRAMS):
+                        yield from close()
+                        nodes, sets = [], []
+                    held, of = key, total
+                    nodes.append(node)
+                    sets.append(h[e - n : e].copy())
         if sets:
             yield from close()
 
     made = scratch.keep(dealt.mapInArrow(within, kind), "within")
-    blocks = made.where("family is not null").select("family", "sigs", "sizes", "grams").withColumn("block", F.xxhash64("sigs"))
-    left = blocks.select("family", *[F.col(c).alias(f"{c}_x") for c in ("block", "sigs", "sizes", "grams")])
-    right = blocks.select("family", *[F.col(c).alias(f"{c}_y") for c in ("block", "sigs", "sizes", "grams")])
-    across = left.join(right, "family").where("block_x < block_y").drop("family", "block_x", "block_y")
+    blocks = made.where("family is not null").select("family", "band", "nodes", "sizes", "grams").withColumn("block", F.xxhash64("nodes"))
+    left = blocks.select("family", F.col("band").alias("own"), F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_x") for c in ("block", "nodes", "sizes", "grams")])
+    right = blocks.select("family", "band", *[F.col(c).alias(f"{c}_y") for c in ("block", "nodes", "sizes", "grams")])
+    across = left.join(right, ["family", "band"]).where("own < band or block_x < block_y").drop("family", "band", "own", "block_x", "block_y")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(sizes, grams):
@@ -372,8 +440,8 @@ def _verified(docs: DataFrame, families: DataFrame, k: int, num: int, den: int)
 
         for b in batches:
             for i in range(b.num_rows):
-                get = lambda c: b.column(c)[i].as_py()  # noqa: B023, E731
-                x, y = np.frombuffer(get("sigs_x"), np.int64), np.frombuffer(get("sigs_y"), np.int64)
+                get = lambda c: b.column(c)[i].as_buffer()  # noqa: B023, E731
+                x, y = np.frombuffer(get("nodes_x"), np.int64), np.frombuffer(get("nodes_y"), np.int64)
                 p, q = _overlap_links(sets(get("sizes_x"), get("grams_x")), sets(get("sizes_y"), get("grams_y")), num, den)
                 found = _forest(zip(x[p].tolist(), y[q].tolist()))
                 if found:
@@ -389,37 +457,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     Two rows link when their sets of distinct k-word shingles (A-Z as a-z; under k words, the whole
     sequence as one) have den * overlap >= num * union. Rows without words or text have n_shingles 0
     and link with nothing; so do rows without id, whose component is null. Repeated rows stay, each
-    with its row. Empty tables give none. Other columns are left out. with_sets: also sig, the set's
-    signature, and stands, whether the row's id and set stand for its class.
+    with its row. Empty tables give none. Other columns are left out. with_sets: also sig and sig2, the
+    set's signature, and stands, whether the row's id and set stand for its class.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = _facts(rows, k)
     per_doc = facts.where("slice is null")
     candidates = _candidates(_postings(rows, _heavy(facts), k, num, den), num, den)
-    edges = scratch.keep(_bounded(candidates, per_doc, num, den), "edges")
+    edges = scratch.keep(_edges(candidates, num, den), "edges")
+    scratch.drop(candidates)
     families = connected(edges, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("family"))
     # One document stands for each set; rows of one id that differ in text stand for their own sets.
-    least = scratch.keep(per_doc.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("id")), "least_ids")
-    links = scratch.keep(_verified(rows.where("id is not null"), least.join(families, "sig"), k, num, den), "jaccard_links")
-    classes = connected(links, "a", "b").select(F.col("node").alias("sig"), "component")
-    known = least.join(classes, "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
-    known = scratch.keep(known, "known")
-    roots = scratch.keep(known.groupBy("component").agg(F.min(F.struct("id", F.col("sig").alias("first"))).alias("m")).select("component", F.col("m.id").alias("component_id"), "m.first"), "roots")
-    by_sig = scratch.keep(known.join(roots, "component").select("sig", "component_id", (F.col("sig") == F.col("first")).alias("first")), "by_sig")
-    out = per_doc.select("id", F.col("n").alias("n_shingles"), "sig").join(by_sig, "sig", "left")
+    least = per_doc.where("n > 0 and id is not null").groupBy("sig", "sig2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    sets = scratch.keep(least.withColumn("node", F.monotonically_increasing_id()), "sets")
+    links = scratch.keep(_verified(rows.where("id is not null"), sets.join(families, "sig"), k, num, den), "jaccard_links")
+    scratch.drop(edges)
+    classes = connected(links, "a", "b")
+    known = scratch.keep(sets.join(classes, "node", "left").select("sig", "sig2", "id", "node", F.coalesce("component", "node").alias("component")), "known")
+    scratch.drop(sets)
+    scratch.drop(links)
+    roots = scratch.keep(known.groupBy("component").agg(F.min(F.struct("id", "node")).alias("m")).select("component", F.col("m.id").alias("component_id"), F.col("m.node").alias("first")), "roots")
+    by_set = scratch.keep(known.join(roots, "component").select("sig", "sig2", "component_id", (F.col("node") == F.col("first")).alias("first")), "by_set")
+    scratch.drop(known)
+    scratch.drop(roots)
+    out = per_doc.select("id", F.col("n").alias("n_shingles"), "sig", "sig2").join(by_set, ["sig", "sig2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    sets = ["sig", F.coalesce(F.col("first") & (F.col("id") == F.col("component_id")), F.lit(False)).alias("stands")] if with_sets else []
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), *sets)
+    extra = ["sig", "sig2", F.coalesce(F.col("first") & (F.col("id") == F.col("component_id")), F.lit(False)).alias("stands")] if with_sets else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), *extra)
 
 
 def with_signatures(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
-    """docs with __n and __sig: size and signature of each row's set."""
+    """docs with __n, __sig and __sig2: size and signature of each row's set."""
     names = docs.columns
-    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __n long, __sig long"
+    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __n long, __sig long, __sig2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, size = sets_of(b.column(len(names)), k)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _signed(size), _signed(_signatures(h, size))], names=[*names, "__n", "__sig"])
+        for batch in batches:
+            for b in wordhash.portions(batch, len(names)):
+                h, size = sets_of(b.column(len(names)), k)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _signed(size), *map(_signed, _signatures(h, size))], names=[*names, "__n", "__sig", "__sig2"])
 
     return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, kind)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -27,15 +29,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+#: Powers of a base that have been worked out, up to a fixed number.
+_KNOWN: dict[int, np.ndarray] = {}
+_KEPT = (1 << 20) + 1
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    known = _KNOWN.get(base, _BYTE[:0])
+    if len(known) < n:
+        known = np.full(max(n, min(_KEPT, 2 * n)), base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if len(known) <= _KEPT:
+            _KNOWN[base] = known
+    return known[:n]
 
 
 _INVERSE = pow(int(_ODD), -1, 2**64)
 
+#: Bytes of text that a function takes at once, which bounds its arrays; any number gives the same result.
+PORTION = 2 << 20
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in a column have at most so many bytes; a longer text stands alone."""
+    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    end, at = np.cumsum(size, dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
 
 def words_of(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of each text: (hash of each word in order, number of words of each text).
@@ -59,7 +83,7 @@ def words_of(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     # In slices of words: the sums of a slice need eight bytes for each byte of text.
     at = 0
     while at < len(start):
-        stop = max(at + 1, int(np.searchsorted(start, start[at] + 4_000_000)))
+        stop = max(at + 1, int(np.searchsorted(start, start[at] + 1_000_000)))
         lo, hi = int(start[at]), int(end[stop - 1])
         piece = data[lo:hi]
         powers = _powers(int(_ODD), hi - lo)

@@ -36,3 +36,19 @@ def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
     got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
     want = [(1, a), (2, b), (2, c), (5, None), (5, ""), (6, "s t u v w x"), (None, a)]
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((i or 0, t or "") for i, t in want)
+
+
+def test_every_stage_takes_an_empty_table_nulls_and_repeats(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], kind)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "s", 9), (3, long, "en", "s", 9), (None, "x y", "en", "s", 3), (4, "word " * 50_000, "en", "s", 250_000)]
+    some = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+    assert corpus_pipeline.drop_toxic(spark, some, SF).count() == len(rows)
+    cut = sorted((r.doc_id or 0, r.n_chars or 0, r.text or "") for r in corpus_pipeline.cut_repeats(spark, some, SF).collect())
+    assert cut == [(0, 0, ""), (0, 3, "x y"), (1, 0, ""), (2, 0, ""), (3, 0, ""), (3, 0, ""), (4, 0, "")]
+    packed = corpus_pipeline.pack_sequences(spark, some, SF).collect()
+    assert sum(r.doc_tokens == 1 and r.length == 1 for r in packed) == 3 and {r.doc_id for r in packed} == {None, 1, 2, 3, 4}
+    assert len({r.sequence_id for r in packed}) > 50

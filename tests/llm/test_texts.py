@@ -6,9 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from graphloom.llm import ngram_join, packing, substring, toxicity
+from graphloom.llm import ngram_join, packing, substring, toxicity, wordhash
 from graphloom.llm import sentencepiece_viterbi as sentencepiece
 
 KIND = "doc_id long, text string, n_words int, component_id string, score string"
@@ -60,21 +61,35 @@ def jaccard_truth(rows):
     return sorted((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("pairs_up_to, block", [(128, 256), (4, 8)])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, pairs_up_to, block):
-    monkeypatch.setattr(ngram_join, "PAIRS_UP_TO", pairs_up_to)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    rows = corpus(5, 160)
+@pytest.mark.parametrize("pairs_up_to, tied_here, block, fragments", [(128, 32, 256, 4), (4, 3, 8, 4), (1, 2, 4, 1), (1000, 1000, 64, 9)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, pairs_up_to, tied_here, block, fragments):
+    """Ties, pairs, blocks and fragments of several sizes."""
+    for name, value in (("PAIRS_UP_TO", pairs_up_to), ("TIED_HERE", tied_here), ("BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
+    spark.conf.set("spark.sql.shuffle.partitions", fragments)
+    try:
+        rows = corpus(5, 160)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(make(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == jaccard_truth(rows)
+
+
+def test_heavy_ngrams_are_tied_where_they_lie(spark, monkeypatch):
+    """Every n-gram counts as frequent: holders that stand together are tied in their portion."""
+    monkeypatch.setattr(ngram_join, "_heavy", lambda facts: np.ones(ngram_join.WIDTH, bool))
+    monkeypatch.setattr(ngram_join, "TIED_HERE", 2)
+    rows = corpus(7, 120)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(make(spark, rows)).collect())
     assert got == jaccard_truth(rows)
 
 
-def test_bitmaps_never_rule_out_a_true_overlap():
-    r = np.random.default_rng(0)
-    for _ in range(200):
-        a = np.unique(r.integers(0, 2**63, r.integers(1, 300)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: r.integers(0, len(a) + 1)], r.integers(0, 2**63, r.integers(1, 300)).astype(np.uint64)]))
-        assert ngram_join._differ(ngram_join.parity(a).tobytes(), ngram_join.parity(b).tobytes()) <= len(set(a.tolist()) ^ set(b.tolist()))
+def test_portions_hold_whole_texts():
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 5, None, "", "b" * 20, "c" * 4, "d" * 4])], names=["i", "text"])
+    for most in (1, 5, 8, 9, 100):
+        parts = list(wordhash.portions(b, 1, most))
+        assert pa.Table.from_batches(parts).combine_chunks() == pa.Table.from_batches([b])
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= most for p in parts)
 
 
 def repeats_truth(rows, length):
@@ -98,6 +113,21 @@ def test_substring_dedup_against_brute_force(spark, length):
     assert got == repeats_truth(rows, length)
 
 
+def test_equal_windows_pick_the_same_seed_wherever_they_stand():
+    r = np.random.default_rng(6)
+    words = r.integers(0, 3, 400).astype(np.uint64)
+    for width in (1, 2, 5, 28):
+        at = substring.least_last(words, width)
+        assert at.tolist() == [max(range(i, i + width), key=lambda j: (-int(words[j]), j)) for i in range(len(words) - width + 1)]
+
+
+def test_rows_alike_in_id_and_text_repeat_each_other(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text)] * 30 + [(2, "own " + text + " words"), (3, "other words")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.drop_repeats(make(spark, rows)).collect())
+    assert got == [(1, 50, 50)] * 30 + [(2, 52, 50), (3, 2, 0)]
+
+
 def test_substring_dedup_keeps_columns_and_clean_texts(spark):
     rows = [(1, "a  b\n" + "x y z " * 3), (2, "clean   text"), (3, None)]
     got = {r.doc_id: r for r in substring.drop_repeats(make(spark, rows), 4, keep=True).collect()}
@@ -184,6 +214,67 @@ def test_streaming_viterbi_against_brute_force_and_back(spark, vocab):
     assert {r.decoded_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256(b"x y").hexdigest()}
 
 
+def test_decoding_finds_the_likeliest_of_all_readings(spark):
+    """decode() against every way to read each sign: as a letter it may stand for, as a repeat, or as nothing."""
+    docs = make(spark, [(0, "a cab is tall, so is a bat; else ales stall")])
+    model = toxicity.log_model(toxicity.letter_counts(docs))
+    r = random.Random(2)
+
+    def readings(token):
+        """(log chance, word) of every reading, sign by sign."""
+        open_ = [(0.0, 0, "")]
+        for at, sign in enumerate(token):
+            again, grown = at and token[at - 1] == sign, []
+            for chance, state, word in open_:
+                letters = {sign: toxicity._PLAIN} if sign.isalpha() else {x: toxicity._LOOK for x in toxicity.LOOKALIKES.get(sign, "")}
+                if sign in toxicity.MASKS:
+                    letters |= dict.fromkeys("abcdefghijklmnopqrstuvwxyz", toxicity._MASK)
+                for x, p in letters.items():
+                    grown.append((chance + model[state, ord(x) - 96] + p, ord(x) - 96, word + x))
+                stays = []
+                if again and state and (chr(96 + state) == sign or chr(96 + state) in toxicity.LOOKALIKES.get(sign, "")):
+                    stays.append(toxicity._AGAIN)
+                if not sign.isalpha():
+                    stays.append(toxicity._DIGIT if sign.isdigit() else toxicity._NOISE)
+                if stays:
+                    grown.append((chance + max(stays), state, word))
+            open_ = grown
+        return sorted(((c + model[s, 0], w) for c, s, w in open_), reverse=True)
+
+    for _ in range(60):
+        token = "".join(r.choice("aabls41.@*$ee") for _ in range(r.randint(1, 5)))
+        found = readings(token)
+        ties = {w for c, w in found if abs(c - found[0][0]) < 1e-9}
+        assert toxicity.decode(token, model) in ties, token
+
+
+def test_letter_pairs_do_not_depend_on_how_texts_lie(spark):
+    rows = [(0, "ab"), (1, "cd "), (2, None), (3, ""), (4, "x")]
+    whole = toxicity.letter_counts(make(spark, rows).coalesce(1))
+    want = np.zeros((28, 28))
+    for word in ("ab", "cd", "x"):
+        for a, b in zip("`" + word, word + "`"):
+            want[ord(a) - 96, ord(b) - 96] += 1
+    want[0, 0] += 1  # the blank after cd, before the end of its text
+    assert (whole == want).all() and (toxicity.letter_counts(make(spark, rows).repartition(5)) == want).all()
+
+
+def test_labels_that_repeat_or_disagree(spark):
+    rows = [(i, "fine words here" if i % 2 else "idiot idiot moron") for i in range(80)]
+    labels = [(i, int(i % 2 == 0)) for i in range(80)] + [(0, 0), (1, 1), (1, 1)]
+    docs, known = make(spark, rows + [(0, "fine words here")]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    assert len(got) == 81 and all(0 <= x.score <= 1 for x in got)
+    assert toxicity.fit(docs, known, max_rows=0).places == {}
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    rows = [(i, "fine words here " * 3 if i % 2 else "idiot moron " * 3) for i in range(200)]
+    docs, known = make(spark, rows + [(999, "calm " * 300_000 + "idiot moron " * 50_000)]), spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+    assert got[999] == 1
+
+
 def test_disguises_are_undone(spark):
     docs = make(spark, [(i, "the stupid idiot and the moron with a loser stated this house") for i in range(30)])
     restorer = toxicity.Restorer(toxicity.letter_counts(docs))
