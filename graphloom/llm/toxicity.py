@@ -54,13 +54,18 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(_A * _A, np.int64)
         for b in batches:
             raw = pa.compute.fill_null(b.column(0).cast(pa.large_string()).cast(pa.large_binary()), b"")
-            body, offsets = raw.buffers()[2], np.frombuffer(raw.buffers()[1], np.int64)
-            if not len(raw) or body is None:
+            body, ends = raw.buffers()[2], np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            if not len(raw) or body is None or ends[0] == ends[-1]:
                 continue
             data = np.frombuffer(body, np.uint8)
-            for at in range(int(offsets[0]), int(offsets[len(raw)]), 1 << 24):
-                x = kind[data[at : min(at + (1 << 24), int(offsets[len(raw)]))]]
+            for at in range(int(ends[0]), int(ends[-1]), 1 << 20):
+                x = kind[data[at : min(at + (1 << 20) + 1, int(ends[-1]))]]
                 total += np.bincount(x[:-1] * _A + x[1:], minlength=_A * _A)
+            # A text begins and ends a word; what follows it in the batch is another text.
+            held = np.flatnonzero(ends[1:] > ends[:-1])
+            head, tail = kind[data[ends[held]]], kind[data[ends[held + 1] - 1]]
+            total += np.bincount(head, minlength=_A * _A) + np.bincount(tail * _A, minlength=_A * _A)
+            total -= np.bincount(tail[:-1] * _A + head[1:], minlength=_A * _A)
         pick = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pick.astype(np.int32)), pa.array(total[pick])], names=["pair", "n"])
 
@@ -263,61 +268,63 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
     """A model from labelled documents outside the held-out fifth (crc32 of the id's digits, mod 5, is 0).
 
     The letter counts cover all documents. The classifier is fitted on at most about max_rows labelled
-    rows, chosen by a hash of the id; only their words reach the driver. Near copies count once.
+    rows, chosen by a hash of the id; only their features reach the driver. Near copies count once. Words
+    and beginnings of words that stand in at least 3 toxic rows and stand out there (over 4 standard
+    deviations) are candidates; the max_features that stand out most are kept. A document that is labelled
+    twice counts with each label. Without rows of both labels the model has no feature.
     """
     counts = letter_counts(docs, text_col)
     usable = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     total = usable.count()
     share = min(1.0, max_rows / total) if total else 1.0
     # At most about max_rows ids and labels: a bound that does not depend on the input.
-    chosen = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(id_col).alias("__id"), (F.col("toxic") > 0).cast("int").alias("__toxic"))
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    chosen = usable.where(draw < share).select(F.col(id_col).alias("__id"), (F.col("toxic") > 0).cast("int").alias("__toxic"))
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(counts)
-        for b in batches:
-            texts = b.column(0)
-            hashes, count = wordhash.words_of(texts, lower=True)
+        for b in (p for batch in batches for p in wordhash.portions(batch, 0)):
+            hashes, count = wordhash.words_of(b.column(0), lower=True)
             end = np.cumsum(count)
             key = [int(wordhash.runs_of(hashes[e - n : e], min(5, n)).min()) >> 1 if n else 0 for e, n in zip(end, count)]
-            words = [" ".join(f"{w} {n}" for w, n in r.words(t).items()) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(key, pa.int64()), pa.array(words)], names=["toxic", "key", "words"])
+            bags = [r.words(t.as_py()) for t in b.column(0)]
+            held = [features(x) for x in bags]
+            lists = [pa.array([[*x.keys()] for x in held], pa.list_(pa.string())), pa.array([[*x.values()] for x in held], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(key, pa.int64()), pa.array([sum(x.values()) for x in bags], pa.int64()), *lists], names=["toxic", "key", "n", "features", "times"])
 
     sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string"), "__toxic")
-    rows = sample.mapInArrow(restore, "toxic int, key long, words string").toArrow()
-    # The words stay packed in Arrow; a bag of words lives no longer than it is looked at.
+    rows = sample.mapInArrow(restore, "toxic int, key long, n long, features array<string>, times array<int>").toArrow()
+    # The first of each key and label.
     first: dict[tuple, int] = {}
     for i, key in enumerate(zip(rows.column("key").to_pylist(), rows.column("toxic").to_pylist())):
         first.setdefault(key, i)
-    packed = rows.column("words").take(pa.array(list(first.values()), pa.int64()))
-    y = np.array([toxic for _, toxic in first], float)
+    rows = rows.take(pa.array(list(first.values()), pa.int64()))
+    y, n = (rows.column(c).to_numpy().astype(float) for c in ("toxic", "n"))
     bad, good = int(y.sum()), int(len(y) - y.sum())
     if not bad or not good:
         return Model({}, np.zeros(0), math.log((bad + 0.5) / (good + 0.5)) if bad + good else -3.0, counts)
-
-    def bag(i: int) -> Counter:
-        parts = packed[i].as_py().split(" ")
-        return Counter(dict(zip(parts[::2], map(int, parts[1::2])))) if len(parts) > 1 else Counter()
-
-    in_bad: Counter = Counter()
-    for i in np.flatnonzero(y == 1):
-        in_bad.update(features(bag(i)).keys())
-    in_bad = {f: n for f, n in in_bad.items() if n >= 3}
-    n_bad, n_good, per = Counter(), Counter(), [0, 0]
-    for i, toxic in enumerate(y):
-        b = bag(i)
-        per[int(toxic)] += sum(b.values())
-        (n_bad if toxic else n_good).update({f: n for f, n in features(b).items() if f in in_bad})
-    rate = per[1] / max(1, sum(per))
-    z = {f: (n_bad[f] - (n_bad[f] + n_good[f]) * rate) / math.sqrt((n_bad[f] + n_good[f]) * rate + 1) for f in in_bad}
+    lists = rows.column("features").combine_chunks()
+    doc = np.repeat(np.arange(len(y)), pa.compute.list_value_length(lists).to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    code, names = coded.indices.to_numpy(), coded.dictionary
+    times = rows.column("times").combine_chunks().flatten().to_numpy()
+    toxic = y[doc] == 1
+    in_bad = np.bincount(code[toxic], minlength=len(names))
+    every, n_bad = (np.bincount(code, weights=times * w, minlength=len(names)) for w in (1, toxic))
+    rate = n[y == 1].sum() / max(1, n.sum())
     # What stands in few documents must not count by standing there often.
-    z = {f: v * min(1.0, in_bad[f] / 10) for f, v in z.items()}
-    best = sorted((f for f, v in z.items() if v > 4), key=lambda f: (-z[f], f))[:max_features]
-    model = Model({f: i for i, f in enumerate(best)}, np.zeros(2 * len(best)), 0.0, counts)
+    z = (n_bad - every * rate) / np.sqrt(every * rate + 1) * np.minimum(1.0, in_bad / 10)
+    found = np.flatnonzero((in_bad >= 3) & (z > 4))
+    text = {int(i): names[int(i)].as_py() for i in found}
+    best = sorted(text, key=lambda i: (-z[i], text[i]))[:max_features]
+    place = np.full(len(names), -1)
+    place[best] = np.arange(len(best))
     x = np.zeros((len(y), 2 * len(best)), np.float32)
-    for i in range(len(y)):
-        x[i] = model.row(bag(i))
+    at = np.flatnonzero(place[code] >= 0)
+    x[doc[at], place[code[at]]] = 1
+    x[doc[at], len(best) + place[code[at]]] = np.log1p(200.0 * times[at] / (n[doc[at]] + 20))
     w, b = _fit(x, y)
-    return Model(model.places, w, b, counts)
+    return Model({text[i]: k for k, i in enumerate(best)}, w, b, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -332,7 +339,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model.counts, (w for w in model.places if not w.startswith("^")))
-        for b in batches:
+        for b in (p for batch in batches for p in wordhash.portions(batch, len(names))):
             p = [model.score(r.words(t.as_py())) for t in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=[*names, "score", "predicted"])
 
