@@ -17,37 +17,46 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5, unchanged."""
+    """Documents with a toxicity score under 0.5, unchanged, repeated rows included. Null and empty texts score as texts without words; an empty table gives none."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     columns = docs.columns
     return toxicity.score(docs, model, keep=True).where("predicted = 0").select(*columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies one row with the smallest id; rows without words or id stay."""
+    """Of each class of near copies one row with the smallest id; rows without words or id stay.
+
+    Rows are told apart by id and set: of rows that share an id but not their words each is its own case, and of
+    repeated rows one stays. An empty table gives none.
+    """
+    key = ["doc_id", "__sig", "__sig2"]
     classes = scratch.keep(ngram_join.jaccard_components(docs, with_sets=True), "classes")
     stays = F.col("stands") | (F.col("n_shingles") == 0)
     ids = scratch.keep(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.max(stays).alias("stays")), "ids")
-    kept = docs.join(ids.where("stays and times = 1").select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(ids.where("stays and times = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     several = ids.where("stays and times > 1").select("doc_id")
     if several.limit(1).count():
         # An id alone does not tell its rows apart; their sets do.
         rows = ngram_join.with_signatures(docs.join(several, "doc_id", "left_semi"))
-        standing = classes.where("stands").select("doc_id", F.col("sig").alias("__sig")).distinct()
-        one = rows.where("__n > 0").join(standing, ["doc_id", "__sig"], "left_semi").dropDuplicates(["doc_id", "__sig"])
-        kept = kept.select(*docs.columns).union(one.select(*docs.columns)).union(rows.where("__n = 0").select(*docs.columns))
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+        standing = classes.where("stands").select("doc_id", F.col("sig").alias("__sig"), F.col("sig2").alias("__sig2")).distinct()
+        one = rows.where("__n > 0").join(standing, key, "left_semi").dropDuplicates(key)
+        kept = kept.union(one.select(*docs.columns)).union(rows.where("__n = 0").select(*docs.columns))
+    return kept.union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated 35-word windows; n_chars follows the text."""
+    """Documents without the words of repeated 35-word windows; n_chars follows the text.
+
+    Rows stay one for one, null and empty texts as they are; repeated rows of 35 words and more repeat each other
+    and lose all. An empty table gives none.
+    """
     cut = substring.drop_repeats(docs, keep=True)
     changed = F.col("n_removed") > 0
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of up to 1024 tokens."""
+    """Pieces of all documents in sequences of up to 1024 tokens. Null and empty texts are one token; repeated rows are packed each; an empty table gives none."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
