@@ -93,3 +93,9 @@ def fill(template: str, values: dict[str, Column]) -> Column:
         if name is not None:
             parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def sampled_digest(c: Column, size: int = 1 << 16) -> Column:
+    """SHA-256 of the first size signs of a value, and of the last ones where it is longer."""
+    tail = F.when(F.length(c) > size, F.right(c, F.lit(size))).otherwise("")
+    return F.sha2(F.concat(F.substring(c, 1, size), tail), 256)

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.cypher import EXTRACTION, extract, extract_udf
 
 
-def extract_all(queries: DataFrame, schemas: DataFrame, key: str, schema_key: str = "schema_id", query: str = "query", ship_up_to: int = 2000) -> DataFrame:
+def extract_all(queries: DataFrame, schemas: DataFrame, key: str, schema_key: str = "schema_id", query: str = "query", ship_up_to: int = 8 << 20) -> DataFrame:
     """key with EXTRACTION's columns for each query whose schema is known.
 
-    schemas: schema_key, labels array<string>, relations array<struct<source, type, target>>. Up to
-    ship_up_to schemas travel with the function, so that no schema is sent with each of its queries;
-    beyond that, queries are joined to their schemas.
+    schemas: schema_key, labels array<string>, relations array<struct<source, type, target>>. Schemas of up to
+    ship_up_to characters in all travel with the function, so that none is sent with each of its
+    queries; beyond that, queries are joined to their schemas.
     """
-    few = schemas.limit(ship_up_to + 1).collect()
-    if len(few) > ship_up_to:
+    size = schemas.agg(F.sum(F.length(F.to_json(F.struct("labels", "relations"))))).first()[0] or 0
+    if size > ship_up_to:
         joined = queries.join(schemas, schema_key)
         return joined.select(key, extract_udf(query, "labels", "relations").alias("x")).select(key, "x.*")
+    few = schemas.collect()
     known = {r[schema_key]: (list(r.labels), [(x.source, x.type, x.target) for x in r.relations]) for r in few}
     names = EXTRACTION.names
 

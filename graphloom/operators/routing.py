@@ -78,3 +78,17 @@ def zero_filled(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """df, which fails at run time where the condition does not hold."""
     return df.where(F.coalesce(condition, F.lit(False)) | F.raise_error(F.lit(message)).cast("boolean"))
+
+
+def captured(value: Column, failed: Column, message: Column) -> Column:
+    """struct<value, error>: the value, or why there is none."""
+    return F.struct(F.when(~failed, value.cast("double")).alias("value"), F.when(failed, message).alias("error"))
+
+
+def executable(failed: Column) -> Column:
+    return F.when(failed, 0.0).otherwise(1.0)
+
+
+def of_graph(rows: DataFrame, graph: str | None, column: str = "graph") -> DataFrame:
+    """Rows of one graph; an empty name asks for all."""
+    return rows.where(F.col(column) == graph) if graph else rows

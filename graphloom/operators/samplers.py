@@ -142,6 +142,26 @@ def pair_competitors(pairs: list[tuple[str, str, str]], rows: list[tuple[str, st
     return out, stats
 
 
+def paired_rows(pairs: DataFrame, rows: DataFrame, graph: str, question: str, unit: str, label: str, kind: str, seed: int) -> DataFrame:
+    """pair_competitors() for each graph: (graph, question, positive, negative, competes).
+
+    Units compete when they are of one kind and share a class of their number. Only rows of the chosen questions travel.
+    """
+    text = rows.select(*[F.col(c).cast("int" if c == label else "string").alias(c) for c in (graph, question, unit, label, kind)])
+    chosen = text.join(pairs.select(graph, question), [graph, question], "left_semi").withColumn("negative", F.lit(None).cast("string"))
+    both = pairs.select(graph, question, F.col("positive").alias(unit), F.lit(None).cast("int").alias(label), F.lit(None).cast("string").alias(kind), "negative").unionByName(chosen)
+    competes = lambda p, n: int(p) % 6 == int(n) % 6 or int(p) % 10 == int(n) % 10
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = pdf[pdf.negative.isna()]
+        given = sorted(zip(*(pdf[pdf.negative.notna()][c] for c in (question, unit, "negative"))))
+        kinds = dict(zip(held[unit], held[kind]))
+        out, _ = pair_competitors(given, list(zip(held[question], held[unit], held[label].astype(int))), kinds, competes, Draws(seed, str(key[0])))
+        return pd.DataFrame([(key[0], *p, competes(p[1], p[2])) for p in out], columns=[graph, question, "positive", "negative", "competes"])
+
+    return both.groupBy(graph).applyInPandas(run, f"{graph} string, {question} string, positive string, negative string, competes boolean")
+
+
 def rebalance(selected: dict[tuple[str, int], str], rows: list[tuple[str, str, int]], kind: dict[str, str], quota: dict[tuple[int, str], int]) -> dict[tuple[str, int], str]:
     """Units chosen anew so that each label has its quota of each kind, without leaving a covered unit uncovered.
 

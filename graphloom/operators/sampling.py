@@ -75,13 +75,27 @@ def balanced_sample(rows: DataFrame, example: str, key: str, label: str, target:
 
 
 def number(rows: DataFrame, order: list[str], name: str = "i") -> DataFrame:
-    """Rows numbered from 0 in a global order, without one task for all: counts of sorted ranges add up."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    local = ranged.withColumn("rn_", F.row_number().over(W.partitionBy("part_").orderBy(*order)))
-    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
-    # One row for each partition.
-    sizes = local.groupBy("part_").agg(F.max("rn_").alias("n_")).withColumn("at_", F.coalesce(F.sum("n_").over(before), F.lit(0))).select("part_", "at_")
-    return local.join(F.broadcast(sizes), "part_").withColumn(name, F.col("at_") + F.col("rn_") - 1).drop("part_", "rn_", "at_")
+    """Rows numbered from 0 in a global order, without one task for all.
+
+    Bounds of ranges come from a fixed number of rows, drawn by a hash of the order, and decide the balance
+    only. Both passes tell ranges apart by the same literals: one counts them, one numbers their rows.
+    order must tell rows apart for the numbers to be the same on every run.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(rows.dtypes)
+    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(16 * parts).distinct().orderBy(*order).collect()
+    bounds = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
+    own = F.struct(*[F.col(c).alias(f"k{j}") for j, c in enumerate(order)])
+    literal = lambda r: F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(f"k{j}") for j, c in enumerate(order)])
+    part = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= own)) if bounds else F.lit(0)
+    ranged = rows.withColumn("part_", part)
+    # One row for each range.
+    sizes, at, before = {r.part_: r["count"] for r in ranged.groupBy("part_").count().collect()}, [], 0
+    for i in range(len(bounds) + 1):
+        at.append(before)
+        before += sizes.get(i, 0)
+    rank = F.row_number().over(W.partitionBy("part_").orderBy(*order)) - 1
+    return ranged.withColumn(name, rank + F.get(F.array(*[F.lit(n).cast("long") for n in at]), F.col("part_"))).drop("part_")
 
 
 def batches(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
@@ -137,8 +151,60 @@ def drawn_count(rows: DataFrame, key: str, weights: list[tuple[int, float]], see
     return rows.select(key, expr.cast("int").alias("drawn"))
 
 
-def shuffled_blocks(rows: DataFrame, order: str, size: int, seed: int) -> DataFrame:
-    """Blocks of consecutive rows in random order; rows keep their place within a block."""
-    numbered = number(rows, [order])
-    block = F.floor(F.col("i") / size).cast("long")
-    return numbered.withColumn("block", block).withColumn("d", draw(seed, "block")).select(order, "block", "d")
+def droppable_batches(batch: int, pairs: int, negatives: int, total: int) -> tuple[int, int]:
+    """(first, how many) of the full batches that hold no contrast pair, in rows laid out by interleave_all()."""
+    if batch < 2 or batch % 2 or min(pairs, negatives, total) < 0 or total < 2 * pairs + negatives:
+        raise ValueError("batches have an even size, and rows are at least those of the selector")
+    half, selectors, full = batch // 2, 2 * pairs + negatives, total // batch
+    first = -(-2 * pairs // half)
+    if selectors > total - selectors:
+        if 2 * pairs > (total - selectors) // half * half:
+            raise ValueError("contrast pairs do not fit into the mixed batches")
+        return first, max(0, full - first)
+    first = min(first, full)
+    return first, max(0, min(-(-selectors // half), full) - first)
+
+
+def dropped_batches(batches: int, replicas: int, epoch: int, first: int, count: int) -> set[int]:
+    """Numbers of the batches left out in an epoch so that every rank gets as many: a window that moves on by epochs."""
+    n = batches % replicas if replicas > 1 else 0
+    if n and (first < 0 or first + count > batches or count < n):
+        raise ValueError("too few batches may be dropped to give every rank as many")
+    return {first + (epoch * n + i) % count for i in range(n)}
+
+
+def shuffled_blocks(rows: DataFrame, order: str, batch: int, seed: int, replicas: int = 1, epoch: int = 0, first: int = 0, count: int = 0) -> DataFrame:
+    """Batches of consecutive rows in random order: (order, batch, slot, position, rank).
+
+    Batches move in blocks: of two where half a batch is odd, so that no pair of neighbouring rows is
+    torn apart, else of one; an incomplete block stays last. Of several replicas batches go to each in
+    turn, and first and count say which batches may be dropped to even them out. With one replica a
+    short last batch follows at the end.
+    """
+    numbered = number(rows, [order]).withColumn("batch", F.floor(F.col("i") / batch).cast("long"))
+    total = rows.count()
+    full = total // batch
+    gone = dropped_batches(full, replicas, epoch, first, count)
+    kept = numbered.where(F.col("batch") < full)
+    if gone:
+        kept = kept.where(~F.col("batch").isin(*gone))
+    place = F.col("batch") - sum(((F.col("batch") > g).cast("long") for g in gone), F.lit(0))
+    unit = 2 if batch // 2 % 2 else 1
+    left = full - len(gone)
+    moved = kept.withColumn("at", place).withColumn("block", F.floor(F.col("at") / unit).cast("long"))
+    # One row for each block.
+    blocks = moved.where(F.col("block") < left // unit).select("block").distinct().withColumn("d", draw(seed + epoch, "block"))
+    ranked = number(blocks, ["d", "block"], "rank_").select("block", "rank_")
+    position = F.coalesce(F.col("rank_"), F.col("block")) * unit + F.col("at") % unit
+    out = moved.join(ranked, "block", "left").select(order, "batch", (F.col("i") % batch).alias("slot"), position.cast("long").alias("position"))
+    if replicas == 1 and total % batch:
+        out = out.unionByName(numbered.where(F.col("batch") >= full).select(order, "batch", (F.col("i") % batch).alias("slot"), F.lit(full).cast("long").alias("position")))
+    return out.withColumn("rank", F.col("position") % replicas)
+
+
+def after_progress(rows: DataFrame, order: list[str], key: str, done: DataFrame) -> DataFrame:
+    """rows beyond those that have a result; done must hold the keys of the first rows, no others."""
+    marked = number(rows, order).join(done.select(key).distinct().withColumn("done_", F.lit(True)), key, "left")
+    n = done.select(key).distinct().agg(F.count("*").alias("n_"))
+    checked = marked.crossJoin(F.broadcast(n)).where((F.col("done_").isNotNull() == (F.col("i") < F.col("n_"))) | F.raise_error(F.lit("results are not those of the first rows")).cast("boolean"))
+    return checked.where(F.col("i") >= F.col("n_")).select(*rows.columns)

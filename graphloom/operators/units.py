@@ -43,8 +43,8 @@ def match_relations(patterns: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations that a query pattern may mean.
 
     patterns: pattern, type (null: any), lefts, rights (arrays, empty: any), direction (out, in,
-    undirected); relations: source, type, target. Typed patterns join by their type; only the few
-    untyped ones meet every relation.
+    undirected); relations: source, type, target. Typed patterns join by their type, untyped ones by
+    the labels of an end that has some. A pattern without type and labels means every relation.
     """
 
     def fits(a: str, b: str) -> Column:
@@ -57,10 +57,18 @@ def match_relations(patterns: DataFrame, relations: DataFrame) -> DataFrame:
         | ((F.col("direction") == "undirected") & (fits("source", "target") | fits("target", "source")))
     )
     rel = relations.select("source", F.col("type").alias("rel_type"), "target")
-    typed = patterns.where("type is not null").join(rel, F.col("type") == F.col("rel_type"))
-    untyped = patterns.where("type is null").join(rel, F.lit(True))
     pick = ["pattern", "source", "rel_type", "target"]
-    return typed.where(ends).select(*pick).unionByName(untyped.where(ends).select(*pick))
+    out = patterns.where("type is not null").join(rel, F.col("type") == F.col("rel_type")).where(ends).select(*pick)
+    untyped = patterns.where("type is null")
+    at = F.explode(F.array(F.struct(F.col("source").alias("label"), F.lit("source").alias("end")), F.struct(F.col("target").alias("label"), F.lit("target").alias("end"))))
+    by_end = rel.select("*", at.alias("at")).select("source", "rel_type", "target", "at.*")
+    for side, forward, chosen in (("lefts", "source", F.size("lefts") > 0), ("rights", "target", (F.size("lefts") == 0) & (F.size("rights") > 0))):
+        back = "target" if forward == "source" else "source"
+        sides = F.when(F.col("direction") == "out", F.array(F.lit(forward))).when(F.col("direction") == "in", F.array(F.lit(back))).otherwise(F.array(F.lit(forward), F.lit(back)))
+        asked = untyped.where(chosen).withColumn("label", F.explode(F.array_distinct(side))).withColumn("end", F.explode(sides))
+        # A relation from a label to itself, or between two of the labels, is met at both ends.
+        out = out.unionByName(asked.join(by_end, ["label", "end"]).where(ends).select(*pick).distinct())
+    return out.unionByName(untyped.where((F.size("lefts") == 0) & (F.size("rights") == 0)).join(rel, F.lit(True)).select(*pick))
 
 
 def similar_nodes(nodes: DataFrame, properties: DataFrame, least_shared: int = 2, least_jaccard: float = 0.5) -> DataFrame:
@@ -100,3 +108,40 @@ def drop_selected(units: DataFrame, key: str, unit: str, ratio: float, seed: int
     n = units.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(draw(seed, key, unit).alias("d"), F.col(unit).alias("u"))).alias("first"))
     hit = n.where((F.col("n") > 1) & (uniform(seed, key) < ratio)).select(key, F.col("first.u").alias(unit))
     return units.join(hit, [key, unit], "left_anti")
+
+
+def subset(ids: Column, wanted: Column) -> Column:
+    """The ids that are wanted, in their order."""
+    return F.filter(ids, lambda x: F.array_contains(wanted, x))
+
+
+def missed(units: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
+    """(key, unit): what a selector is made to miss, for about a share of the keys.
+
+    units: key, unit, kind, label (1: gold), source, target. A gold relation goes, with those of its ends in
+    hand that no other relation needs; without gold relations a gold node goes that no relation needs.
+    Nothing goes where nothing would be left.
+    """
+    from .sampling import draw, uniform
+
+    held = units.groupBy(key, "unit", "kind").agg(F.max("label").alias("label"), F.min("source").alias("source"), F.min("target").alias("target"))
+    ends = held.where("kind = 'relation'").select(key, F.col("unit").alias("by"), F.explode(F.array_distinct(F.array("source", "target"))).alias("unit"))
+    needed = ends.groupBy(key, "unit").agg(F.count("*").alias("uses"), F.min("by").alias("by"))
+    marked = held.join(needed, [key, "unit"], "left")
+    gold, relation = F.col("label") == 1, F.col("kind") == "relation"
+    drawn = F.struct(draw(seed, key, "unit").alias("d"), F.col("unit").alias("u"))
+    per = marked.groupBy(key).agg(
+        F.count("*").alias("n"), F.min(F.when(gold & relation, drawn)).alias("r"), F.min(F.when(gold & ~relation & F.col("uses").isNull(), drawn)).alias("f"),
+    )
+    picked = per.where(uniform(seed, key) < ratio).select(key, "n", F.coalesce("r.u", "f.u").alias("picked")).where("picked is not null")
+    gone = marked.join(picked, key).where((F.col("unit") == F.col("picked")) | ((F.col("uses") == 1) & (F.col("by") == F.col("picked")) & ~relation))
+    kept = gone.groupBy(key).agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m < n").select(key)
+    return gone.select(key, "unit").join(kept, key, "left_semi")
+
+
+def augmentation_mode(rows: DataFrame, key: str, spare: str, gold: float, full: float, seed: int) -> DataFrame:
+    """rows with mode: gold (nothing is added, also where there is nothing to add), full (everything) or noisy (some units)."""
+    from .sampling import uniform
+
+    u = uniform(seed, key)
+    return rows.withColumn("mode", F.when((u < gold) | ~F.col(spare), "gold").when(u < gold + full, "full").otherwise("noisy"))

@@ -190,29 +190,49 @@ def balanced_eval_sample(spark, d):
 
 
 @query("""
-WITH s AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE unit_type = 'node' AND pos % 3 = 0),
-g AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE unit_type = 'relation' AND pos % 3 = 0),
+WITH s AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE unit_type = 'node'),
+g AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE unit_type = 'relation'),
 n AS (SELECT least((SELECT count(*) FROM s), (SELECT count(*) FROM g)) AS n),
 b AS (SELECT id, 1 AS task, CAST(floor(i / 4) AS BIGINT) * 8 + 4 + i % 4 AS k FROM s, n WHERE i < n UNION ALL SELECT id, 0, CAST(floor(i / 4) AS BIGINT) * 8 + i % 4 FROM g, n WHERE i < n)
 SELECT id, task, row_number() OVER (ORDER BY k) - 1 AS position FROM b""")
 def interleave_task_batches(spark, d):
-    rows = role(spark, d, "selection").where("pos % 3 = 0").select("id", "pos", "unit_type")
+    rows = role(spark, d, "selection").select("id", "pos", "unit_type")
     s, g = (sampling.number(rows.where(F.col("unit_type") == t).select("id", "pos"), ["pos"]) for t in ("node", "relation"))
     n = min(s.count(), g.count())
     return sampling.interleave(s.where(F.col("i") < n), g.where(F.col("i") < n), "id", 8)
 
 
-@query("""
-WITH s AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE label = 1 AND pos % 5 < 2),
-g AS (SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE label = 0 AND pos % 5 = 3),
+def _interleaved(spark, d, selectors: int):
+    """All rows, those of one label as selectors and those of the other as generators."""
+    rows = role(spark, d, "selection").select("id", "pos", "label")
+    s, g = (sampling.number(rows.where(F.col("label") == x).select("id", "pos"), ["pos"]) for x in (selectors, 1 - selectors))
+    return sampling.interleave_all(s, g, "id", 8, s.count(), g.count())
+
+
+def _numbered_sql(selectors: int) -> str:
+    one = "SELECT id, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection WHERE label = "
+    return f"s AS ({one}{selectors}), g AS ({one}{1 - selectors})"
+
+
+@query(f"""
+WITH {_numbered_sql(0)},
 m AS (SELECT (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM g) AS ng, CAST(floor((SELECT count(*) FROM g) / 4) AS BIGINT) AS k)
 SELECT id, 1 AS task, CASE WHEN i < k * 4 THEN CAST(floor(i / 4) AS BIGINT) * 8 + 4 + i % 4 ELSE k * 8 + ng - k * 4 + i - k * 4 END AS position FROM s, m WHERE ns > ng
 UNION ALL SELECT id, 0, CASE WHEN i < k * 4 THEN CAST(floor(i / 4) AS BIGINT) * 8 + i % 4 ELSE k * 8 + i - k * 4 END FROM g, m WHERE ns > ng""")
 def interleave_batches(spark, d):
-    rows = role(spark, d, "selection").select("id", "pos", "label")
-    s = sampling.number(rows.where("label = 1 and pos % 5 < 2").select("id", "pos"), ["pos"])
-    g = sampling.number(rows.where("label = 0 and pos % 5 = 3").select("id", "pos"), ["pos"])
-    return sampling.interleave_all(s, g, "id", 8, s.count(), g.count())
+    """More selectors than generators."""
+    return _interleaved(spark, d, 0)
+
+
+@query(f"""
+WITH {_numbered_sql(1)},
+n AS (SELECT (SELECT count(*) FROM s) AS ns, CAST(ceil((SELECT count(*) FROM s) / 4) AS BIGINT) AS chunks),
+m AS (SELECT ns, (chunks - 1) * 4 AS whole, 8 - (ns - (chunks - 1) * 4) AS fill FROM n)
+SELECT id, 1 AS task, CASE WHEN i < whole THEN CAST(floor(i / 4) AS BIGINT) * 8 + 4 + i % 4 ELSE whole * 2 + fill + i - whole END AS position FROM s, m
+UNION ALL SELECT id, 0, CASE WHEN i < whole THEN CAST(floor(i / 4) AS BIGINT) * 8 + i % 4 WHEN i < whole + fill THEN i + whole ELSE i + ns END FROM g, m""")
+def interleave_few_selectors(spark, d):
+    """Fewer selectors than generators: what is left of these comes last."""
+    return _interleaved(spark, d, 1)
 
 
 @query("""
@@ -231,9 +251,16 @@ def selector_miss(spark, d):
 
 
 @query("""
-SELECT pos, CAST(floor((row_number() OVER (ORDER BY pos) - 1) / 32) AS BIGINT) AS block, md5(concat_ws('|', '9', CAST(CAST(floor((row_number() OVER (ORDER BY pos) - 1) / 32) AS BIGINT) AS STRING))) AS d FROM @selection""")
+WITH n AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS total FROM @selection),
+b AS (SELECT pos, i % 32 AS slot, CAST(floor(i / 32) AS BIGINT) AS batch, CAST(floor(total / 32) AS BIGINT) AS batches FROM n),
+x AS (SELECT *, batches % 3 AS gone FROM b WHERE batch < batches),
+k AS (SELECT pos, slot, batch, dense_rank() OVER (ORDER BY batch) - 1 AS spot FROM x WHERE NOT list_contains(list_transform(range(gone), lambda j: 2 + (gone + j) % 6), batch)),
+d AS (SELECT *, md5(concat_ws('|', '10', CAST(spot AS STRING))) AS d FROM k),
+r AS (SELECT pos, batch, slot, dense_rank() OVER (ORDER BY d, spot) - 1 AS position FROM d)
+SELECT pos, batch, slot, position, position % 3 AS rank FROM r""")
 def block_shuffle(spark, d):
-    return sampling.shuffled_blocks(role(spark, d, "selection").select("pos"), "pos", 32, 9)
+    """Batches of 32 dealt to three ranks in the second epoch; two batches at most are left out to even them."""
+    return sampling.shuffled_blocks(role(spark, d, "selection").select("pos"), "pos", 32, 9, replicas=3, epoch=1, first=2, count=6)
 
 
 @query("""
@@ -258,7 +285,7 @@ def complement_units(spark, d):
 
 PATTERN_SQL = """SELECT pattern, CASE WHEN pattern % 4 = 0 THEN NULL ELSE mkt END AS type, CASE WHEN pattern % 3 = 0 THEN list_value() ELSE list_value(CAST(pattern % 25 AS INTEGER), CAST((pattern + 7) % 25 AS INTEGER)) END AS lefts,
   CASE WHEN pattern % 5 = 0 THEN list_value() ELSE list_value(CAST((pattern * 3) % 25 AS INTEGER)) END AS rights, CASE pattern % 3 WHEN 0 THEN 'out' WHEN 1 THEN 'in' ELSE 'undirected' END AS direction
-  FROM (SELECT c_custkey AS pattern, c_mktsegment AS mkt FROM customer WHERE c_custkey < 100)"""
+  FROM (SELECT c_custkey AS pattern, c_mktsegment AS mkt FROM customer)"""
 
 
 @query(f"""
@@ -269,7 +296,7 @@ WHERE (direction IN ('out', 'undirected') AND (len(lefts) = 0 OR list_contains(l
 def theta_relation_match(spark, d):
     p = F.col("c_custkey")
     ints = lambda *xs: F.array(*[x.cast("int") for x in xs])
-    patterns = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 100").select(
+    patterns = spark.read.parquet(f"{d}/customer.parquet").select(
         p.alias("pattern"), F.when(p % 4 != 0, F.col("c_mktsegment")).alias("type"), F.when(p % 3 == 0, F.array().cast("array<int>")).otherwise(ints(p % 25, (p + 7) % 25)).alias("lefts"),
         F.when(p % 5 == 0, F.array().cast("array<int>")).otherwise(ints((p * 3) % 25)).alias("rights"), F.when(p % 3 == 0, "out").when(p % 3 == 1, "in").otherwise("undirected").alias("direction"),
     )
@@ -277,12 +304,12 @@ def theta_relation_match(spark, d):
 
 
 @query("""
-WITH h AS (SELECT DISTINCT schema_id, example_id % 40 AS node_id, unit_id % 12 AS property FROM @selection WHERE example_id < 400),
+WITH h AS (SELECT DISTINCT schema_id, example_id % 200 AS node_id, unit_id AS property FROM @selection),
 n AS (SELECT schema_id, node_id, count(*) AS n FROM h GROUP BY ALL),
 s AS (SELECT a.schema_id, a.node_id AS a, b.node_id AS b, count(*) AS shared FROM h a JOIN h b ON a.schema_id = b.schema_id AND a.property = b.property AND a.node_id < b.node_id GROUP BY ALL)
 SELECT s.*, shared / (x.n + y.n - shared) AS jaccard FROM s JOIN n x ON x.schema_id = s.schema_id AND x.node_id = a JOIN n y ON y.schema_id = s.schema_id AND y.node_id = b WHERE shared >= 2 AND shared / (x.n + y.n - shared) >= 0.5""")
 def similar_nodes_jaccard(spark, d):
-    h = role(spark, d, "selection").where("example_id < 400").select("schema_id", (F.col("example_id") % 40).alias("node_id"), (F.col("unit_id") % 12).alias("property"))
+    h = role(spark, d, "selection").select("schema_id", (F.col("example_id") % 200).alias("node_id"), F.col("unit_id").alias("property"))
     keyed = h.distinct().withColumn("key", F.concat_ws("/", "schema_id", "node_id"))
     found = units.similar_nodes(keyed.select("schema_id", F.col("key").alias("node_id")).distinct(), keyed.select(F.col("key").alias("node_id"), "property"), 2, 0.5)
     number = lambda c: F.split_part(F.col(c), F.lit("/"), F.lit(2)).cast("long")
@@ -374,9 +401,12 @@ def unit_type_fallback(spark, d):
     return rows.select("id", made.alias("unit_type"))
 
 
-@query("SELECT id, pos, predicted FROM @selection WHERE pos > 50000")
+@query("SELECT id, pos, predicted FROM @selection WHERE pos > (SELECT quantile_disc(pos, 0.25) FROM @selection)")
 def resume_filter(spark, d):
-    return role(spark, d, "selection").where("pos > 50000").select("id", "pos", "predicted")
+    """Rows beyond the first quarter, which has its results."""
+    rows = role(spark, d, "selection").select("id", "pos", "predicted")
+    done = rows.where(F.col("pos") <= rows.agg(F.expr("percentile_disc(0.25) within group (order by pos)")).first()[0]).select("id")
+    return sampling.after_progress(rows, ["pos"], "id", done)
 
 
 @query("SELECT k.source, coalesce(n, 0) AS n FROM (SELECT unnest(['F', 'O', 'P', 'absent']) AS source) k LEFT JOIN (SELECT source, count(*) AS n FROM @examples WHERE split = 'train' GROUP BY source) c USING (source)")
@@ -432,6 +462,10 @@ def _words(c):
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _worded(spark, d):
+    return role(spark, d, "pairs").select("item_id", _words(F.col("predicted")).alias("p"), _words(F.col("reference")).alias("r"))
+
+
 WORDS_SQL = "WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(predicted), '[^a-z0-9]+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(reference), '[^a-z0-9]+'), lambda x: x <> '') AS r FROM @pairs)"
 
 
@@ -444,23 +478,20 @@ SELECT item_id, CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN o = 0 THEN 0 ELSE 2 * (o
 
 @query(_overlap_sql(1))
 def rouge_1(spark, d):
-    return role(spark, d, "pairs").select("item_id", S.rouge_n(_words(F.col("predicted")), _words(F.col("reference")), 1).alias("score"))
+    return S.ngram_scores(_worded(spark, d), "item_id", "p", "r", 1)
 
 
 @query(_overlap_sql(2))
 def rouge_2(spark, d):
-    return role(spark, d, "pairs").select("item_id", S.rouge_n(_words(F.col("predicted")), _words(F.col("reference")), 2).alias("score"))
+    return S.ngram_scores(_worded(spark, d), "item_id", "p", "r", 2)
 
 
-@query(f"""{WORDS_SQL}, c AS (SELECT item_id, p[1:40] AS p, r[1:40] AS r FROM w),
-l AS (SELECT item_id, len(p) AS np, len(r) AS nr, list_reduce(list_transform(p, lambda x: {{'w': x, 'r': list_transform(range(len(r) + 1), lambda z: 0)}}),
+@query(f"""{WORDS_SQL}, l AS (SELECT item_id, len(p) AS np, len(r) AS nr, list_reduce(list_transform(p, lambda x: {{'w': x, 'r': list_transform(range(len(r) + 1), lambda z: 0)}}),
   lambda prev, cur: {{'w': cur.w, 'r': list_reduce(list_transform(range(1, len(r) + 1), lambda j: [CAST(j AS INTEGER)]), lambda acc, j: acc || [CASE WHEN r[j[1]] = cur.w THEN prev.r[j[1]] + 1 ELSE greatest(prev.r[j[1] + 1], acc[-1]) END], [0])}},
-  {{'w': '', 'r': list_transform(range(len(r) + 1), lambda z: 0)}}).r[-1] AS o FROM c)
+  {{'w': '', 'r': list_transform(range(len(r) + 1), lambda z: 0)}}).r[-1] AS o FROM w)
 SELECT item_id, CASE WHEN np = 0 AND nr = 0 THEN 1 WHEN o = 0 THEN 0 ELSE 2 * (o / np) * (o / nr) / (o / np + o / nr) END AS score FROM l""")
 def rouge_l(spark, d):
-    # Forty words of each text: the table of a pair has a cell for every two words.
-    rows = role(spark, d, "pairs").select("item_id", F.slice(_words(F.col("predicted")), 1, 40).alias("p"), F.slice(_words(F.col("reference")), 1, 40).alias("r"))
-    return rows.select("item_id", S.rouge_l(F.col("p"), F.col("r")).alias("score"))
+    return _worded(spark, d).select("item_id", S.rouge_l(F.col("p"), F.col("r")).alias("score"))
 
 
 @query(f"{WORDS_SQL} SELECT item_id, CASE WHEN len(list_distinct(p || r)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(p), list_distinct(r))) / len(list_distinct(p || r)) END AS score FROM w")
@@ -594,12 +625,12 @@ def extract_subschema(spark, d):
     return extract_all(role(spark, d, "examples").select("example_id", F.lit(0).alias("schema_id"), text.alias("query")), schema, "example_id")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM @events_by_user WHERE event_id < 2000")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM @events_by_user")
 def execution_accuracy(spark, d):
     """Results that are equal up to the order of columns and rows, but every fifth, which lacks a row."""
     from ..functions.results import execution_accuracy as accuracy
 
-    e = role(spark, d, "events_by_user").where("event_id < 2000")
+    e = role(spark, d, "events_by_user")
     gold = F.format_string("[[%d, \"a\", 1.5], [%d, \"b\", 2.5]]", "event_id", "user_id")
     other = F.format_string("[[2.5, %d, \"b\"], [1.5, %d, \"a\"]]", "user_id", "event_id")
     short = F.format_string("[[1.5, %d, \"a\"]]", "event_id")

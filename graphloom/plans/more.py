@@ -86,12 +86,12 @@ def empty_predictions(spark, d):
 
 
 @query("""
-WITH t AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 40) AS BIGINT)) AS t FROM @vectors),
+WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 40) AS BIGINT)) AS t FROM @vectors),
 f AS (SELECT vec_id, t, list_min(list_filter([list_position(t, 1), list_position(t, 2), list_position(t, 3), list_position(t, 4)], lambda x: x IS NOT NULL AND x > 0)) AS i FROM t)
 SELECT vec_id, CASE WHEN (i * 3 % 7) + (i * 5 % 4) > 0 THEN CAST(i * 3 % 7 AS DOUBLE) / ((i * 3 % 7) + (i * 5 % 4)) END AS p FROM f""")
 def label_probability(spark, d):
-    tokens = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(F.abs(x.cast("double")) * 40))
-    i = F.sequence(F.lit(1), F.lit(12))
+    tokens = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40))
+    i = F.sequence(F.lit(1), F.size("embedding"))
     y, n = F.transform(i, lambda k: (k * 3 % 7).cast("double")), F.transform(i, lambda k: (k * 5 % 4).cast("double"))
     return role(spark, d, "vectors").select("vec_id", windows.first_of_sets(tokens, [1, 2], [3, 4], y, n).alias("p"))
 
@@ -119,11 +119,11 @@ def inferred_tasks(spark, d):
 
 
 @query("""
-WITH t AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 30) AS INTEGER)) AS t FROM @vectors),
+WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 30) AS INTEGER)) AS t FROM @vectors),
 f AS (SELECT vec_id, t, list_min(list_filter([list_position(t, 0), list_position(t, 7)], lambda x: x IS NOT NULL AND x > 0)) AS i FROM t)
 SELECT vec_id, array_to_string(t[1 : coalesce(i - 1, len(t))], ' ') AS kept FROM f""")
 def trimmed_responses(spark, d):
-    tokens = F.transform(F.slice("embedding", 1, 10), lambda x: F.floor(F.abs(x.cast("double")) * 30).cast("int"))
+    tokens = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 30).cast("int"))
     return role(spark, d, "vectors").select("vec_id", tokens.alias("t")).select("vec_id", F.array_join(conversations.until_stop(F.col("t"), [0, 7]), " ").alias("kept"))
 
 
@@ -142,16 +142,15 @@ def identifiers(spark, d):
 
 
 @query("""
-WITH q AS (SELECT example_id, unit_id FROM @selection WHERE label = 1 AND example_id < 3000), u AS (SELECT DISTINCT schema_id, unit_id FROM @selection),
-s AS (SELECT DISTINCT example_id, schema_id FROM @selection WHERE example_id < 3000)
+WITH q AS (SELECT example_id, unit_id FROM @selection WHERE label = 1), u AS (SELECT DISTINCT schema_id, unit_id FROM @selection),
+s AS (SELECT DISTINCT example_id, schema_id FROM @selection)
 SELECT DISTINCT s.example_id, u.unit_id, CASE WHEN u.unit_id % 6 IN (SELECT q.unit_id % 6 FROM q WHERE q.example_id = s.example_id) THEN 'hard' ELSE 'random' END AS pool
 FROM s JOIN u USING (schema_id) WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.example_id = s.example_id AND q.unit_id = u.unit_id)""")
 def distractor_pools(spark, d):
     """Units of an example's schemas beside its gold ones; hard where they share a gold unit's class."""
     rows = role(spark, d, "selection").select("example_id", "schema_id", "unit_id", "label")
-    mine = rows.where("example_id < 3000")
-    gold = mine.where("label = 1").select("example_id", "unit_id").distinct()
-    pool = mine.select("example_id", "schema_id").distinct().join(rows.select("schema_id", "unit_id").distinct(), "schema_id").select("example_id", "unit_id").distinct()
+    gold = rows.where("label = 1").select("example_id", "unit_id").distinct()
+    pool = rows.select("example_id", "schema_id").distinct().join(rows.select("schema_id", "unit_id").distinct(), "schema_id").select("example_id", "unit_id").distinct()
     rest = pool.join(gold, ["example_id", "unit_id"], "left_anti").withColumn("class", F.col("unit_id") % 6)
     hard = gold.select("example_id", (F.col("unit_id") % 6).alias("class")).distinct().withColumn("hard", F.lit(True))
     return rest.join(hard, ["example_id", "class"], "left").select("example_id", "unit_id", F.when(F.col("hard"), "hard").otherwise("random").alias("pool"))
@@ -184,7 +183,7 @@ def union_distinct(spark, d):
 def selection_units(spark, d):
     """One row for each question and unit, labelled by membership in a positive set."""
     gold = role(spark, d, "nodes").select(F.col("node_id").cast("long").alias("unit_id"), F.lit(1).alias("one")).distinct()
-    return role(spark, d, "selection").drop("label").join(F.broadcast(gold), "unit_id", "left").select("id", "example_id", "unit_id", "unit_type", F.coalesce("one", F.lit(0)).alias("label"))
+    return role(spark, d, "selection").drop("label").join(gold, "unit_id", "left").select("id", "example_id", "unit_id", "unit_type", F.coalesce("one", F.lit(0)).alias("label"))
 
 
 @query("SELECT example_id, example_id % 8 AS worker FROM @examples")
@@ -196,10 +195,11 @@ def round_robin(spark, d):
 WITH g AS (SELECT user_id, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM @events_by_user GROUP BY user_id)
 SELECT user_id, total, n, total / n AS mean, rank() OVER (ORDER BY total DESC) AS rank FROM g ORDER BY total DESC, user_id LIMIT 20""")
 def top_users(spark, d):
-    """A report of the 20 largest; of few users, so one window over all of them is small."""
+    """A report of the 20 largest. A rank counts larger sums only, so the rows of the report are enough for it."""
     g = role(spark, d, "events_by_user").groupBy("user_id").agg(F.sum(F.floor("value")).alias("total"), F.count("*").alias("n"))
-    ranked = g.withColumn("mean", F.col("total") / F.col("n")).withColumn("rank", F.rank().over(sampling.W.orderBy(F.col("total").desc())).cast("long"))
-    return ranked.orderBy(F.col("total").desc(), "user_id").limit(20)
+    top = g.orderBy(F.col("total").desc(), "user_id").limit(20)
+    rank = F.rank().over(sampling.W.orderBy(F.col("total").desc())).cast("long")
+    return top.select("user_id", "total", "n", (F.col("total") / F.col("n")).alias("mean"), rank.alias("rank"))
 
 
 @query("SELECT DISTINCT ON (schema_id) schema_id, id FROM @selection ORDER BY schema_id, pos")

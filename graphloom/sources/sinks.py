@@ -28,9 +28,11 @@ def write_json(spark: SparkSession, document: dict, path: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot move {part} to {path}")
+    replace = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    replace[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    # One step: a crash leaves the old document or the new one.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(part), fs.makeQualified(target), replace)
 
 
 def manifest(counts: DataFrame, by: list[str]) -> dict:
@@ -49,3 +51,51 @@ def skip_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def done_counts(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     have = done.select(key).distinct().withColumn("done_", F.lit(True))
     return rows.select(key).join(have, key, "left").agg(F.count("*").alias("total"), F.count("done_").alias("done"))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def guard(spark: SparkSession, inputs: list[str], outputs: list[str], overwrite: bool = False) -> None:
+    """Fails where an output is an input, or is there already and must not be overwritten."""
+    whole = lambda p: _fs(spark, p)[0].makeQualified(_fs(spark, p)[1]).toString()
+    if both := {whole(p) for p in inputs} & {whole(p) for p in outputs}:
+        raise ValueError(f"outputs are inputs: {', '.join(sorted(both))}")
+    there = [p for p in outputs if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
+    if there and not overwrite:
+        raise FileExistsError(", ".join(there))
+
+
+def free_path(spark: SparkSession, path: str, stamp: str) -> str:
+    """path, or path with a time stamp where it holds something."""
+    fs, p = _fs(spark, path)
+    return f"{path}-{stamp}" if fs.exists(p) and len(fs.listStatus(p)) else path
+
+
+def publish(tables: dict[str, DataFrame], registry: dict, path: str, overwrite: bool = False) -> None:
+    """Tables as JSON lines with a registry, staged beside their place and moved there only once all are written."""
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}.staged"
+    names = [*tables, "registry.json"]
+    guard(spark, [], [f"{path}/{n}" for n in names], overwrite)
+    fs, stage = _fs(spark, staged)
+    try:
+        for name, df in tables.items():
+            write_jsonl(df, f"{staged}/{name}")
+        write_json(spark, registry, f"{staged}/registry.json")
+        fs.mkdirs(_fs(spark, path)[1])
+        for name in names:
+            target = _fs(spark, f"{path}/{name}")[1]
+            fs.delete(target, True)
+            if not fs.rename(_fs(spark, f"{staged}/{name}")[1], target):
+                raise OSError(f"cannot move {name} to {path}")
+    finally:
+        fs.delete(stage, True)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder as it is, without reading it as a table."""
+    (fs, p), (other, q) = _fs(spark, source), _fs(spark, target)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, other, q, False, False, spark.sparkContext._jsc.hadoopConfiguration())

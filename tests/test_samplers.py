@@ -5,12 +5,12 @@ from graphloom.operators.samplers import Draws, choose_pairs, sample_distractors
 
 
 def test_provenance():
-    got = provenance("MATCH (n:A)-[:R]->(:B {name: 'x'}) RETURN n", "rid")
+    got = provenance("MATCH (:Crew)-[:SERVES]->(s:Ship {flag: 'no'}) WHERE s.age > 9 RETURN count(s)", "rid")
     assert got == (
-        "MATCH (n:A)-[rtmp0:R]->(ntmp0:B {name: 'x'}) WITH collect(distinct elementId(n)) + collect(distinct elementId(ntmp0)) AS elemIds "
+        "MATCH (ntmp0:Crew)-[rtmp0:SERVES]->(s:Ship {flag: 'no'}) WHERE s.age > 9 WITH collect(distinct elementId(ntmp0)) + collect(distinct elementId(s)) AS elemIds "
         "UNWIND elemIds AS elemId RETURN elemId AS rid"
     )
-    assert provenance("match (n:A) return n", "rid") == "UNWIND [] AS elemId RETURN elemId AS rid"
+    assert provenance("match (s:Ship) return s", "rid") == "UNWIND [] AS elemId RETURN elemId AS rid"
     assert provenance("MATCH (a:A) RETURN a UNION MATCH (b:B) RETURN b").count(" UNION ") == 1
     assert provenance("MATCH (a:A) WITH a MATCH (a)-[r]->(b) WHERE b.x = 1 RETURN b").startswith("MATCH (a:A) WITH * MATCH (a)-[r]->(b) WHERE b.x = 1 WITH collect")
     assert provenance("MATCH (a:A) WITH a.x AS x MATCH (c) RETURN c").startswith("MATCH (a:A) WITH collect(distinct elementId(a)) AS")
