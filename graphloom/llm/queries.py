@@ -89,8 +89,8 @@ ORACLES["op4_license_scan"] = _op4_oracle()
 @query
 def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record in ZIP packages, read back from them by range."""
-    packages = scratch.keep(warc.write_packages(warc.with_revisits(table(spark, sf_dir, "pages"))), "packages")
-    return warc.read_packages(packages, payloads=False).drop("url", "payload")
+    made = warc.write_files(warc.with_revisits(table(spark, sf_dir, "pages")), scratch.folder(spark, "packages"))
+    return warc.read_files(scratch.keep(made, "listed"), payloads=False).drop("url", "payload")
 
 
 ORACLES["op2_warc_packages"] = """
