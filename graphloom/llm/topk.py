@@ -34,6 +34,15 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _dense(x: np.ndarray) -> bytes:
+    """Rows of whole numbers in two bytes for each where that is enough, else as doubles."""
+    return (x.astype("<i2") if not x.size or np.abs(x).max() < 32768 else x.astype("<f8")).tobytes()
+
+
+def _wide(raw, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i2" if len(raw) == 2 * n * dim else "<f8").astype(float).reshape(n, dim)
+
+
 def _pack(df: DataFrame, dim: int, scale: float, rows: int, name: str) -> DataFrame:
     """Blocks (number, length of the longest vector, ids, doubles) of df (id, vector) in the order it is in."""
 
@@ -44,7 +53,7 @@ def _pack(df: DataFrame, dim: int, scale: float, rows: int, name: str) -> DataFr
             i, x = np.concatenate(ids), np.concatenate(xs)
             for at in range(0, len(i), rows):
                 part = x[at : at + rows]
-                yield pa.RecordBatch.from_pydict({"longest": [float(np.sqrt((part**2).sum(axis=1)).max())], "ids": [i[at : at + rows].tobytes()], "data": [part.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"longest": [float(np.sqrt((part**2).sum(axis=1)).max())], "ids": [i[at : at + rows].tobytes()], "data": [_dense(part)]})
 
         for b in batches:
             x, _ = vectors.matrix(b.column(1), dim)
@@ -70,7 +79,7 @@ def _pack_queries(df: DataFrame, dim: int, scale: float, groups: int) -> DataFra
         held, ids, xs = None, [], []
 
         def block():
-            return pa.RecordBatch.from_pydict({"q_number": pa.array([held], pa.int64()), "q_ids": [np.concatenate(ids).tobytes()], "q_data": [np.concatenate(xs).tobytes()]})
+            return pa.RecordBatch.from_pydict({"q_number": pa.array([held], pa.int64()), "q_ids": [np.concatenate(ids).tobytes()], "q_data": [_dense(np.concatenate(xs))]})
 
         for b in batches:
             number = b.column(2).to_numpy()
@@ -97,14 +106,15 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, lead: int = 16, rows: int = 2048, query_rows: int = 256, lanes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, lead: int = 16, rows: int = 2048, query_rows: int = 512, lanes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates but itself by integer inner product.
 
     Components become floor(scale * x). Ties go to the smaller id. Vectors that are null or hold null
     or non-finite components, and rows without id, take no part; a vector shorter than another counts
-    as filled with zeros; repeated rows count once each, but a row never meets one of its own id.
-    Fewer than k candidates give fewer rows, none give none. lanes: tasks among which the blocks
-    of one query block are dealt, each in order of length.
+    as filled with zeros. Repeated rows count once each, as queries and as candidates: one candidate with
+    a query's id and vector is the query's own row, others are not. Fewer than k candidates give fewer
+    rows, none give none. lanes: tasks among which the blocks of one query block are dealt, each in order
+    of length.
     """
     dim = max(vectors.dimension(candidates, vector_col), vectors.dimension(queries, vector_col))
     spark = candidates.sparkSession
@@ -122,23 +132,30 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float =
     head = blocks.orderBy(F.col("longest").desc(), "number").limit(1).collect()
     if not head:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    head_ids, head_x = np.frombuffer(head[0].ids, np.int64), np.frombuffer(head[0].data).reshape(-1, dim)
+    head_ids, head_x = np.frombuffer(head[0].ids, np.int64), _wide(head[0].data, len(head[0].ids) // 8, dim)
     lead = min(lead, dim)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, q_ids, q, q_lead, q_rest, q_len, best = None, None, None, None, None, None, None
+        held, q_ids, q, q_lead, q_rest, q_len, best, floor, twins = [None] * 9
 
         def flush():
-            found = [(int(q_ids[i]), int(b), s) for i, (ids, scores) in enumerate(best) for b, s in zip(ids, scores)]
+            # A twin has its query's id and vector; of all twins found anywhere one is the query itself.
+            found = [(i, int(q_ids[i]), int(b), int(s), False) for i, (ids, scores) in enumerate(best) for b, s in zip(ids, scores)]
+            found += [(i, int(q_ids[i]), int(q_ids[i]), score, True) for i, (n, score) in twins.items() for _ in range(min(n, k + 1))]
             if found:
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([int(f[2]) for f in found], pa.int64())})
+                place, *rest, twin = zip(*found)
+                arrays = [pa.array([held] * len(found), pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in rest), pa.array(twin)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["q_number", "place", "query_id", "vec_id", "score", "twin"])
 
         for b in batches:
-            for number, q_raw, q_data, ids_raw, data, longest in zip(*(b.column(c).to_pylist() for c in ("q_number", "q_ids", "q_data", "ids", "data", "longest"))):
+            for row in range(b.num_rows):
+                number, longest = b.column("q_number")[row].as_py(), b.column("longest")[row].as_py()
+                raw = {c: b.column(c)[row].as_py() for c in ("q_ids", "q_data", "ids", "data") if number != held or c in ("ids", "data")}
                 if number != held:
                     if held is not None:
                         yield from flush()
-                    held, q_ids, q = number, np.frombuffer(q_raw, np.int64), np.frombuffer(q_data).reshape(-1, dim)
+                    held, q_ids, twins = number, np.frombuffer(raw["q_ids"], np.int64), {}
+                    q = _wide(raw["q_data"], len(q_ids), dim)
                     turned = q @ axes
                     q_lead, q_rest, q_len = turned[:, :lead], np.sqrt((turned[:, lead:] ** 2).sum(axis=1)), np.sqrt((q**2).sum(axis=1))
                     best = [(np.empty(0, np.int64), np.empty(0, object)) for _ in q_ids]
@@ -151,14 +168,22 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float =
                 # Bounds are sums of doubles: a little slack keeps them bounds.
                 slack = 1e-9 * (q_len * longest + 1)
                 live = np.flatnonzero(q_len * longest + slack >= floor)
-                if not len(live):
+                ids = np.frombuffer(raw["ids"], np.int64)
+                own = np.isin(q_ids, ids)
+                if not len(live) and not own.any():
                     continue
-                ids, x = np.frombuffer(ids_raw, np.int64), np.frombuffer(data).reshape(-1, dim)
+                x = _wide(raw["data"], len(ids), dim)
+                for i in np.flatnonzero(own):
+                    same = np.flatnonzero(ids == q_ids[i])
+                    if n := int((x[same] == q[i]).all(axis=1).sum()):
+                        twins[int(i)] = (twins.get(int(i), (0, 0))[0] + n, int(_dot(q[i : i + 1], q[i : i + 1])[0][0]))
                 turned = x @ axes
                 bound = q_lead[live] @ turned[:, :lead].T + np.outer(q_rest[live], np.sqrt((turned[:, lead:] ** 2).sum(axis=1)))
-                may = (bound + slack[live, None] >= floor[live, None]) & (q_ids[live, None] != ids[None, :])
-                for i, row in zip(live, may):
-                    at = np.flatnonzero(row)
+                may = bound + slack[live, None] >= floor[live, None]
+                for i, row_may in zip(live, may):
+                    at = np.flatnonzero(row_may)
+                    if own[i]:
+                        at = at[(ids[at] != q_ids[i]) | (x[at] != q[i]).any(axis=1)]
                     if not len(at):
                         continue
                     score = _dot(q[i : i + 1], x[at])[0]
@@ -174,6 +199,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float =
     pairs = blocks.withColumn("lane", F.pmod(F.xxhash64("number"), F.lit(lanes))).withColumn("q_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     pairs = pairs.join(asked, "q_number")
     ordered = pairs.repartition("q_number", "lane").sortWithinPartitions("q_number", "lane", F.col("longest").desc())
-    found = ordered.select("q_number", "q_ids", "q_data", "ids", "data", "longest").mapInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = ordered.select("q_number", "q_ids", "q_data", "ids", "data", "longest").mapInArrow(meet, "q_number long, place int, query_id long, vec_id long, score long, twin boolean")
+    query = ["q_number", "place"]
+    of_twins = F.row_number().over(W.partitionBy(*query, "twin").orderBy(F.col("score").desc(), "vec_id"))
+    others = found.withColumn("n", of_twins).where((~F.col("twin") & (F.col("n") <= k)) | (F.col("twin") & (F.col("n") > 1)))
+    rank = F.row_number().over(W.partitionBy(*query).orderBy(F.col("score").desc(), "vec_id"))
+    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

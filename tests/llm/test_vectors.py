@@ -70,3 +70,24 @@ def test_top_k_beyond_doubles_and_few_rows(spark):
     assert topk.top_k(make(spark, []), make(spark, [])).count() == 0
     big = topk._dot(np.array([[3e9, 1.0]]), np.array([[3e9, 2.0]]))
     assert big[0][0] == 9 * 10**18 + 2
+
+
+def test_top_k_of_repeated_query_rows(spark):
+    """Rows that share an id are rows of their own; of those alike in vector, too, one is the query itself."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [0.25, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0])]
+    df = make(spark, rows)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0"), k=3).collect())
+    ints = [(i, int(256 * v[0])) for i, v in rows]
+    want = []
+    for a, (i, x) in enumerate(ints):
+        if i == 0:
+            best = sorted((-x * y, j) for b, (j, y) in enumerate(ints) if b != a)[:3]
+            want += [(0, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_cosines_at_the_bound(spark):
+    """3-4-5 triangles: cosines of exactly 0.8 link at 0.8, and those a little below do not."""
+    rows = [(0, [1.0, 0.0]), (1, [4.0, 3.0]), (2, [4.0, -3.0]), (3, [3.9999, -3.0002])]
+    got = {r.vec_id: r.n_links for r in epsgrid.near_components(make(spark, rows), 0.8).collect()}
+    assert got == {0: 2, 1: 1, 2: 2, 3: 1}
