@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import portions
+
 SPACE = "▁"
 _LOADED: dict[str, "Vocabulary"] = {}
 
@@ -48,6 +50,7 @@ class Vocabulary:
             for c in p:
                 node = node[0].setdefault(c, [{}, None, 0.0])
             node[1], node[2] = i, score
+        self.longest = max(map(len, self.ids), default=1)
         # Ids that are text by themselves; the others (parts of a longer character, control ids) are None.
         self.text: list[str | None] = [None] * n
         for i in plain:
@@ -83,90 +86,72 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+_LOW = -1e300
+
+
 def viterbi(chars: str, v: Vocabulary, check_every: int = 64) -> Iterator[int]:
     """Ids of a marked text, given out as soon as they are final.
 
     Each position extends its best path by every piece that starts there. What is kept is bounded by
     the longest piece and the distance between points where all surviving paths meet.
     """
-    n, root, penalty = len(chars), v.trie[0], v.penalty
-    best, back, done = {0: 0.0}, {}, 0
+    n, root, penalty, longest = len(chars), v.trie[0], v.penalty, v.longest
+    room = min(n, check_every + longest)
+    # By position, counted from what is given out already.
+    best, source, piece, done = [0.0] + [_LOW] * room, [0] * (room + 1), [None] * (room + 1), 0
     for start in range(n):
-        base = best[start]
-        end = start + 1
+        i = end = start - done
+        base, at = best[i], start
         node = root.get(chars[start])
-        if (node is None or node[1] is None) and base + penalty > best.get(end, -np.inf):
-            best[end], back[end] = base + penalty, (start, None)
+        end += 1
+        if (node is None or node[1] is None) and base + penalty > best[end]:
+            best[end], source[end], piece[end] = base + penalty, i, None
         while node is not None:
-            if node[1] is not None and base + node[2] > best.get(end, -np.inf):
-                best[end], back[end] = base + node[2], (start, node[1])
-            if end == n:
+            children, found, score = node
+            if found is not None and base + score > best[end]:
+                best[end], source[end], piece[end] = base + score, i, found
+            at += 1
+            if at == n:
                 break
-            node = node[0].get(chars[end])
+            node = children.get(chars[at])
             end += 1
-        if start == n - 1 or start % check_every == check_every - 1:
+        if start == n - 1:
+            meet = n - done
+        elif start % check_every == check_every - 1:
             # The latest boundary that lies on the paths of all positions from which a piece may still start.
-            live = {q for q in back if q > start} if start < n - 1 else {n}
+            live = {q for q in range(i + 1, min(i + longest, n - done) + 1) if best[q] > _LOW}
             while len(live) > 1:
                 last = max(live)
                 live.remove(last)
-                live.add(back[last][0] if last > done else done)
+                live.add(source[last] if last else 0)
             (meet,) = live
-            path, at = [], meet
-            while at > done:
-                source, piece = back[at]
-                path.append(v.fallback(chars[source]) if piece is None else (piece,))
-                at = source
-            for ids in reversed(path):
-                yield from ids
-            for q in range(done, meet):
-                best.pop(q, None)
-                back.pop(q + 1, None)
-            done = meet
-
-
-def segment(chars: str, v: Vocabulary) -> tuple[int, ...]:
-    """Ids of a short marked text whose paths meet at both ends: the same choice as viterbi(), held as a whole."""
-    n, root, penalty = len(chars), v.trie[0], v.penalty
-    best, source, piece = [0.0] + [-1e300] * n, [0] * (n + 1), [None] * (n + 1)
-    for start in range(n):
-        base, end = best[start], start + 1
-        node = root.get(chars[start])
-        if (node is None or node[1] is None) and base + penalty > best[end]:
-            best[end], source[end], piece[end] = base + penalty, start, None
-        while node is not None:
-            children, found, score = node
-            if found is not None and base + score > best[end]:
-                best[end], source[end], piece[end] = base + score, start, found
-            if end == n:
-                break
-            node = children.get(chars[end])
-            end += 1
-    out: list[int] = []
-    at = n
-    while at:
-        if piece[at] is None:
-            out.extend(reversed(v.fallback(chars[source[at]])))
         else:
-            out.append(piece[at])
-        at = source[at]
-    return tuple(reversed(out))
+            continue
+        path, q = [], meet
+        while q:
+            path.append(v.fallback(chars[done + source[q]]) if piece[q] is None else (piece[q],))
+            q = source[q]
+        for ids in reversed(path):
+            yield from ids
+        if start < n - 1:
+            more = [0] * max(0, i + 1 + check_every + longest - len(best) + 1)
+            best, piece = best[meet:] + [_LOW] * (meet + len(more)), piece[meet:] + [None] * (meet + len(more))
+            source = [x - meet for x in source[meet:]] + [0] * meet + more
+            done += meet
 
 
 def encode(text: str, v: Vocabulary) -> list[int]:
-    """Ids of a text. An empty text has none."""
+    """Ids of a text. An empty text has none. Those of short parts are remembered."""
     out: list[int] = []
     known = v.known
     for part in v.split(v.marked(text)):
         ids = known.get(part)
         if ids is None:
-            if len(part) > 64:
-                out.extend(viterbi(part, v))
-                continue
-            ids = segment(part, v)
-            if len(known) >= 400_000:
-                known.clear()
-            known[part] = ids
+            ids = tuple(viterbi(part, v))
+            if len(part) <= 64:
+                if len(known) >= 400_000:
+                    known.clear()
+                known[part] = ids
         out.extend(ids)
     return out
 
@@ -211,8 +196,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in portions(b, 1):
                 ids = [np.array(encode(t.as_py() or "", v), np.int32) for t in part.column(1)]
                 back = [hashlib.sha256(decode(x.tolist(), v).encode()).hexdigest() for x in ids]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
