@@ -1,10 +1,11 @@
 """Lexical retrieval packing: sequences of a fixed number of tokens, filled with related documents.
 
-Each shard of documents has its own BM25 inverted index over the parts that do not fill a sequence by
-themselves. A seed opens a window; its unused neighbours fill the window in order of their score; the
-neighbour that no longer fits is cut, and its rest stays in the index. What a shard leaves over moves on
-to the next, so only the last sequence of a partition is short of its length. Shards are of bounded
-size and are packed where their documents lie: nothing is shuffled.
+Documents are encoded where they lie and dealt by content: sorted over the whole corpus by the two ids that
+mark them most. So those that share rare ids come together from wherever they lay, and copies side by side.
+Consecutive documents make a shard of bounded size, with a BM25 inverted index over the parts that do not fill
+a sequence by themselves. A seed opens a window and asks with all its ids; its unused neighbours fill the
+window in order of their score; the neighbour that no longer fits is cut, and its rest stays in the index.
+What a shard leaves over moves on to the next, so only the last sequence of a partition is short of its length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from .wordhash import portions
+
 _LOADED: dict[tuple, object] = {}
 
 
@@ -118,38 +122,66 @@ def fill(units: list[np.ndarray], length: int) -> tuple[list[list[tuple[int, int
     return windows, [(int(u), int(start[u])) for u in np.flatnonzero(left)]
 
 
+def marks(ids: np.ndarray) -> tuple[int, int]:
+    """The two ids that mark a document: those that stand in it often for how late they come in the vocabulary.
+
+    Vocabularies are in order of falling frequency, and the logarithm of a place in such an order is about that
+    of how rarely the id stands. One id gives the second as -1, none both.
+    """
+    found, n = np.unique(ids, return_counts=True)
+    best = np.lexsort((found, -np.log1p(n) * np.log(found + 2.0)))[:2]
+    return (*(int(found[i]) for i in best), *[-1] * (2 - len(best)))
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _encoded(docs: DataFrame, names: list[str], tokenizer_path: str, ranks_path: str | None, end_id: int, text_col: str) -> DataFrame:
+    """docs' named columns as struct row, with first and second mark, crc of the ids, and the ids in bytes (2 for each where that is enough)."""
+    base = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = encoder(tokenizer_path, ranks_path)
+        for batch in batches:
+            for b in portions(batch, 1):
+                ids = [np.array([*run(t.as_py()), end_id], np.uint32) for t in b.column(1)]
+                first, second = zip(*(marks(x[:-1]) for x in ids))
+                crc = [zlib.crc32(x.tobytes()) for x in ids]
+                n = [len(x) for x in ids]
+                raw = [(x.astype("<u2") if x.max() < 65536 else x.astype("<u4")).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["row", "first", "second", "crc", "n", "ids"])
+
+    return scratch.keep(base.mapInArrow(encode, f"row {dict(base.dtypes)['row']}, first long, second long, crc long, n long, ids binary"), "encoded")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, length: int = 1024, end_id: int = 0, shard: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: bool = False) -> DataFrame:
     """One row per piece: the document's id, PIECES, and with with_ids the piece's ids (array<int>).
 
     A document is its text's ids and end_id; each of its ids lies in exactly one piece. A sequence
     holds up to length ids, without gaps from offset 0; all but the last of a partition hold length.
-    shard: documents that share an index. keep: all columns of docs with each piece. Null and empty
-    texts are end_id alone. Rows stay apart, repeats included; an empty table gives no pieces.
+    shard: documents that share an index. keep: all columns of docs with each piece; those named like
+    PIECES are replaced. Null and empty texts are end_id alone. Rows stay apart, repeats included; an
+    empty table gives no pieces.
     """
-    names = [c for c in (docs.columns if keep else [id_col]) if c not in {x.split()[0] for x in PIECES.split(", ")} | {"ids"}]
-    base = docs.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    kind = ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c != "__text") + f", {PIECES}" + ", ids array<int>" * with_ids
     columns = [x.split()[0] for x in PIECES.split(", ")]
+    names = [c for c in (docs.columns if keep else [id_col]) if c not in {*columns, "ids"}]
+    encoded = _encoded(docs, names, tokenizer_path, ranks_path, end_id, text_col)
+    kind = f"row {dict(encoded.dtypes)['row']}, {PIECES}" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path, ranks_path)
         sequence = TaskContext.get().partitionId() << 33
         rest: list[tuple] = []  # (row, place of its first id, its ids, ids of its document) waiting for a window
 
         def give(pieces: list[tuple]) -> pa.RecordBatch:
             """pieces: (row, start, ids, doc_tokens, sequence, offset)."""
-            rows = pa.Table.from_batches([p[0] for p in pieces]).combine_chunks().to_batches()[0]
             made = [
                 [p[1] for p in pieces], [len(p[2]) for p in pieces], [zlib.crc32(p[2].astype("<u4").tobytes()) for p in pieces],
                 [p[3] for p in pieces], [p[4] for p in pieces], [p[5] for p in pieces],
             ]
             extra = [pa.array([p[2].astype(np.int32) for p in pieces], pa.list_(pa.int32()))] if with_ids else []
-            return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m, pa.int64()) for m in made), *extra], names=[*names, *columns, *["ids"] * with_ids])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([p[0] for p in pieces]), *(pa.array(m, pa.int64()) for m in made), *extra], names=["row", *columns, *["ids"] * with_ids])
 
         def close(last: bool):
             nonlocal sequence, rest
@@ -170,12 +202,11 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, le
                 yield give(pieces)
 
         for b in batches:
-            texts = b.column(len(names))
-            head = b.select(names)
             whole = []
-            for i in range(b.num_rows):
-                ids = np.array([*encode(texts[i].as_py()), end_id], np.uint32)
-                row, n = head.slice(i, 1), len(ids)
+            for i, n in enumerate(b.column("n").to_pylist()):
+                raw = b.column("ids")[i].as_buffer()
+                ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").astype(np.uint32)
+                row = b.column("row").slice(i, 1)
                 cut = n // length * length
                 for at in range(0, cut, length):
                     whole.append((row, at, ids[at : at + length], n, sequence, 0))
@@ -191,4 +222,6 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, le
                 yield give(whole)
         yield from close(True)
 
-    return base.mapInArrow(run, kind)
+    order = ["first", "second", "crc"]
+    dealt = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n", "ids")
+    return dealt.mapInArrow(run, kind).select("row.*", *columns, *["ids"] * with_ids)

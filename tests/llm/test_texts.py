@@ -165,7 +165,7 @@ def test_packing_places_every_id_once_without_gaps(spark, vocab):
             assert r.offset == at
             at += r.length
         assert at <= 64
-    assert sum(sum(r.length for r in p) < 64 for p in made.values()) <= df.rdd.getNumPartitions()
+    assert sum(sum(r.length for r in p) < 64 for p in made.values()) <= 4  # one short sequence for each partition
     ids = []
     for (_, n), pieces in by_doc.items():
         places = sorted(pieces, key=lambda r: r.start)
@@ -175,6 +175,43 @@ def test_packing_places_every_id_once_without_gaps(spark, vocab):
     assert all(i in want for i in ids) and sum(map(len, want)) == sum(r.length for r in got)
 
 
+def test_bm25_against_its_formula():
+    r = np.random.default_rng(5)
+    units = [r.integers(0, 40, r.integers(1, 60)) for _ in range(30)]
+    index, mean = packing.Index(units), np.mean([len(u) for u in units])
+    for seed in units:
+        score = []
+        for u in units:
+            total = 0.0
+            for t in set(seed.tolist()):
+                tf, df = int((u == t).sum()), sum(t in x for x in units)
+                total += np.log(1 + (30 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(u) / mean))
+            score.append(total)
+        order = index.neighbours(seed)
+        assert np.allclose(np.array(score)[order], np.sort(score)[::-1])
+
+
+def test_related_documents_meet_from_anywhere(spark, vocab):
+    """Documents of one subject that lie in different partitions are packed together."""
+    r = random.Random(11)
+    subjects = [[f"{a}{b}" for a in x for b in ("ology", "ographer", "ometric")] for x in (("zephyr", "quartz"), ("basalt", "plankton"), ("volcan", "marsupial"), ("origami", "samovar"))]
+    rows = [(i, " ".join(r.choice(subjects[i % 4]) for _ in range(60))) for i in range(80)]
+    got = packing.pack(make(spark, rows).repartition(7), vocab("byte_bpe_50k.json"), vocab("byte_bpe_50k.tiktoken")).collect()
+    windows = {}
+    for p in got:
+        windows.setdefault(p.sequence_id, []).append(p)
+    pure = sum(max(sum(p.length for p in w if p.doc_id % 4 == k) for k in range(4)) for w in windows.values()) / sum(p.length for p in got)
+    assert pure > 0.7
+    assert packing.marks(np.array([], np.int64)) == (-1, -1) and packing.marks(np.array([7, 7])) == (7, -1)
+
+
+def test_packing_keeps_columns_whose_names_do_not_clash(spark, vocab):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (1, None, 6, "y")], "doc_id long, text string, offset int, lang string")
+    got = packing.pack(docs, vocab("byte_bpe_50k.json"), keep=True)
+    assert got.columns == ["doc_id", "text", "lang", *(c.split()[0] for c in packing.PIECES.split(", "))]
+    assert sorted((r.text or "", r.lang, r.doc_tokens) for r in got.collect())[0] == ("", "y", 1)
+
+
 def test_windows_prefer_related_units():
     r = np.random.default_rng(1)
     topics = [r.integers(k * 1000, k * 1000 + 50, size=(8, 30)) for k in range(4)]
@@ -209,11 +246,37 @@ def test_streaming_viterbi_against_brute_force_and_back(spark, vocab):
         for every in (1, 7, 64):
             assert list(sentencepiece.viterbi(v.marked(t), v, every)) == want
         assert sentencepiece.decode(want, v) == t
+    long = "".join(r.choice("abthe") for _ in range(5000)).replace("\n", "")
+    assert sentencepiece.encode(long, v) == list(sentencepiece.viterbi(v.marked(long), v, 10**9)) and len(v.split(v.marked(long))) == 1
     got = sentencepiece.encode_texts(make(spark, [(1, None), (2, "x y"), (2, "x y"), (None, "z")]), vocab("piece_bpe_32k.model")).collect()
     assert sorted((r.doc_id or 0, r.n_ids) for r in got)[1] == (1, 0) and len(got) == 4
     assert {r.decoded_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256(b"x y").hexdigest()}
 
 
+def test_segmentation_against_the_library_on_a_unigram_model(vocab, tmp_path):
+    """The file's pieces and scores read as a unigram model, texts taken as they are: the library's path has the same score."""
+    import sentencepiece as library
+
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    model.ParseFromString(open(vocab("piece_bpe_32k.model"), "rb").read())
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    model.normalizer_spec.name, model.normalizer_spec.precompiled_charsmap, model.normalizer_spec.remove_extra_whitespaces = "identity", b"", False
+    path = str(tmp_path / "unigram.model")
+    open(path, "wb").write(model.SerializeToString())
+    sp, v = library.SentencePieceProcessor(model_file=path), sentencepiece.Vocabulary(path)
+    r = random.Random(12)
+    words = ["the", "internationalization", "a", "zebra", "naïve", "quick", "ologies", "foo_bar", "3.14", "don't"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(60)] + ["".join(r.choice("abcdefgh ") for _ in range(300)).strip()]
+    score = lambda ids: sum(sp.get_score(i) for i in ids)
+    same = 0
+    for t in texts:
+        mine, theirs = sentencepiece.encode(t, v), sp.encode(t)
+        same += mine == theirs
+        assert abs(score(mine) - score(theirs)) < 1 and sp.decode(mine) == t
+    assert same > 0.8 * len(texts)
+
+
 def test_decoding_finds_the_likeliest_of_all_readings(spark):
     """decode() against every way to read each sign: as a letter it may stand for, as a repeat, or as nothing."""
     docs = make(spark, [(0, "a cab is tall, so is a bat; else ales stall")])
