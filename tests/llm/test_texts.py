@@ -273,7 +273,8 @@ def test_segmentation_against_the_library_on_a_unigram_model(vocab, tmp_path):
     for t in texts:
         mine, theirs = sentencepiece.encode(t, v), sp.encode(t)
         same += mine == theirs
-        assert abs(score(mine) - score(theirs)) < 1 and sp.decode(mine) == t
+        # The library adds in single precision, and some pieces score a billion below the rest.
+        assert abs(score(mine) - score(theirs)) <= 1 + 2e-7 * abs(score(mine)) and sp.decode(mine) == t
     assert same > 0.8 * len(texts)
 
 
