@@ -222,6 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, le
                 yield give(whole)
         yield from close(True)
 
-    order = ["first", "second", "crc"]
+    # Rows of one content are told apart, so that a range may end among them.
+    order = ["first", "second", "crc", F.xxhash64("row")]
     dealt = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n", "ids")
     return dealt.mapInArrow(run, kind).select("row.*", *columns, *["ids"] * with_ids)
