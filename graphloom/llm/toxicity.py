@@ -210,16 +210,6 @@ class Restorer:
         return out
 
 
-def features(words: Counter) -> Counter:
-    """Counts of words and of how words begin."""
-    out = Counter(words)
-    for w, n in words.items():
-        for k in (4, 5, 6):
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
-
-
 @dataclass(frozen=True)
 class Model:
     """A fitted scorer: places of the features, their weights (presence, then density), intercept and the letter counts."""
@@ -264,6 +254,21 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 400) -> tup
     return w, b
 
 
+def _features_of(words: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
+    """Features of distinct words: the words themselves, and ^ with the first 4, 5 and 6 letters of longer ones; and of each kind every word's, or -1."""
+    size = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False)
+    starts = [pa.compute.binary_join_element_wise("^", pa.compute.utf8_slice_codeunits(words, 0, k), "") for k in (4, 5, 6)]
+    coded = pa.concat_arrays([s.filter(pa.array(size > k)) for k, s in zip((4, 5, 6), starts)]).dictionary_encode()
+    codes, kinds, at = coded.indices.to_numpy(), [np.arange(len(words), dtype=np.int64)], 0
+    for k in (4, 5, 6):
+        of_word = np.full(len(words), -1, np.int64)
+        long = np.flatnonzero(size > k)
+        of_word[long] = len(words) + codes[at : at + len(long)]
+        kinds.append(of_word)
+        at += len(long)
+    return pa.concat_arrays([words.cast(pa.string()), coded.dictionary.cast(pa.string())]), kinds
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents outside the held-out fifth (crc32 of the id's digits, mod 5, is 0).
 
@@ -288,41 +293,54 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
             end = np.cumsum(count)
             key = [int(wordhash.runs_of(hashes[e - n : e], min(5, n)).min()) >> 1 if n else 0 for e, n in zip(end, count)]
             bags = [r.words(t.as_py()) for t in b.column(0)]
-            held = [features(x) for x in bags]
-            lists = [pa.array([[*x.keys()] for x in held], pa.list_(pa.string())), pa.array([[*x.values()] for x in held], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(key, pa.int64()), pa.array([sum(x.values()) for x in bags], pa.int64()), *lists], names=["toxic", "key", "n", "features", "times"])
+            lists = [pa.array([[*x.keys()] for x in bags], pa.list_(pa.string())), pa.array([[*x.values()] for x in bags], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(key, pa.int64()), *lists], names=["toxic", "key", "words", "times"])
 
     sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string"), "__toxic")
-    rows = sample.mapInArrow(restore, "toxic int, key long, n long, features array<string>, times array<int>").toArrow()
+    rows = sample.mapInArrow(restore, "toxic int, key long, words array<string>, times array<int>").toArrow()
     # The first of each key and label.
     first: dict[tuple, int] = {}
     for i, key in enumerate(zip(rows.column("key").to_pylist(), rows.column("toxic").to_pylist())):
         first.setdefault(key, i)
     rows = rows.take(pa.array(list(first.values()), pa.int64()))
-    y, n = (rows.column(c).to_numpy().astype(float) for c in ("toxic", "n"))
+    y = rows.column("toxic").to_numpy().astype(float)
     bad, good = int(y.sum()), int(len(y) - y.sum())
     if not bad or not good:
         return Model({}, np.zeros(0), math.log((bad + 0.5) / (good + 0.5)) if bad + good else -3.0, counts)
-    lists = rows.column("features").combine_chunks()
-    doc = np.repeat(np.arange(len(y)), pa.compute.list_value_length(lists).to_numpy())
+    lists = rows.column("words").combine_chunks()
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
     coded = lists.flatten().dictionary_encode()
-    code, names = coded.indices.to_numpy(), coded.dictionary
+    word, distinct = coded.indices.to_numpy(), coded.dictionary
     times = rows.column("times").combine_chunks().flatten().to_numpy()
+    n = np.bincount(doc, weights=times, minlength=len(y))
+    names, kinds = _features_of(distinct)
     toxic = y[doc] == 1
-    in_bad = np.bincount(code[toxic], minlength=len(names))
-    every, n_bad = (np.bincount(code, weights=times * w, minlength=len(names)) for w in (1, toxic))
+
+    def met(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature, times) of the picked words, each feature of a document once."""
+        parts = []
+        for of_word in kinds:
+            at = np.flatnonzero(pick & (of_word[word] >= 0) & wanted[of_word[word]])
+            parts.append((doc[at].astype(np.int64) * len(names) + of_word[word[at]], times[at]))
+        key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return key // len(names), key % len(names), np.bincount(inverse, weights=np.concatenate([t for _, t in parts]), minlength=len(key))
+
+    wanted = np.ones(len(names), bool)
+    in_bad = np.bincount(met(toxic)[1], minlength=len(names))
+    wanted = in_bad >= 3
+    row, code, held = met(np.ones(len(word), bool))
+    every, n_bad = (np.bincount(code, weights=held * w, minlength=len(names)) for w in (1, y[row]))
     rate = n[y == 1].sum() / max(1, n.sum())
     # What stands in few documents must not count by standing there often.
     z = (n_bad - every * rate) / np.sqrt(every * rate + 1) * np.minimum(1.0, in_bad / 10)
-    found = np.flatnonzero((in_bad >= 3) & (z > 4))
-    text = {int(i): names[int(i)].as_py() for i in found}
+    text = {int(i): names[int(i)].as_py() for i in np.flatnonzero(wanted & (z > 4))}
     best = sorted(text, key=lambda i: (-z[i], text[i]))[:max_features]
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     x = np.zeros((len(y), 2 * len(best)), np.float32)
     at = np.flatnonzero(place[code] >= 0)
-    x[doc[at], place[code[at]]] = 1
-    x[doc[at], len(best) + place[code[at]]] = np.log1p(200.0 * times[at] / (n[doc[at]] + 20))
+    x[row[at], place[code[at]]] = 1
+    x[row[at], len(best) + place[code[at]]] = np.log1p(200.0 * held[at] / (n[row[at]] + 20))
     w, b = _fit(x, y)
     return Model({text[i]: k for k, i in enumerate(best)}, w, b, counts)
 
