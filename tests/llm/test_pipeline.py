@@ -51,4 +51,7 @@ def test_every_stage_takes_an_empty_table_nulls_and_repeats(spark):
     assert cut == [(0, 0, ""), (0, 3, "x y"), (1, 0, ""), (2, 0, ""), (3, 0, ""), (3, 0, ""), (4, 0, "")]
     packed = corpus_pipeline.pack_sequences(spark, some, SF).collect()
     assert sum(r.doc_tokens == 1 and r.length == 1 for r in packed) == 3 and {r.doc_id for r in packed} == {None, 1, 2, 3, 4}
-    assert len({r.sequence_id for r in packed}) > 50
+    total = sum(r.doc_tokens for r in packed if r.start == 0)
+    assert total > 50_000 and total == sum(r.length for r in packed)
+    # At most one short sequence for each partition.
+    assert -(-total // 1024) <= len({r.sequence_id for r in packed}) <= -(-total // 1024) + 4
