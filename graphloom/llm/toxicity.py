@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import wordhash
+from . import scratch, wordhash
 
 # What a sign may stand for.
 LOOKALIKES = {
@@ -241,13 +241,14 @@ class Model:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps."""
+    """Logistic regression by accelerated gradient steps; x in single precision, the weights in double."""
     n, w, b = len(y), np.zeros(x.shape[1]), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    rate = 1.0 / (0.25 * (np.linalg.norm(x, 2) ** 2 / n if x.size else 1) + 0.25 + l2 / n)
+    steepest = float(np.linalg.eigvalsh(x.T @ x)[-1]) if x.size else 1.0
+    rate = 1.0 / (0.25 * max(steepest, 0.0) / n + 0.25 + l2 / n)
     vw, vb = w.copy(), b
     for i in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
-        nw, nb = vw - rate * (x.T @ (p - y) + l2 * vw) / n, vb - rate * float((p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(x @ vw.astype(np.float32) + vb, -30, 30)))
+        nw, nb = vw - rate * (x.T @ (p - y).astype(np.float32) + l2 * vw) / n, vb - rate * float((p - y).mean())
         step = i / (i + 3)
         vw, vb = nw + step * (nw - w), nb + step * (nb - b)
         w, b = nw, nb
@@ -269,22 +270,33 @@ def _features_of(words: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
     return pa.concat_arrays([words.cast(pa.string()), coded.dictionary.cast(pa.string())]), kinds
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from labelled documents outside the held-out fifth (crc32 of the id's digits, mod 5, is 0).
-
-    The letter counts cover all documents. The classifier is fitted on at most about max_rows labelled
-    rows, chosen by a hash of the id; only their features reach the driver. Near copies count once. Words
-    and beginnings of words that stand in at least 3 toxic rows and stand out there (over 4 standard
-    deviations) are candidates; the max_features that stand out most are kept. A document that is labelled
-    twice counts with each label. Without rows of both labels the model has no feature.
-    """
-    counts = letter_counts(docs, text_col)
+def _held(bags: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of bags of about 200,000 words, their features, and (row, feature, times) with each feature of a row once."""
+    end = np.cumsum(pa.compute.list_value_length(bags.column("words")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(end):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + 200_000, "right")))
+        part, at = bags.slice(at, to - at), to
+        lists = part.column("words")
+        row = np.repeat(np.arange(len(lists), dtype=np.int64), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = lists.flatten().dictionary_encode()
+        word, times = coded.indices.to_numpy(), part.column("times").flatten().to_numpy()
+        names, kinds = _features_of(coded.dictionary)
+        met = [(of_word, np.flatnonzero(of_word[word] >= 0)) for of_word in kinds]
+        key, inverse = np.unique(np.concatenate([row[i] * len(names) + of_word[word[i]] for of_word, i in met]), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([times[i] for _, i in met]), minlength=len(key)).astype(np.int64)
+        yield part, names, key // len(names), key % len(names), n
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(toxic, key, n, words, times) of about max_rows labelled rows at most; of near copies with one label, that of the smallest id."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     total = usable.count()
     share = min(1.0, max_rows / total) if total else 1.0
     # At most about max_rows ids and labels: a bound that does not depend on the input.
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 53)) / F.lit(float(1 << 53))
     chosen = usable.where(draw < share).select(F.col(id_col).alias("__id"), (F.col("toxic") > 0).cast("int").alias("__toxic"))
+    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string").alias("text"), F.col("__id").alias("id"), F.col("__toxic").alias("toxic"))
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(counts)
@@ -294,55 +306,72 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
             key = [int(wordhash.runs_of(hashes[e - n : e], min(5, n)).min()) >> 1 if n else 0 for e, n in zip(end, count)]
             bags = [r.words(t.as_py()) for t in b.column(0)]
             lists = [pa.array([[*x.keys()] for x in bags], pa.list_(pa.string())), pa.array([[*x.values()] for x in bags], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(key, pa.int64()), *lists], names=["toxic", "key", "words", "times"])
-
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string"), "__toxic")
-    rows = sample.mapInArrow(restore, "toxic int, key long, words array<string>, times array<int>").toArrow()
-    # The first of each key and label.
-    first: dict[tuple, int] = {}
-    for i, key in enumerate(zip(rows.column("key").to_pylist(), rows.column("toxic").to_pylist())):
-        first.setdefault(key, i)
-    rows = rows.take(pa.array(list(first.values()), pa.int64()))
-    y = rows.column("toxic").to_numpy().astype(float)
-    bad, good = int(y.sum()), int(len(y) - y.sum())
+            n = pa.array([sum(x.values()) for x in bags], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(key, pa.int64()), n, *lists], names=["id", "toxic", "key", "n", "words", "times"])
+
+    bags = sample.mapInArrow(restore, f"id {dict(sample.dtypes)['id']}, toxic int, key long, n long, words array<string>, times array<int>")
+    first = F.row_number().over(Window.partitionBy("key", "toxic").orderBy("id", F.xxhash64("words", "times")))
+    return scratch.keep(bags.withColumn("at", first).where("at = 1").select("toxic", "key", "n", "words", "times"), "bags")
+
+
+def _standing_out(bags: DataFrame, rate: float, max_features: int) -> list[str]:
+    """Features that stand in at least 3 toxic rows and over 4 standard deviations more often there, the furthest out first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, names, row, code, n in _held(b):
+                toxic = part.column("toxic").to_numpy()[row]
+                made = [np.bincount(code, weights=w, minlength=len(names)).astype(np.int64) for w in (toxic, n * toxic, n)]
+                yield pa.RecordBatch.from_arrays([names, *map(pa.array, made)], names=["feature", "in_bad", "n_bad", "every"])
+
+    counted = bags.mapInArrow(count, "feature string, in_bad long, n_bad long, every long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("in_bad", "n_bad", "every")))
+    expected = F.col("every") * F.lit(rate)
+    # What stands in few documents must not count by standing there often.
+    z = (F.col("n_bad") - expected) / F.sqrt(expected + 1) * F.least(F.lit(1.0), F.col("in_bad") / 10)
+    best = counted.where("in_bad >= 3").withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "feature").limit(max_features)
+    return [r.feature for r in best.select("feature").collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from labelled documents outside the held-out fifth (crc32 of the id's digits, mod 5, is 0).
+
+    The letter counts cover all documents. The classifier is fitted on at most about max_rows labelled
+    rows, chosen by a hash of the id; their features are counted where they lie, and only how often each row
+    holds the kept ones reaches the driver. Near copies count once. Words and beginnings of words that stand in
+    at least 3 toxic rows and stand out there (over 4 standard deviations) are candidates; the max_features
+    that stand out most are kept. A document that is labelled twice counts with each label. Without rows of
+    both labels the model has no feature.
+    """
+    counts = letter_counts(docs, text_col)
+    bags = _sampled(docs, labels, counts, max_rows, id_col, text_col)
+    of = {r.toxic: r for r in bags.groupBy("toxic").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
+    bad, good = (of[k].rows if k in of else 0 for k in (1, 0))
     if not bad or not good:
+        scratch.drop(bags)
         return Model({}, np.zeros(0), math.log((bad + 0.5) / (good + 0.5)) if bad + good else -3.0, counts)
-    lists = rows.column("words").combine_chunks()
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
-    coded = lists.flatten().dictionary_encode()
-    word, distinct = coded.indices.to_numpy(), coded.dictionary
-    times = rows.column("times").combine_chunks().flatten().to_numpy()
-    n = np.bincount(doc, weights=times, minlength=len(y))
-    names, kinds = _features_of(distinct)
-    toxic = y[doc] == 1
-
-    def met(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, feature, times) of the picked words, each feature of a document once."""
-        parts = []
-        for of_word in kinds:
-            at = np.flatnonzero(pick & (of_word[word] >= 0) & wanted[of_word[word]])
-            parts.append((doc[at].astype(np.int64) * len(names) + of_word[word[at]], times[at]))
-        key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return key // len(names), key % len(names), np.bincount(inverse, weights=np.concatenate([t for _, t in parts]), minlength=len(key))
-
-    wanted = np.ones(len(names), bool)
-    in_bad = np.bincount(met(toxic)[1], minlength=len(names))
-    wanted = in_bad >= 3
-    row, code, held = met(np.ones(len(word), bool))
-    every, n_bad = (np.bincount(code, weights=held * w, minlength=len(names)) for w in (1, y[row]))
-    rate = n[y == 1].sum() / max(1, n.sum())
-    # What stands in few documents must not count by standing there often.
-    z = (n_bad - every * rate) / np.sqrt(every * rate + 1) * np.minimum(1.0, in_bad / 10)
-    text = {int(i): names[int(i)].as_py() for i in np.flatnonzero(wanted & (z > 4))}
-    best = sorted(text, key=lambda i: (-z[i], text[i]))[:max_features]
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
+    best = _standing_out(bags, of[1].n / max(1, of[1].n + of[0].n), max_features)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(best, pa.string())
+        for b in batches:
+            for part, names, row, code, n in _held(b):
+                at = pa.compute.index_in(names, known).fill_null(-1).to_numpy()[code]
+                pick = at >= 0
+                ends = pa.array(np.searchsorted(row[pick], np.arange(len(part) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[pick].astype(np.int32))) for x in (at, n)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("key", "toxic", "n")] + lists, names=["key", "toxic", "n", "at", "held"])
+
+    rows = bags.mapInArrow(place, "key long, toxic int, n long, at array<int>, held array<int>").toArrow().sort_by([("key", "ascending"), ("toxic", "ascending")])
+    scratch.drop(bags)
+    y, n = rows.column("toxic").to_numpy().astype(float), rows.column("n").to_numpy()
+    lists = rows.column("at").combine_chunks()
+    row = np.repeat(np.arange(len(y)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    at, held = lists.flatten().to_numpy(), rows.column("held").combine_chunks().flatten().to_numpy()
     x = np.zeros((len(y), 2 * len(best)), np.float32)
-    at = np.flatnonzero(place[code] >= 0)
-    x[row[at], place[code[at]]] = 1
-    x[row[at], len(best) + place[code[at]]] = np.log1p(200.0 * held[at] / (n[row[at]] + 20))
+    x[row, at] = 1
+    x[row, len(best) + at] = np.log1p(200.0 * held / (n[row] + 20))
     w, b = _fit(x, y)
-    return Model({text[i]: k for k, i in enumerate(best)}, w, b, counts)
+    return Model({f: k for k, f in enumerate(best)}, w, b, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
