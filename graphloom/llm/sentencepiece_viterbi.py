@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import merge
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,31 @@ SPACE = "▁"
 _LOADED: dict[str, "Vocabulary"] = {}
 
 
+class Remembered(dict):
+    """What a function gave for short strings: all of the last ROOM found, and those before them once more."""
+
+    ROOM, LONGEST = 200_000, 64
+
+    def __init__(self, function):
+        self.function, self.before = function, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.before.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.ROOM:
+                self.before = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,13 +66,12 @@ class Vocabulary:
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.unknown = sp.unk_id()
         self.penalty = min((s for _, s in self.ids.values()), default=0.0) - 10.0
-        # A trie of pieces: node = [children by character, id or None, score].
-        self.trie: list = [{}, None, 0.0]
+        # Finds all pieces that end at a position, the longest first.
+        self.matcher = ahocorasick.Automaton()
         for p, (i, score) in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node[0].setdefault(c, [{}, None, 0.0])
-            node[1], node[2] = i, score
+            self.matcher.add_word(p, (i, len(p), score))
+        self.matcher.make_automaton()
+        self.single = {p for p in self.ids if len(p) == 1}
         self.longest = max(map(len, self.ids), default=1)
         # Ids that are text by themselves; the others (parts of a longer character, control ids) are None.
         self.text: list[str | None] = [None] * n
@@ -64,16 +86,34 @@ class Vocabulary:
         several = [p for p in self.ids if len(p) > 1]
         joined = set("".join(several))
         inner = any(SPACE in p.lstrip(SPACE) for p in several)
-        alone = "".join(re.escape(c) for c in ("\n\t\r" + "".join(p for p in self.ids if len(p) == 1)) if c not in joined)
+        self.alone = {c for c in ("\n\t\r" + "".join(self.single)) if c not in joined}
+        alone = "".join(map(re.escape, sorted(self.alone)))
         other = rf"[^{SPACE}{alone}]" if not inner else rf"[^{alone}]"
         self.split = re.compile((rf"[{alone}]|" if alone else "") + (rf"{SPACE}*{other}+|{SPACE}+" if not inner else rf"{other}+")).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(lambda part: tuple(viterbi(part, self)))
+        # Between single spaces every word has its own mark; its parts do not depend on what stands around it.
+        self.words = Remembered(self.word) if self.prefix and not inner else None
+
+    def word(self, word: str) -> tuple[int, ...]:
+        marked = SPACE + word
+        return tuple(viterbi(marked, self)) if self.alone.isdisjoint(word) and word else tuple(i for part in self.split(marked) for i in viterbi(part, self))
 
     def marked(self, text: str) -> str:
         """The text with space marks, as the pieces are written."""
         text = text.replace(" ", SPACE)
         return SPACE + text if self.prefix and text else text
 
+    def matches(self, chars: str) -> Iterator[tuple[int, tuple[int | None, int, float]]]:
+        """(place of the last character, (id, size, score)) of all pieces in a text, by end and falling size.
+
+        A character that is no piece has the id None, so that every place has a match of size 1.
+        """
+        found = self.matcher.iter(chars) if self.ids else iter(())
+        if self.single.issuperset(chars):
+            return found
+        alone = (None, 1, self.penalty)
+        return merge(found, ((i, alone) for i, c in enumerate(chars) if c not in self.single), key=lambda m: (m[0], -m[1][1]))
+
     def fallback(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "replace")
         return [self.bytes[b] for b in raw] if all(b in self.bytes for b in raw) else [self.unknown]
@@ -92,68 +132,50 @@ _LOW = -1e300
 def viterbi(chars: str, v: Vocabulary, check_every: int = 64) -> Iterator[int]:
     """Ids of a marked text, given out as soon as they are final.
 
-    Each position extends its best path by every piece that starts there. What is kept is bounded by
+    Each position is reached by the best of the pieces that end there. What is kept is bounded by
     the longest piece and the distance between points where all surviving paths meet.
     """
-    n, root, penalty, longest = len(chars), v.trie[0], v.penalty, v.longest
-    room = min(n, check_every + longest)
-    # By position, counted from what is given out already.
-    best, source, piece, done = [0.0] + [_LOW] * room, [0] * (room + 1), [None] * (room + 1), 0
-    for start in range(n):
-        i = end = start - done
-        base, at = best[i], start
-        node = root.get(chars[start])
-        end += 1
-        if (node is None or node[1] is None) and base + penalty > best[end]:
-            best[end], source[end], piece[end] = base + penalty, i, None
-        while node is not None:
-            children, found, score = node
-            if found is not None and base + score > best[end]:
-                best[end], source[end], piece[end] = base + score, i, found
-            at += 1
-            if at == n:
-                break
-            node = children.get(chars[at])
-            end += 1
-        if start == n - 1:
-            meet = n - done
-        elif start % check_every == check_every - 1:
-            # The latest boundary that lies on the paths of all positions from which a piece may still start.
-            live = {q for q in range(i + 1, min(i + longest, n - done) + 1) if best[q] > _LOW}
-            while len(live) > 1:
-                last = max(live)
-                live.remove(last)
-                live.add(source[last] if last else 0)
-            (meet,) = live
-        else:
+    n, longest = len(chars), v.longest
+    # By position, counted from what is given out already: the best sum, and the last piece with its size.
+    best, sizes, piece, done = [0.0], [0], [None], 0
+    top, by, back, stop = _LOW, None, 0, min(n, check_every) - 1
+    for end, (found, size, score) in v.matches(chars):
+        value = best[-size] + score
+        if value > top:
+            top, by, back = value, found, size
+        if size > 1:
+            continue
+        # The shortest piece is the last of its position.
+        best.append(top)
+        sizes.append(back)
+        piece.append(by)
+        top = _LOW
+        if end < stop:
             continue
+        here = len(best) - 1
+        # The latest boundary that lies on the paths of all positions from which a piece may still start.
+        live = {here} if end == n - 1 else set(range(max(0, here + 1 - longest), here + 1))
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(last - sizes[last])
+        (meet,) = live
         path, q = [], meet
         while q:
-            path.append(v.fallback(chars[done + source[q]]) if piece[q] is None else (piece[q],))
-            q = source[q]
+            path.append(v.fallback(chars[done + q - 1]) if piece[q] is None else (piece[q],))
+            q -= sizes[q]
         for ids in reversed(path):
             yield from ids
-        if start < n - 1:
-            more = [0] * max(0, i + 1 + check_every + longest - len(best) + 1)
-            best, piece = best[meet:] + [_LOW] * (meet + len(more)), piece[meet:] + [None] * (meet + len(more))
-            source = [x - meet for x in source[meet:]] + [0] * meet + more
-            done += meet
+        best, sizes, piece, done = best[meet:], sizes[meet:], piece[meet:], done + meet
+        # Where the new list begins, a path ends.
+        sizes[0], stop = 0, min(n - 1, end + check_every)
 
 
 def encode(text: str, v: Vocabulary) -> list[int]:
     """Ids of a text. An empty text has none. Those of short parts are remembered."""
-    out: list[int] = []
-    known = v.known
-    for part in v.split(v.marked(text)):
-        ids = known.get(part)
-        if ids is None:
-            ids = tuple(viterbi(part, v))
-            if len(part) <= 64:
-                if len(known) >= 400_000:
-                    known.clear()
-                known[part] = ids
-        out.extend(ids)
-    return out
+    if v.words is not None and text and "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
+        return list(chain.from_iterable(map(v.words.__getitem__, text.split(" "))))
+    return list(chain.from_iterable(map(v.known.__getitem__, v.split(v.marked(text)))))
 
 
 def decode(ids, v: Vocabulary) -> str:

@@ -384,3 +384,12 @@ def test_disguises_of_letters_and_spaced_chunks_are_undone(spark):
     assert r.words("it is so") == {"it": 1, "is": 1, "so": 1}
     for t in ("letter", "stuuupid", "idioot"):
         assert r.plain(t) == toxicity.decode(t, r.model)
+
+
+def test_remembered_strings_are_worked_out_again_when_forgotten(vocab, monkeypatch):
+    monkeypatch.setattr(sentencepiece.Remembered, "ROOM", 3)
+    v = sentencepiece.Vocabulary(vocab("piece_bpe_32k.model"))
+    texts = ["one two three four", "four\nfive\tsix  seven", "one " + "x" * 200, " one two", "two▁three", "eight nine ten one two", "a\n b \tc"]
+    for t in texts * 2:
+        assert sentencepiece.encode(t, v) == brute_viterbi(v.marked(t), v)
+        assert len(v.words) <= 3 and len(v.words.before) <= 3
