@@ -11,6 +11,7 @@ Equal vectors are one, with their number: copies never meet each other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,12 @@ from .components import connected
 from .ngram_join import _forest
 
 BLOCK = 1024
+#: Consecutive blocks that go to a task together; a tile is two such groups, of which each block is sent once.
+GROUP = 3
 #: Parts up to this size are not split further.
 LEAF = 128
+#: Cosines this near the bound are added again.
+CLOSE = 1e-12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -40,9 +45,15 @@ def _meet(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, eps: flo
     if gap @ gap > eps * eps + 1e-9:
         return
     if max(len(x), len(y)) <= LEAF:
-        i, j = np.nonzero(x @ y.T >= bound)
+        found = x @ y.T
+        i, j = np.nonzero(found >= bound - CLOSE)
         if same:
             i, j = i[i < j], j[i < j]
+        # A matrix product adds in an order of its own; at the bound the sum is taken exactly.
+        sure = found[i, j] >= bound + CLOSE
+        for k in np.flatnonzero(~sure).tolist():
+            sure[k] = math.fsum(x[i[k]] * y[j[k]]) >= bound
+        i, j = i[sure], j[sure]
         if len(i):
             out.append(np.stack([i + at[0], j + at[1]], axis=1))
         return
@@ -63,7 +74,8 @@ def near_components(vectors_df: DataFrame, least_cosine: float = 0.95, axes_used
     with zeros. Repeated rows are rows of their own, linked with each other. Rows without id link with
     nothing and have a null component. Empty tables give none. Other columns are left out.
     """
-    spark = vectors_df.sparkSession
+    # Components in single precision travel as such.
+    kind = np.float32 if dict(vectors_df.dtypes)[vector_col] == "array<float>" else np.float64
     v = F.col(vector_col).cast("array<double>")
     rows = vectors_df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     dim = vectors.dimension(rows, "v")
@@ -94,7 +106,7 @@ def near_components(vectors_df: DataFrame, least_cosine: float = 0.95, axes_used
 
         def block(sig, times, x):
             t = _unit(x) @ axes
-            return pa.RecordBatch.from_pydict({"low": [t.min(axis=0).tobytes()], "high": [t.max(axis=0).tobytes()], "sigs": [sig.tobytes()], "times": [times.tobytes()], "data": [x.tobytes()]})
+            return pa.RecordBatch.from_pydict({"low": [t.min(axis=0).tobytes()], "high": [t.max(axis=0).tobytes()], "sigs": [sig.tobytes()], "times": [times.tobytes()], "data": [x.astype(kind).tobytes()]})
 
         for b in batches:
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), vectors.matrix(b.column(2), dim)[0]))
@@ -130,32 +142,46 @@ def near_components(vectors_df: DataFrame, least_cosine: float = 0.95, axes_used
             yield b.select(["a", "b"]).filter(pa.array((gap**2).sum(axis=1) <= eps * eps + 1e-9))
 
     meetings = scratch.keep(together.mapInArrow(within_reach, "a long, b long"), "meetings")
-    side = lambda c: blocks.select(F.col("block").alias(c), F.col("sigs").alias(f"sigs_{c}"), F.col("times").alias(f"times_{c}"), F.col("data").alias(f"data_{c}"))
-    met = meetings.join(side("a"), "a").join(side("b"), "b")
+    # Of a tile (two groups of blocks) every block that meets another there is sent once, the first group ahead.
+    group = lambda c: F.shiftright(c, GROUP)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block")))
+    members_of = meetings.select(group("a").alias("ta"), group("b").alias("tb"), F.explode(sides).alias("m")).select("ta", "tb", "m.side", "m.block").distinct()
+    dealt = members_of.join(blocks.select("block", "sigs", "times", "data"), "block").repartition("ta", "tb").sortWithinPartitions("ta", "tb", "side", "block")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, first = None, []
         for b in batches:
             for i in range(b.num_rows):
-                get = lambda c, kind: np.frombuffer(b.column(c)[i].as_py(), kind)  # noqa: B023, E731
-                same = b.column("a")[i].as_py() == b.column("b")[i].as_py()
-                x, y = (_unit(get(f"data_{c}", np.float64).reshape(-1, dim)) for c in "ab")
-                (sa, ta), (sb, tb) = ((get(f"sigs_{c}", np.int64), get(f"times_{c}", np.int64)) for c in "ab")
-                out: list = []
-                _meet(x, y, x @ axes, y @ axes, eps, least_cosine, (0, 0), same, out)
-                if not out:
+                ta, tb, last, number, sigs, times, data = (b.column(c)[i].as_py() for c in ("ta", "tb", "side", "block", "sigs", "times", "data"))
+                if (ta, tb) != tile:
+                    tile, first = (ta, tb), []
+                x = _unit(np.frombuffer(data, kind).astype(float).reshape(-1, dim))
+                block = (number, x, x @ axes, np.frombuffer(sigs, np.int64), np.frombuffer(times, np.int64))
+                if not last:
+                    first.append(block)
                     continue
-                p, q = np.concatenate(out).T
                 # Of each vector the number of links found here; of the links a spanning forest.
-                count = {}
-                for sigs, times, mine, other in ((sa, tb, p, q), (sb, ta, q, p)):
-                    total = np.bincount(mine, weights=times[other], minlength=len(sigs)).astype(np.int64)
-                    for k in np.flatnonzero(total).tolist():
-                        count[int(sigs[k])] = count.get(int(sigs[k]), 0) + int(total[k])
-                forest = _forest(zip(sa[p].tolist(), sb[q].tolist()))
-                m, n = len(count), len(forest)
-                yield pa.RecordBatch.from_arrays([pa.array([*count, *[f[0] for f in forest]], pa.int64()), pa.array([None] * m + [f[1] for f in forest], pa.int64()), pa.array([*count.values(), *[None] * n], pa.int64())], names=["sig", "other", "n"])
-
-    found = scratch.keep(met.mapInArrow(join, "sig long, other long, n long"), "found")
+                count: dict[int, int] = {}
+                links: list = []
+                for other in first:
+                    if other[0] > number:
+                        continue
+                    out: list = []
+                    _meet(other[1], block[1], other[2], block[2], eps, least_cosine, (0, 0), other[0] == number, out)
+                    if not out:
+                        continue
+                    p, q = np.concatenate(out).T
+                    for one, two, mine, theirs in ((other, block, p, q), (block, other, q, p)):
+                        total = np.bincount(mine, weights=two[4][theirs], minlength=len(one[3])).astype(np.int64)
+                        for k in np.flatnonzero(total).tolist():
+                            sig = int(one[3][k])
+                            count[sig] = count.get(sig, 0) + int(total[k])
+                    links = list(_forest([*links, *zip(other[3][p].tolist(), block[3][q].tolist())]))
+                if count:
+                    m, n = len(count), len(links)
+                    yield pa.RecordBatch.from_arrays([pa.array([*count, *[f[0] for f in links]], pa.int64()), pa.array([None] * m + [f[1] for f in links], pa.int64()), pa.array([*count.values(), *[None] * n], pa.int64())], names=["sig", "other", "n"])
+
+    found = scratch.keep(dealt.mapInArrow(join, "sig long, other long, n long"), "found")
     counts = found.where("n is not null").groupBy("sig").agg(F.sum("n").alias("n"))
     components = connected(found.where("other is not null"), "sig", "other").select(F.col("node").alias("sig"), "component")
     known = classes.select("sig", "times", "least_id").join(counts, "sig", "left").join(components, "sig", "left")

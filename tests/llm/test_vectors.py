@@ -91,3 +91,24 @@ def test_cosines_at_the_bound(spark):
     rows = [(0, [1.0, 0.0]), (1, [4.0, 3.0]), (2, [4.0, -3.0]), (3, [3.9999, -3.0002])]
     got = {r.vec_id: r.n_links for r in epsgrid.near_components(make(spark, rows), 0.8).collect()}
     assert got == {0: 2, 1: 1, 2: 2, 3: 1}
+
+
+def test_grid_join_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(epsgrid, "BLOCK", 8)
+    monkeypatch.setattr(epsgrid, "GROUP", 1)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(60, 5))
+    rows = [(i, (base[i % 60] + rng.normal(scale=rng.choice([0.02, 0.2]), size=5)).astype(np.float32).tolist()) for i in range(400)]
+    df = make(spark, rows)
+    want = cosine_truth(rows, 0.95)
+    for frame in (df, df.withColumn("embedding", df.embedding.cast("array<double>"))):
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in epsgrid.near_components(frame).collect()) == want
+
+
+def test_cosines_at_the_bound_are_links():
+    # (1, 0) and (0.6, 0.8) have a cosine of 0.6, whichever way it is added.
+    x, y = np.array([[1.0, 0.0]]), np.array([[0.6, 0.8]])
+    out = []
+    epsgrid._meet(x, y, x, y, np.sqrt(0.8), 0.6, (0, 0), False, out)
+    epsgrid._meet(x, y, x, y, np.sqrt(0.8), float(np.nextafter(0.6, 1)), (0, 0), False, out)
+    assert [o.tolist() for o in out] == [[[0, 0]]]
