@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, epsgrid, license, ngram_join, packing, scratch, sentencepiece_viterbi, substring, topk, toxicity, warc
+from . import chat, epsgrid, filter_audit, license, ngram_join, packing, scratch, sentencepiece_viterbi, spelling, substring, topk, toxicity, warc, winnow
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -195,3 +195,78 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of up to 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in 10-word windows of the benchmark, and the items that they come from."""
+    found = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.hi - x.lo)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+ORACLES["op11_benchmark_decontamination"] = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM low),
+b AS (SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda s: array_to_string(w[s + 1 : s + 10], ' '))) AS t FROM b WHERE len(w) > 0),
+p AS (SELECT doc_id, n, w, unnest(range(greatest(len(w) - n + 1, 0))) AS s FROM d, (SELECT DISTINCT n FROM i)),
+h AS (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS t FROM p),
+x AS MATERIALIZED (SELECT h.doc_id, h.n, s, i.item_id FROM h JOIN i ON i.t = h.t AND i.n = h.n),
+c AS (SELECT doc_id, count(DISTINCT s + o) AS n_hit FROM x, range(10) q(o) WHERE o < n GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM x WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language's documents in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > least, FALSE) AS INTEGER) AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, mask),
+f(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM f p, f q, f r, f s, f t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+k AS (SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS own, CAST(coalesce(list_sum(bits[1 : i - 1]), 0) AS INTEGER) AS earlier FROM o, range(1, 6) z(i)),
+e AS (SELECT part, filter_order, step, own,
+  CAST(sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, k GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM e
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the spelling that it is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE steps AS (SELECT 0 AS k, i AS v, i AS i FROM range(256) q(i) UNION ALL SELECT k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS c FROM steps WHERE k = 8),
+r AS MATERIALIZED (SELECT doc_id, translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS u FROM documents) WHERE length(u) >= 6 GROUP BY ALL),
+y AS (SELECT u, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || u, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END)) AS b FROM r),
+h AS (SELECT u, n, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM y, crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN u[1 : h % length(u)] || u[h % length(u) + 2 :] ELSE u END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, i, word[1 : i - 1] || word[i + 1 :] AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.i = b.i AND a.less = b.less AND a.word < b.word UNION SELECT g.word, v.word FROM g JOIN v ON v.word = g.less),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+f AS MATERIALIZED (SELECT v.word, v.n, count(*) AS n_near, list({'f': z.word, 'm': z.n} ORDER BY z.n DESC, z.word)[1] AS t FROM v JOIN e ON e.a = v.word JOIN v z ON z.word = e.b GROUP BY v.word, v.n),
+s AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN t.m >= 5 * v.n THEN t.f END AS form, CASE WHEN t.m >= 5 * v.n THEN t.m END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+w AS (SELECT word, word AS node, 0 AS k FROM s UNION ALL SELECT w.word, s.form, k + 1 FROM w JOIN s ON s.word = w.node WHERE s.form IS NOT NULL)
+SELECT s.word, form, root, n, n_near, form_n FROM s JOIN (SELECT word, arg_max(node, k) AS root FROM w GROUP BY word) z ON z.word = s.word
+"""
