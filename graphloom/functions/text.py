@@ -31,11 +31,29 @@ def property_type(c: Column) -> Column:
     return F.when(up == "", "UNKNOWN").otherwise(F.coalesce(F.element_at(names, up), F.when(up.startswith("LIST"), "LIST"), up))
 
 
-def split_words(c: Column) -> Column:
-    """Lower-case words of at least 3 letters from camel case, snake case and plain text, plural s off."""
-    spaced = F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2")
-    words = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    return F.array_distinct(F.transform(words, lambda w: F.when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)))
+# What counts as a word of an identifier and of a question, and words that say nothing.
+IDENTIFIER_WORD = r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+"
+QUESTION_WORD = "[a-z0-9]+"
+STOP_WORDS = (
+    "all", "and", "are", "for", "from", "has", "have", "how", "list", "many", "name", "number", "that", "the", "their", "them", "there", "these",
+    "was", "were", "what", "when", "where", "which", "who", "whose", "with",
+)
+
+
+def _telling(words: Column) -> Column:
+    """Distinct words of at least 3 signs, without a last s where more than 3 signs are there, stop words aside."""
+    short = F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return F.array_distinct(F.filter(short, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
+
+
+def identifier_words(c: Column) -> Column:
+    """Words of a camel-case, snake-case or plain identifier."""
+    return _telling(F.transform(F.regexp_extract_all(c, F.lit(IDENTIFIER_WORD), F.lit(0)), F.lower))
+
+
+def question_words(c: Column) -> Column:
+    """Words of a question."""
+    return _telling(F.regexp_extract_all(F.lower(c), F.lit(QUESTION_WORD), F.lit(0)))
 
 
 def without_end_of_turn(c: Column) -> Column:

@@ -16,7 +16,7 @@ def draw(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
 
 
-def uniform(seed: int, *keys: str) -> Column:
+def uniform(seed: int, *keys: str | Column) -> Column:
     """A number from 0 up to 1, of 48 bits of the draw."""
     return F.conv(F.substring(draw(seed, *keys), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 

@@ -141,21 +141,6 @@ def identifiers(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", T.clean_identifier(raw).alias("clean"), T.database_name(F.concat(F.lit("db_"), k), True).alias("database"))
 
 
-@query("""
-WITH q AS (SELECT example_id, unit_id FROM @selection WHERE label = 1), u AS (SELECT DISTINCT schema_id, unit_id FROM @selection),
-s AS (SELECT DISTINCT example_id, schema_id FROM @selection)
-SELECT DISTINCT s.example_id, u.unit_id, CASE WHEN u.unit_id % 6 IN (SELECT q.unit_id % 6 FROM q WHERE q.example_id = s.example_id) THEN 'hard' ELSE 'random' END AS pool
-FROM s JOIN u USING (schema_id) WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.example_id = s.example_id AND q.unit_id = u.unit_id)""")
-def distractor_pools(spark, d):
-    """Units of an example's schemas beside its gold ones; hard where they share a gold unit's class."""
-    rows = role(spark, d, "selection").select("example_id", "schema_id", "unit_id", "label")
-    gold = rows.where("label = 1").select("example_id", "unit_id").distinct()
-    pool = rows.select("example_id", "schema_id").distinct().join(rows.select("schema_id", "unit_id").distinct(), "schema_id").select("example_id", "unit_id").distinct()
-    rest = pool.join(gold, ["example_id", "unit_id"], "left_anti").withColumn("class", F.col("unit_id") % 6)
-    hard = gold.select("example_id", (F.col("unit_id") % 6).alias("class")).distinct().withColumn("hard", F.lit(True))
-    return rest.join(hard, ["example_id", "class"], "left").select("example_id", "unit_id", F.when(F.col("hard"), "hard").otherwise("random").alias("pool"))
-
-
 @query("""
 SELECT vec_id, round(list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))), 9) AS cosine
 FROM (SELECT a.vec_id, list_transform(a.embedding, lambda t: CAST(t AS DOUBLE)) AS x, list_transform(b.embedding, lambda t: CAST(t AS DOUBLE)) AS y FROM @vectors a JOIN @vectors b ON b.vec_id = a.vec_id + 1)""")

@@ -111,11 +111,12 @@ def test_kernels_vanish_at_identity(spark):
 def test_text_functions(spark):
     r = one(
         spark, a=text.clean_identifier(F.lit(" :`Movie Star` ")), b=text.property_type(F.lit("list<int>")), c=text.property_type(F.lit("date-time")), d=text.property_type(F.lit(None).cast("string")),
-        e=text.without_end_of_turn(F.lit("MATCH (n) <end_of_turn>")), f=text.without_end_of_turn(F.lit(" x ")), g=text.split_words(F.lit("actedInMovies of_glass")),
+        e=text.without_end_of_turn(F.lit("MATCH (n) <end_of_turn>")), f=text.without_end_of_turn(F.lit(" x ")), g=text.identifier_words(F.lit("actedInMovies ABCParts of_glass all_99 IDs2024")), j=text.question_words(F.lit("Which MOVIES won 200 prizes, and a bus for class-9?")),
         h=text.node_text(F.lit("P"), F.create_map(F.lit("b"), F.lit("INT"), F.lit("a"), F.lit("STRING"))), i=text.duration(F.lit(3725.9)),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("Movie Star", "LIST", "DATE_TIME", "UNKNOWN", "MATCH (n)", " x ")
-    assert (r.g, r.h, r.i) == (["acted", "movie", "glass"], "(:P { a: STRING, b: INT })", "01:02:05")
+    assert (r.h, r.i) == ("(:P { a: STRING, b: INT })", "01:02:05")
+    assert (r.g, r.j) == (["acted", "movie", "abc", "part", "glas", "2024"], ["movie", "won", "200", "prize", "bus", "clas"])
 
 
 def test_labels_and_requirements_fail_loudly(spark):
