@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
-from ..operators import distractors
+from ..operators import covering, distractors
 from .catalog import query
+from .roles import role
 
 KEY = ["turn"]
 
@@ -84,3 +85,32 @@ def distractor_pool_sizes(spark, d):
 def augmented_examples(spark, d):
     """Every user turn as a gold, a noisy or a full row."""
     return distractors.augment(*word_graph(spark, d), KEY, weights=(0.25, 0.25, 0.25, 0.25))
+
+
+@query("""
+WITH RECURSIVE r AS MATERIALIZED (SELECT DISTINCT example_id, schema_id, unit_id, label FROM @selection),
+f AS (SELECT schema_id, unit_id, label, count(*) AS f FROM r GROUP BY ALL),
+o AS (SELECT example_id, row_number() OVER (ORDER BY md5(concat_ws('|', '11', example_id)), example_id) AS step FROM (SELECT DISTINCT example_id FROM r)),
+e AS MATERIALIZED (SELECT step, example_id, list({'s': schema_id, 'u': unit_id, 'l': label} ORDER BY f, md5(concat_ws('|', '11', example_id, schema_id, unit_id, label)), schema_id, unit_id, label) AS units
+  FROM r JOIN f USING (schema_id, unit_id, label) JOIN o USING (example_id) GROUP BY ALL),
+w AS (SELECT 0::BIGINT AS step, NULL::BIGINT AS example_id, []::STRUCT(s BIGINT, u BIGINT, l INTEGER)[] AS taken, NULL::STRUCT(s BIGINT, u BIGINT, l INTEGER) AS pick, FALSE AS first
+  UNION ALL SELECT step, example_id, CASE WHEN free IS NULL THEN taken ELSE list_append(taken, free) END, coalesce(free, units[1]), free IS NOT NULL
+  FROM (SELECT e.step, e.example_id, e.units, w.taken, list_filter(e.units, lambda x: NOT list_contains(w.taken, x))[1] AS free FROM w JOIN e ON e.step = w.step + 1))
+SELECT example_id, pick.s AS schema_id, pick.u AS unit_id, pick.l AS label, first FROM w WHERE step > 0""")
+def covering_choice(spark, d):
+    """One row for every example, chosen in turn: units that none before has chosen first, the rarest of them."""
+    rows = role(spark, d, "selection").select("example_id", "schema_id", "unit_id", "label")
+    return covering.choose(rows, ["example_id"], ["schema_id", "unit_id", "label"], 11)
+
+
+@query("SELECT DISTINCT schema_id, unit_id FROM @selection WHERE label = 1")
+def covered_units(spark, d):
+    """Units of the examples that stand for them: every positive unit has one of its own."""
+    rows = role(spark, d, "selection").where("label = 1").select("example_id", "schema_id", "unit_id")
+    return covering.cover(rows, ["example_id"], ["schema_id", "unit_id"], 11).select("schema_id", "unit_id")
+
+
+@query()
+def contrast_cover(spark, d):
+    """400 covering contrast pairs for each schema, without a group in one task."""
+    return covering.contrast_cover(role(spark, d, "selection"), "schema_id", "example_id", "unit_id", "label", 400, 42)
