@@ -1,4 +1,4 @@
-"""Queries on schemas made of real words: distractor pools, their sizes, and augmented rows.
+"""Queries on schemas made of real words (distractor pools, their sizes, augmented rows), covering choices and adaptive replay.
 
 A conversation is a schema graph of its answers' words: every second word of an answer is a node, the word between two
 nodes a relation, and a node's properties are the relations that leave it. An example is a user's turn; its gold units are those of the
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
 from ..operators import covering, distractors
+from ..streaming import replay
 from .catalog import query
 from .roles import role
 
@@ -114,3 +115,23 @@ def covered_units(spark, d):
 def contrast_cover(spark, d):
     """400 covering contrast pairs for each schema, without a group in one task."""
     return covering.contrast_cover(role(spark, d, "selection"), "schema_id", "example_id", "unit_id", "label", 400, 42)
+
+
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type = 'error' AS judged, least(value / 100, 1) AS progress, value AS loss FROM events),
+w AS (SELECT DISTINCT run, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS source, NULL::DOUBLE AS fresh_probability, 0.3::DOUBLE AS threshold, 0::DOUBLE AS baseline, 0::BIGINT AS held, NULL::VARCHAR[] AS sampled, 0::BIGINT AS added, []::STRUCT(n BIGINT, f VARCHAR)[] AS memory FROM e
+  UNION ALL SELECT run, i, seq, source, fresh_probability, CASE WHEN judged AND loss >= baseline + 1 THEN least(1, threshold + 0.1) ELSE threshold END, CASE WHEN judged AND loss >= baseline + 1 THEN loss ELSE baseline END, held,
+    CASE WHEN source = 'replay' THEN list_transform(list_sort(list_transform(memory, lambda x: {'d': md5(concat_ws('|', '13', run, seq, x.n)), 'f': x.f}))[1:3], lambda x: x.f) END,
+    CASE WHEN source = 'fresh' THEN added + 1 ELSE added END, CASE WHEN source = 'fresh' THEN list_append(memory, {'n': added, 'f': CAST(seq AS VARCHAR)})[-8:] ELSE memory END
+  FROM (SELECT *, CASE WHEN judged THEN NULL WHEN u < fresh_probability OR (u < threshold AND held < 8) THEN 'fresh' WHEN u < threshold AND held >= 3 THEN 'replay' ELSE 'dataset' END AS source
+    FROM (SELECT w.run, e.i, e.seq, judged, loss, threshold, baseline, added, memory, least(added, 8) AS held, CAST('0x' || md5(concat_ws('|', '13', w.run, e.seq))[1:12] AS BIGINT) / 281474976710656 AS u, CASE WHEN NOT judged THEN threshold * (1 - progress) END AS fresh_probability
+      FROM w JOIN e ON e.run = w.run AND e.i = w.i + 1)))
+SELECT run, seq, source, fresh_probability, threshold, held, array_to_string(sampled, ',') AS sampled FROM w WHERE i > 0""")
+def adaptive_replay(spark, d):
+    """Every user's events as a run: errors are validations, other events steps that may give one feature."""
+    judged = F.col("event_type") == "error"
+    events = spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), F.when(judged, "validation").otherwise("step").alias("kind"),
+        F.least(F.col("value") / 100, F.lit(1.0)).alias("progress"), F.array(F.col("event_id").cast("string")).alias("features"), F.when(judged, F.col("value")).alias("loss"),
+    )
+    return replay.replay_table(events, replay.Settings(8, 3, 0.3, 1.0, seed=13)).withColumn("sampled", F.array_join("sampled", ","))
