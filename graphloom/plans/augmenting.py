@@ -1,4 +1,4 @@
-"""Queries on schemas made of real words (distractor pools, their sizes, augmented rows), covering choices and adaptive replay.
+"""Queries on schemas made of real words (distractor pools, their sizes, augmented rows), covering choices, adaptive replay, the corpus build and its commits.
 
 A conversation is a schema graph of its answers' words: every second word of an answer is a node, the word between two
 nodes a relation, and a node's properties are the relations that leave it. An example is a user's turn; its gold units are those of the
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS
+from ..functions.text import STOP_WORDS, question_words
 from ..operators import covering, distractors
-from ..streaming import replay
+from ..sources import staging, versions
+from ..streaming import corpus, replay
 from .catalog import query
 from .roles import role
 
@@ -135,3 +136,64 @@ def adaptive_replay(spark, d):
         F.least(F.col("value") / 100, F.lit(1.0)).alias("progress"), F.array(F.col("event_id").cast("string")).alias("features"), F.when(judged, F.col("value")).alias("loss"),
     )
     return replay.replay_table(events, replay.Settings(8, 3, 0.3, 1.0, seed=13)).withColumn("sampled", F.array_join("sampled", ","))
+
+
+def _corpus(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The corpus build over conversations: opening and later turns are two sources, each tenth conversation is for tests."""
+    _, gold, units = word_graph(spark, d)
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("cypher"), (F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))) % 2 == 1).alias("complete"))
+    needed = gold.groupBy(F.col("schema_id").alias("conv_id"), "turn").agg(F.collect_set("unit").alias("units"))
+    rows = turns.where("role = 'user'").join(answers, ["conv_id", "turn"], "left").join(needed, ["conv_id", "turn"], "left")
+    shown = rows.select(
+        F.concat_ws(":", "conv_id", "turn").alias("example_id"), F.when(F.col("conv_id") % 10 == 0, "test").otherwise("train").alias("split"), F.lit("words").alias("graph"), F.col("conv_id").alias("schema_id"),
+        F.col("text").alias("question"), "cypher", "units", "complete", F.when(F.size(question_words(F.coalesce("text", F.lit("")))) == 0, F.array(F.lit("no_telling_words"))).alias("issues"), (F.col("turn") == 0).alias("opens"),
+    )
+    schemas = units.groupBy("schema_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("kind", "unit"))), lambda x: x.unit).alias("units"))
+    return corpus.build_table({"opening": shown.where("opens").drop("opens"), "later": shown.where("not opens").drop("opens")}, schemas)
+
+
+CORPUS = (
+    GRAPH
+    + f""", m AS (SELECT conv_id AS schema_id, turn - 1 AS turn, text AS cypher, len(regexp_extract_all(text, '[A-Za-z]+')) % 2 = 1 AS whole FROM conversations WHERE role = 'assistant'),
+x AS MATERIALIZED (SELECT concat_ws(':', c.conv_id, c.turn) AS example_id, CASE WHEN c.turn = 0 THEN 'opening' ELSE 'later' END AS source, CASE WHEN c.conv_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, c.conv_id AS schema_id, c.turn,
+  coalesce(c.text, '') <> '' AND coalesce(cypher, '') <> '' AS told, coalesce(whole, FALSE) AS whole, len({_telling("regexp_extract_all(lower(coalesce(c.text, '')), '[a-z0-9]+')")}) = 0 AS odd,
+  (SELECT count(*) FROM u WHERE u.schema_id = c.conv_id) AS n, (SELECT count(*) FROM g WHERE g.schema_id = c.conv_id AND g.turn = c.turn) AS n_gold
+  FROM conversations c LEFT JOIN m ON m.schema_id = c.conv_id AND m.turn = c.turn WHERE c.role = 'user')
+"""
+)
+
+
+@query(CORPUS + """, o AS (SELECT source, split, unnest([{'output': 'generation', 'n': CAST(ok AS BIGINT), 'l': 0}, {'output': 'selection', 'n': CASE WHEN ok THEN n ELSE 0 END, 'l': CASE WHEN ok THEN n_gold ELSE 0 END},
+  {'output': 'rejected', 'n': 1 - CAST(ok AS BIGINT), 'l': 0}, {'output': 'issues', 'n': CAST(odd AS BIGINT), 'l': 0}, {'output': 'inference_generation', 'n': CAST(test AS BIGINT), 'l': 0},
+  {'output': 'inference_selection', 'n': CASE WHEN test THEN n ELSE 0 END, 'l': CASE WHEN test AND whole THEN n_gold ELSE 0 END}]) AS o FROM (SELECT *, told AND n > 0 AND n_gold > 0 AND whole AS ok, split = 'test' AND told AND n > 0 AS test FROM x))
+SELECT source, split, o.output AS output, CAST(sum(o.n) AS BIGINT) AS n, CASE WHEN o.output LIKE '%selection' THEN CAST(sum(o.l) AS BIGINT) END AS labelled FROM o GROUP BY source, split, o.output HAVING sum(o.n) > 0""")
+def corpus_counts(spark, d):
+    """Rows of each output of the whole corpus build, for its manifest."""
+    return corpus.counts(_corpus(spark, d))
+
+
+@query(CORPUS + """SELECT example_id, x.source, split, CAST(x.schema_id AS VARCHAR) AS schema_id, unit AS unit_id, kind AS unit_type, CAST(EXISTS (SELECT 1 FROM g WHERE g.schema_id = x.schema_id AND g.turn = x.turn AND g.unit = u.unit) AS INTEGER) AS label
+FROM x JOIN u ON u.schema_id = x.schema_id WHERE told AND whole AND n_gold > 0""")
+def corpus_selection(spark, d):
+    """Selector rows of the whole corpus build."""
+    return _corpus(spark, d)["selection"].drop("graph", "question")
+
+
+@query("SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def appended_batches(spark, d):
+    """Events appended to a log, a batch for each type and each batch twice, and what the log then holds."""
+    events, path = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"), staging.place(spark, "log")
+    for i, (kind,) in enumerate(events.select("event_type").distinct().orderBy("event_type").collect()):
+        for _ in range(2):
+            versions.append(events.where(F.col("event_type") == kind), path, i)
+    return versions.read_log(spark, path, "event_id long, event_type string").groupBy("event_type", "batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1")
+def published_version(spark, d):
+    """A table that is published twice, as a reader of the later version sees it."""
+    labels, path = spark.read.parquet(f"{d}/labels.parquet"), staging.place(spark, "published")
+    versions.publish({"labels": labels}, {"registry": {"all": True}}, path)
+    versions.publish({"labels": labels.where("toxic = 1")}, {"registry": {"all": False}}, path, overwrite=True)
+    return versions.current(spark, path).table("labels", "doc_id long, quality int, toxic int")

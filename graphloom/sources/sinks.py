@@ -14,11 +14,6 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.select(*[f"`{c}`" for c in sorted(df.columns)]).write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
-def write_routes(df: DataFrame, route: str, path: str) -> None:
-    """One pass over df into a folder for each route."""
-    df.write.partitionBy(route).mode("errorifexists").json(path)
-
-
 def write_json(spark: SparkSession, document: dict, path: str) -> None:
     """A JSON document, written beside its place and then moved there, by the store's own file system."""
     jvm = spark.sparkContext._jvm
@@ -48,11 +43,6 @@ def skip_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def done_counts(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    have = done.select(key).distinct().withColumn("done_", F.lit(True))
-    return rows.select(key).join(have, key, "left").agg(F.count("*").alias("total"), F.count("done_").alias("done"))
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -74,27 +64,6 @@ def free_path(spark: SparkSession, path: str, stamp: str) -> str:
     return f"{path}-{stamp}" if fs.exists(p) and len(fs.listStatus(p)) else path
 
 
-def publish(tables: dict[str, DataFrame], registry: dict, path: str, overwrite: bool = False) -> None:
-    """Tables as JSON lines with a registry, staged beside their place and moved there only once all are written."""
-    spark = next(iter(tables.values())).sparkSession
-    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}.staged"
-    names = [*tables, "registry.json"]
-    guard(spark, [], [f"{path}/{n}" for n in names], overwrite)
-    fs, stage = _fs(spark, staged)
-    try:
-        for name, df in tables.items():
-            write_jsonl(df, f"{staged}/{name}")
-        write_json(spark, registry, f"{staged}/registry.json")
-        fs.mkdirs(_fs(spark, path)[1])
-        for name in names:
-            target = _fs(spark, f"{path}/{name}")[1]
-            fs.delete(target, True)
-            if not fs.rename(_fs(spark, f"{staged}/{name}")[1], target):
-                raise OSError(f"cannot move {name} to {path}")
-    finally:
-        fs.delete(stage, True)
-
-
 def copy(spark: SparkSession, source: str, target: str) -> None:
     """A file or folder as it is, without reading it as a table."""
     (fs, p), (other, q) = _fs(spark, source), _fs(spark, target)

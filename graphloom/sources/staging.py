@@ -22,14 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: a lost executor costs the reading only. What an application wrote goes when its driver ends."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A path of this application's own in the shared folder. What an application wrote goes when its driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"{shared_folder(spark)}/graphloom/{app}"
         atexit.register(_remove, spark, _OWN[app])
-    path = f"{_OWN[app]}/{name}-{uuid.uuid4().hex}"
+    return f"{_OWN[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: a lost executor costs the reading only."""
+    spark, path = df.sparkSession, place(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import routing
+from ..sources import versions
 
 
 def read_examples(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -33,3 +34,12 @@ def append_once(stream: DataFrame, predict, out: str, checkpoint: str) -> Stream
         predict(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_stream(stream: DataFrame, predict, path: str, checkpoint: str) -> StreamingQuery:
+    """predict(batch) as batches of the append log under path: see sources.versions. A batch that is run again after its commit adds nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        versions.append(predict(batch), path, batch_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -160,14 +160,11 @@ def test_prompts(spark):
         one(spark, x=prompts.render_chat(chat("tool"), "llama3"))
 
 
-def test_publishing_is_all_or_nothing(spark, tmp_path):
+def test_outputs_are_guarded_and_copied(spark, tmp_path):
     out = f"file://{tmp_path}/out"
-    sinks.publish({"train.jsonl": spark.range(3), "dev.jsonl": spark.range(1)}, {"train": {"rows": 3}}, out)
-    assert spark.read.json(f"{out}/train.jsonl").count() == 3 and json.loads((tmp_path / "out/registry.json").read_text()) == {"train": {"rows": 3}}
+    sinks.write_jsonl(spark.range(5), f"{out}/train.jsonl")
     with pytest.raises(FileExistsError):
-        sinks.publish({"train.jsonl": spark.range(5)}, {}, out)
-    sinks.publish({"train.jsonl": spark.range(5)}, {}, out, overwrite=True)
-    assert spark.read.json(f"{out}/train.jsonl").count() == 5 and not list(tmp_path.glob("*.staged"))
+        sinks.guard(spark, [], [f"{out}/train.jsonl"])
     with pytest.raises(ValueError, match="outputs are inputs"):
         sinks.guard(spark, [out], [f"{out}/"])
     assert sinks.free_path(spark, out, "t1") == f"{out}-t1" and sinks.free_path(spark, f"{out}9", "t1") == f"{out}9"
