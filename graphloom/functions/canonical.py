@@ -23,8 +23,3 @@ def schema_id(source: str, graph: str, payload) -> str:
 def schema_id_udf(source: pd.Series, graph: pd.Series, payload: pd.Series) -> pd.Series:
     """payload: JSON text of nodes and relationships in any layout."""
     return pd.Series([schema_id(s, g, json.loads(p)) for s, g, p in zip(source, graph, payload)])
-
-
-@F.pandas_udf(T.StringType())
-def py_json_udf(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda p: None if p is None else py_json(json.loads(p)))

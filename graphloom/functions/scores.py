@@ -48,10 +48,6 @@ def ngram_scores(rows: DataFrame, key: str, pred: str, ref: str, n: int) -> Data
     return rows.select(key).join(per, key, "left").select(key, f1(zero("o"), zero("na"), zero("nb")).alias("score"))
 
 
-def rouge_n(pred: Column, ref: Column, n: int) -> Column:
-    return let(ngrams(pred, n), lambda a: let(ngrams(ref, n), lambda b: let(clipped_overlap(a, b), lambda o: f1(o, F.size(a), F.size(b)))))
-
-
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence; a row of the table is the bits of one whole number."""
     at: dict[str, int] = {}

@@ -15,29 +15,6 @@ def parse_thresholds(text: str) -> list[float]:
     return [round(first + i * step, 6) for i in range(round((last - first) / step) + 1)]
 
 
-def parse_weights(text: str) -> list[float]:
-    """Weights of 1, 2, ... from pairs count:weight between commas; no count may be missing."""
-    pairs = [x.partition(":") for x in text.split(",")]
-    if not all(sep for _, sep, _ in pairs):
-        raise ValueError("expected count:weight")
-    by = {int(n): float(w) for n, _, w in pairs}
-    if sorted(by) != list(range(1, len(by) + 1)):
-        raise ValueError("counts run from 1 without a gap")
-    return [by[n] for n in sorted(by)]
-
-
-def choices(text: str, known: Sequence[str], what: str) -> list[str]:
-    """Values between commas (all: every known one); unknown, repeated and no values fail."""
-    picked = list(known) if text == "all" else [x.strip() for x in text.split(",") if x.strip()]
-    if not picked:
-        raise ValueError(f"no {what} given")
-    if unknown := sorted(set(picked) - set(known)):
-        raise ValueError(f"unknown {what}: {', '.join(unknown)}")
-    if len(picked) != len(set(picked)):
-        raise ValueError(f"{what} repeat")
-    return picked
-
-
 def merged(*configs: dict) -> dict:
     """Settings of several sources, nested ones too; the last that names one counts."""
     out: dict = {}
@@ -65,31 +42,6 @@ def stop_ids(*groups: Sequence[int] | int | None) -> list[int]:
     return out
 
 
-def plan_runs(seeds: Sequence[int], methods: Sequence[str], datasets: Sequence[str]) -> list[tuple[int, str, list[str]]]:
-    """A group of runs for each seed and method; one seed is done before the next."""
-    return [(seed, method, list(datasets)) for seed in seeds for method in methods]
-
-
-def deal_runs(groups: list[tuple[int, str, list[str]]], workers: int) -> list[list[tuple[int, str, list[str]]]]:
-    """Groups dealt in turn; while there are fewer groups than workers, the largest is split in two by every other run."""
-    if workers < 1:
-        raise ValueError("at least one worker")
-    groups = list(groups)
-    wanted = min(workers, sum(len(runs) for *_, runs in groups))
-    while len(groups) < wanted:
-        at = max(range(len(groups)), key=lambda i: len(groups[i][2]))
-        *key, runs = groups[at]
-        groups[at] = (*key, runs[0::2])
-        groups.append((*key, runs[1::2]))
-    return [groups[i::wanted] for i in range(wanted)]
-
-
-def fresh_share(threshold: float, progress: float, schedule: str) -> float:
-    """The chance of fresh rollouts at a progress from 0 to 1."""
-    at = min(max(progress, 0.0), 1.0)
-    return threshold * {"constant": 0.5, "increasing": at, "decreasing": 1 - at}[schedule]
-
-
 # Columns of the report and their formats.
 REPORT = (
     ("threshold", "threshold", 9, ".2f"), ("precision", "prec", 6, ".1f"), ("recall", "recall", 6, ".1f"), ("f1", "F1", 6, ".1f"),

@@ -62,10 +62,6 @@ def until_stop(tokens: Column, stops: list[int]) -> Column:
     return F.slice(tokens, F.lit(1), F.coalesce(at.cast("int") - 1, F.size(tokens)))
 
 
-def left_padded(tokens: Column, length: int, pad: int) -> Column:
-    return F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(length) - F.size(tokens))), tokens)
-
-
 def complete(fields: list[str]) -> Column:
     """Whether every field holds text other than blanks."""
     held = [F.coalesce(F.trim(F.col(c)), F.lit("")) != "" for c in fields]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import staging
+
 
 def draw(seed: int, *keys: str | Column) -> Column:
     """A text that orders rows at random but alike everywhere."""
@@ -77,25 +79,16 @@ def balanced_sample(rows: DataFrame, example: str, key: str, label: str, target:
 def number(rows: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     """Rows numbered from 0 in a global order, without one task for all.
 
-    Bounds of ranges come from a fixed number of rows, drawn by a hash of the order, and decide the balance
-    only. Both passes tell ranges apart by the same literals: one counts them, one numbers their rows.
-    order must tell rows apart for the numbers to be the same on every run.
+    Rows are sorted once, by ranges, and written with a number that holds their range and their place in it; the ranges' sizes, a row for
+    each range, say where each begins. order must tell rows apart for the numbers to be the same on every run.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = dict(rows.dtypes)
-    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(16 * parts).distinct().orderBy(*order).collect()
-    bounds = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
-    own = F.struct(*[F.col(c).alias(f"k{j}") for j, c in enumerate(order)])
-    literal = lambda r: F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(f"k{j}") for j, c in enumerate(order)])
-    part = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= own)) if bounds else F.lit(0)
-    ranged = rows.withColumn("part_", part)
-    # One row for each range.
-    sizes, at, before = {r.part_: r["count"] for r in ranged.groupBy("part_").count().collect()}, [], 0
-    for i in range(len(bounds) + 1):
-        at.append(before)
-        before += sizes.get(i, 0)
-    rank = F.row_number().over(W.partitionBy("part_").orderBy(*order)) - 1
-    return ranged.withColumn(name, rank + F.get(F.array(*[F.lit(n).cast("long") for n in at]), F.col("part_"))).drop("part_")
+    placed = staging.kept(rows.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()), "numbered")
+    ranged = placed.withColumn("range_", F.shiftrightunsigned("at_", 33)).withColumn("at_", F.col("at_").bitwiseAND((1 << 33) - 1))
+    sizes = ranged.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("range_", F.coalesce(before, F.lit(0)).alias("before_"))
+    # As many rows as there are ranges.
+    return ranged.join(F.broadcast(starts), "range_").select(*rows.columns, (F.col("before_") + F.col("at_")).alias(name))
 
 
 def batches(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
@@ -151,18 +144,10 @@ def drawn_count(rows: DataFrame, key: str, weights: list[tuple[int, float]], see
     return rows.select(key, expr.cast("int").alias("drawn"))
 
 
-def droppable_batches(batch: int, pairs: int, negatives: int, total: int) -> tuple[int, int]:
-    """(first, how many) of the full batches that hold no contrast pair, in rows laid out by interleave_all()."""
-    if batch < 2 or batch % 2 or min(pairs, negatives, total) < 0 or total < 2 * pairs + negatives:
-        raise ValueError("batches have an even size, and rows are at least those of the selector")
-    half, selectors, full = batch // 2, 2 * pairs + negatives, total // batch
-    first = -(-2 * pairs // half)
-    if selectors > total - selectors:
-        if 2 * pairs > (total - selectors) // half * half:
-            raise ValueError("contrast pairs do not fit into the mixed batches")
-        return first, max(0, full - first)
-    first = min(first, full)
-    return first, max(0, min(-(-selectors // half), full) - first)
+def droppable(layout: DataFrame, position: str, paired: str, batch: int) -> DataFrame:
+    """(batch): full batches of a layout that hold no row of a contrast pair. layout: positions from 0 without gaps, and whether a row is one of a pair."""
+    full = layout.groupBy(F.floor(F.col(position) / batch).cast("long").alias("batch")).agg(F.count("*").alias("n"), F.bool_or(F.coalesce(paired, F.lit(False))).alias("p"))
+    return full.where((F.col("n") == batch) & ~F.col("p")).select("batch")
 
 
 def dropped_batches(batches: int, replicas: int, epoch: int, first: int, count: int) -> set[int]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, question_words
-from ..operators import covering, distractors
+from ..operators import covering, distractors, routing, sampling, units
 from ..sources import staging, versions
 from ..streaming import corpus, replay
 from .catalog import query
@@ -197,3 +197,33 @@ def published_version(spark, d):
     versions.publish({"labels": labels}, {"registry": {"all": True}}, path)
     versions.publish({"labels": labels.where("toxic = 1")}, {"registry": {"all": False}}, path, overwrite=True)
     return versions.current(spark, path).table("labels", "doc_id long, quality int, toxic int")
+
+
+@query("SELECT id, seed, metric FROM @scores WHERE graph = 'click'")
+def graph_filter(spark, d):
+    """Scores of one graph."""
+    return routing.of_graph(role(spark, d, "scores"), "click").select("id", "seed", "metric")
+
+
+@query("""
+WITH n AS (SELECT schema_id, node_id, label FROM @nodes)
+SELECT schema_id, concat('node:', label) AS id, 'node' AS kind FROM n
+UNION ALL SELECT a.schema_id, concat('relation:', a.label, '|', type, '|', b.label), 'relation' FROM @relations JOIN n a ON a.node_id = source JOIN n b ON b.node_id = target AND b.schema_id = a.schema_id""")
+def schema_unit_rows(spark, d):
+    """Units of each region's schema, nodes first."""
+    nodes = role(spark, d, "nodes")
+    end = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"), F.col("schema_id").alias(f"{c}_schema"))
+    rel = role(spark, d, "relations").join(end("source"), "source").join(end("target"), "target").where("source_schema = target_schema")
+    r = rel.groupBy(F.col("source_schema").alias("schema_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("source_label").alias("source"), "type", F.col("target_label").alias("target")))).alias("r"))
+    n = nodes.groupBy("schema_id").agg(F.array_sort(F.collect_list(F.struct("label", "node_id"))).alias("n"))
+    none = F.array().cast("array<struct<source:string,type:string,target:string>>")
+    return n.join(r, "schema_id", "left").select("schema_id", F.explode(units.schema_units(F.col("n"), F.coalesce("r", none))).alias("u")).select("schema_id", "u.*")
+
+
+@query("""
+WITH n AS (SELECT label, row_number() OVER (ORDER BY pos) - 1 AS i FROM @selection)
+SELECT i // 8 AS batch FROM n GROUP BY i // 8 HAVING count(*) = 8 AND max(label) = 0""")
+def droppable_batches(spark, d):
+    """Full batches of 8 selector rows without a positive one."""
+    rows = sampling.number(role(spark, d, "selection").select("pos", "label"), ["pos"])
+    return sampling.droppable(rows.withColumn("paired", F.col("label") == 1), "i", "paired", 8)

@@ -33,7 +33,7 @@ ROLES = {
     "nodes": "SELECT n_nationkey AS node_id, n_name AS label, n_regionkey AS schema_id FROM {nation}",
     "relations": """
         SELECT DISTINCT c_nationkey AS source, c_mktsegment AS type, s_nationkey AS target
-        FROM {customer} JOIN {supplier} ON c_custkey % 10 = s_suppkey % 10""",
+        FROM (SELECT DISTINCT c_nationkey, c_mktsegment, c_custkey % 10 AS k FROM {customer}) c JOIN (SELECT DISTINCT s_nationkey, s_suppkey % 10 AS k FROM {supplier}) s ON c.k = s.k""",
     # texts whose lengths are to be profiled
     "prompts": "SELECT doc_id AS pos, lang AS split, source AS task, n_chars AS n_tokens, text FROM {documents}",
     "turns": "SELECT conv_id, turn, role, text FROM {conversations}",

@@ -25,12 +25,6 @@ def read_scores(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return df.withColumn("graph", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).where(F.col("_metadata.file_size") > 0)
 
 
-def split_files(root: str, split: str) -> list[str]:
-    """Names a split may have, in order of preference."""
-    names = {"val": ["val", "dev"], "dev": ["dev", "val"], "validation": ["validation", "val", "dev"]}.get(split, [split])
-    return [f"{root.rstrip('/')}/{n}.{e}" for n in names for e in ("jsonl", "json")]
-
-
 def unique_index(df: DataFrame, key: str) -> DataFrame:
     """df, which fails at run time if a key is missing or stands twice."""
     n = df.groupBy(key).agg(F.count("*").alias("n_")).where((F.col("n_") > 1) | F.col(key).isNull())

@@ -52,7 +52,8 @@ def test_blocks_keep_pairs_together_and_even_out_ranks(spark):
     with pytest.raises(ValueError, match="too few"):
         sampling.dropped_batches(18, 4, 0, 3, 1)
     assert sampling.dropped_batches(18, 4, 1, 3, 5) == {5, 6}
-    assert sampling.droppable_batches(4, 3, 10, 100) == (3, 5) and sampling.droppable_batches(4, 1, 30, 40) == (1, 9)
+    layout = spark.range(43).select("id", F.col("id").isin(3, 9, 41).alias("pair"))
+    assert sorted(r.batch for r in sampling.droppable(layout, "id", "pair", 4).collect()) == [1, 3, 4, 5, 6, 7, 8, 9]
 
 
 def test_overlap_scores_of_long_texts(spark):
@@ -95,19 +96,14 @@ def test_misses_never_empty_a_question(spark):
     assert got[1] == {"r1", "a"} and 2 not in got and 4 not in got and len(got[3]) == 1
 
 
-def test_run_plans_and_arguments():
-    groups = control.plan_runs([1, 2], ["sft"], ["a", "b", "c"])
-    dealt = control.deal_runs(groups, 4)
-    assert len(dealt) == 4 and sorted(x for w in dealt for s, m, runs in w for x in runs) == sorted("abcabc")
-    assert control.deal_runs(groups, 1) == [groups] and len(control.deal_runs(groups, 99)) == 6 and control.deal_runs([], 3) == []
+def test_arguments_and_reports():
     assert control.parse_thresholds("0.2:0.4:0.1") == [0.2, 0.3, 0.4] and control.parse_thresholds("0.5, 0.9") == [0.5, 0.9]
-    assert control.parse_weights("2:0.5,1:0.25") == [0.25, 0.5]
-    for bad in (lambda: control.parse_thresholds("3:1:1"), lambda: control.parse_weights("1:1,3:1"), lambda: control.parse_weights("1"), lambda: control.choices("a,a", "ab", "x"), lambda: control.choices("z", "ab", "x"), lambda: control.choices("", "ab", "x"), lambda: control.hub_path("x/y"), lambda: control.stop_ids([], None), lambda: control.deal_runs(groups, 0)):
+    for bad in (lambda: control.parse_thresholds("3:1:1"), lambda: control.hub_path("x/y"), lambda: control.stop_ids([], None)):
         with pytest.raises(ValueError):
             bad()
-    assert control.choices("all", ["a", "b"], "x") == ["a", "b"] and control.hub_path("hf://o/n/f/g.json") == ("o/n", "f/g.json")
+    assert control.hub_path("hf://o/n/f/g.json") == ("o/n", "f/g.json")
     assert control.merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "b": None}) == {"a": {"x": 1, "y": 3}, "b": None}
-    assert control.stop_ids([3, 1], None, 3) == [3, 1] and [control.fresh_share(0.5, p, s) for p, s in ((0.2, "constant"), (2, "increasing"), (0.2, "decreasing"))] == [0.25, 0.5, 0.4]
+    assert control.stop_ids([3, 1], None, 3) == [3, 1]
     row = {"threshold": 0.5, "precision": 50.0, "recall": 100.0, "f1": 66.6, "extra_per_question": 0.25, "missing_pct": 0.0, "exact_pct": 12.5}
     lines = control.report([row, row | {"threshold": "greedy"}]).splitlines()
     assert lines[1].split() == ["0.50", "50.0", "100.0", "66.6", "0.25", "0.0", "12.5"] and lines[2].startswith("   greedy") and len({*map(len, lines)}) == 1
