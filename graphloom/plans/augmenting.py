@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, question_words
-from ..operators import covering, distractors, routing, sampling, units
+from ..operators import conversations, covering, distractors, routing, sampling, tasks, units
 from ..sources import staging, versions
 from ..streaming import corpus, replay
 from .catalog import query
@@ -227,3 +227,66 @@ def droppable_batches(spark, d):
     """Full batches of 8 selector rows without a positive one."""
     rows = sampling.number(role(spark, d, "selection").select("pos", "label"), ["pos"])
     return sampling.droppable(rows.withColumn("paired", F.col("label") == 1), "i", "paired", 8)
+
+
+_TOKENS = r"""'(?:\\.|[^''\\])*'|"(?:\\.|[^"\\])*"|`(?:``|[^`])*`|<=|>=|<>|!=|=~|[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+(?:\.\p{Nd}+)?|[^\s]""".replace("'(?:", "''(?:").replace(")*'|", ")*''|")
+
+
+def _overlap(n: int) -> str:
+    grams = lambda c: f"CASE WHEN len({c}) >= {n} THEN list_transform(range(len({c}) - {n - 1}), lambda i: array_to_string({c}[i + 1 : i + {n}], ' ')) ELSE [] END"
+    f1 = lambda o, a, b: f"CASE WHEN {a} = 0 AND {b} = 0 THEN 1 WHEN {o} = 0 THEN 0 ELSE 2 * ({o} / {a}) * ({o} / {b}) / ({o} / {a} + {o} / {b}) END"
+    return f"""g{n} AS (SELECT item_id, {grams('p')} AS a, {grams('r')} AS b FROM w),
+s{n} AS (SELECT item_id, {f1('o', 'na', 'nb')} AS score FROM (SELECT item_id, len(a) AS na, len(b) AS nb, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS o FROM g{n}))"""
+
+
+@query(f"""
+WITH t AS (SELECT item_id, regexp_extract_all(predicted, '{_TOKENS}') AS p, regexp_extract_all(reference, '{_TOKENS}') AS r FROM @pairs),
+w AS (SELECT item_id, p = r AS exact, list_transform(p, lambda x: lower(x)) AS p, list_transform(r, lambda x: lower(x)) AS r FROM t),
+{_overlap(1)}, {_overlap(2)},
+l AS (SELECT item_id, len(p) AS np, len(r) AS nr, list_reduce(list_transform(p, lambda x: {{'w': x, 'r': list_transform(range(len(r) + 1), lambda z: 0)}}),
+  lambda prev, cur: {{'w': cur.w, 'r': list_reduce(list_transform(range(1, len(r) + 1), lambda j: [CAST(j AS INTEGER)]), lambda acc, j: acc || [CASE WHEN r[j[1]] = cur.w THEN prev.r[j[1]] + 1 ELSE greatest(prev.r[j[1] + 1], acc[-1]) END], [0])}},
+  {{'w': '', 'r': list_transform(range(len(r) + 1), lambda z: 0)}}).r[-1] AS o FROM w),
+sl AS (SELECT item_id, CASE WHEN np = 0 AND nr = 0 THEN 1 WHEN o = 0 THEN 0 ELSE 2 * (o / np) * (o / nr) / (o / np + o / nr) END AS score FROM l),
+y AS (SELECT count(*) AS n, 100.0 * count(*) FILTER ((quality = 1) = (toxic = 0)) / count(*) AS a FROM @gold)
+SELECT any_value(y.n) AS selector_count, count(*) AS generator_count, round(any_value(y.a), 4) AS selector_accuracy, round(100 * avg(CAST(exact AS INTEGER)), 4) AS generator_exact_match,
+  round(100 * avg(s1.score), 4) AS generator_rouge1, round(100 * avg(s2.score), 4) AS generator_rouge2, round(100 * avg(sl.score), 4) AS "generator_rougeL"
+FROM w JOIN s1 USING (item_id) JOIN s2 USING (item_id) JOIN sl USING (item_id), y""")
+def task_metrics(spark, d):
+    """Benchmark items as answers in JSON against the even item before, and quality labels as a selector says them."""
+    answer = lambda c: F.to_json(F.struct(F.col(c).alias("cypher")))
+    generator = role(spark, d, "pairs").select(F.concat(F.lit("g"), "item_id").alias("id"), answer("predicted").alias("prediction"), answer("reference").alias("reference"))
+    said = lambda c: F.to_json(F.struct(F.when(c, "YES").otherwise("NO").alias("label")))
+    selector = role(spark, d, "gold").select(F.concat(F.lit("s"), "doc_id").alias("id"), said(F.col("toxic") == 0).alias("prediction"), F.when(F.col("quality") == 1, "YES").otherwise("NO").alias("reference"))
+    return tasks.task_metrics(generator.unionByName(selector), "id")
+
+
+def _chats(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.gather(role(spark, d, "turns").where("role in ('system', 'user', 'assistant')").withColumn("text", F.coalesce("text", F.lit("")))).where("size(messages) >= 2")
+
+
+@query()
+def prompt_token_lengths(spark, d):
+    """Tokens of every conversation's prompt and of the whole, by a tokenizer."""
+    import public_tokenizers
+
+    return tasks.token_lengths(_chats(spark, d), "conv_id", "qwen", public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def longest_token_lengths(spark, d):
+    """The most tokens of a prompt, a conversation and a response."""
+    return tasks.longest(prompt_token_lengths(spark, d))
+
+
+@query("""
+SELECT user_id, event_id, 'f_' || event_type AS name, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_arguments, 'tool' AS answered_by FROM events""")
+def tool_conversations(spark, d):
+    """Events as calls of tools: the properties are the arguments, the value is what the tool gives back."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    none = F.lit(None).cast("array<struct<name:string,arguments:string>>")
+    message = lambda role, content, calls: F.struct(F.lit(role).alias("role"), content.cast("string").alias("content"), calls.alias("tool_calls"))
+    call = F.array(F.struct(F.concat(F.lit("f_"), "event_type").alias("name"), F.col("props").alias("arguments")))
+    chat = F.array(message("user", F.col("event_type"), none), message("assistant", F.lit(None), call), message("observation", F.col("value"), none))
+    m = e.select("user_id", "event_id", tasks.tool_messages(chat).alias("m"))
+    made = m.select("user_id", "event_id", F.col("m")[1]["tool_calls"][0].alias("c"), F.col("m")[2]["role"].alias("answered_by"))
+    return made.select("user_id", "event_id", F.col("c")["name"].alias("name"), F.col("c")["arguments"]["k"].alias("k"), F.size(F.col("c")["arguments"]).cast("long").alias("n_arguments"), "answered_by")

@@ -63,15 +63,6 @@ def running_maxima(spark, d):
     return role(spark, d, "prompts").groupBy("split", "task").agg(F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("tokens"))
 
 
-@query("""
-WITH t AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'selector' ELSE 'generator' END AS task, event_type = CASE WHEN id % 4 = 0 THEN 'view' ELSE event_type END AS same FROM (SELECT event_id AS id, event_type FROM @events_by_user))
-SELECT task, count(*) AS n, 100.0 * count(*) FILTER (same) / count(*) AS exact_match FROM t GROUP BY task""")
-def task_metrics(spark, d):
-    e = role(spark, d, "events_by_user").withColumn("task", F.when(F.col("event_id") % 3 == 0, "selector").otherwise("generator"))
-    same = F.col("event_type") == F.when(F.col("event_id") % 4 == 0, "view").otherwise(F.col("event_type"))
-    return e.groupBy("task").agg(F.count("*").alias("n"), (100.0 * F.count_if(same) / F.count("*")).alias("exact_match"))
-
-
 @query("SELECT unit_type, label, count(*) AS n, count(DISTINCT example_id) AS questions, count(DISTINCT unit_id) AS units FROM @selection GROUP BY unit_type, label")
 def distinct_counts(spark, d):
     return role(spark, d, "selection").groupBy("unit_type", "label").agg(F.count("*").alias("n"), F.countDistinct("example_id").alias("questions"), F.countDistinct("unit_id").alias("units"))
