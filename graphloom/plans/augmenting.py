@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, question_words
-from ..operators import conversations, covering, distractors, routing, sampling, tasks, units
-from ..sources import staging, versions
-from ..streaming import corpus, replay
+from ..operators import conversations, coverage, covering, distractors, routing, sampling, tasks, units
+from ..sources import digests, staging, versions
+from ..streaming import corpus, generation, replay
 from .catalog import query
 from .roles import role
 
@@ -290,3 +290,26 @@ def tool_conversations(spark, d):
     m = e.select("user_id", "event_id", tasks.tool_messages(chat).alias("m"))
     made = m.select("user_id", "event_id", F.col("m")[1]["tool_calls"][0].alias("c"), F.col("m")[2]["role"].alias("answered_by"))
     return made.select("user_id", "event_id", F.col("c")["name"].alias("name"), F.col("c")["arguments"]["k"].alias("k"), F.size(F.col("c")["arguments"]).cast("long").alias("n_arguments"), "answered_by")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT schema_id, unit_id FROM @selection), r AS (SELECT DISTINCT schema_id, unit_id FROM @selection WHERE p_yes >= 0.9 AND predicted = 'YES')
+SELECT schema_id, count(*) AS n_left, count(r.unit_id) AS n_right, count(*) - count(r.unit_id) AS missing, 0 AS extra, count(*) = count(r.unit_id) AS equal FROM l LEFT JOIN r USING (schema_id, unit_id) GROUP BY schema_id""")
+def schema_coverage(spark, d):
+    """Which of each schema's units the surest predictions cover."""
+    rows = role(spark, d, "selection")
+    return coverage.compare(rows, rows.where("p_yes >= 0.9 and predicted = 'YES'"), "schema_id", "unit_id")
+
+
+@query("SELECT item_id, upper(text) AS answer FROM benchmark")
+def generated_answers(spark, d):
+    """Answers of a stand-in model to all benchmark items, in batches by a budget of signs."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text", F.length("text").alias("n"))
+    return generation.generate(items, lambda: lambda texts: [t.upper() for t in texts], "upper", 4000, "item_id", "text", "n")
+
+
+@query()
+def file_digests(spark, d):
+    """Sampled and full digests of the tables' files."""
+    files = digests.listed(spark, d)
+    return digests.sampled(files).select("path", "size", F.col("digest").alias("sampled")).join(digests.full(files).select("path", F.col("digest").alias("whole"), "fetched"), "path")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import digests
+
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of a .jsonl file (one object in each line) or a .json file (an array of objects); anything else fails."""
@@ -34,6 +36,4 @@ def unique_index(df: DataFrame, key: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, paths: list[str], settings: str) -> str:
     """A digest of files' names, sizes and bytes, and of settings."""
-    files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
-    text = files.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "name", "length", "digest"))), "\n").alias("t"))
-    return text.select(F.sha2(F.concat("t", F.lit("\n" + settings)), 256)).first()[0]
+    return digests.fingerprint(digests.full(digests.listed(spark, paths)), settings)
