@@ -1,11 +1,11 @@
 """License scan: exact containment join of text blocks against license templates, on DataFrame functions only.
 
 A block is a line, or a run of as many consecutive words as the template has, over any line breaks and
-comment marks, so that wrapped notices are met. A template's distinct words are ordered by how many
+comment marks, so that wrapped notices are met, each time that they stand in a text. A template's distinct words are ordered by how many
 documents hold them, rarest first, over the whole input. A block that holds at least ``threshold`` of them must hold one of the
 first |T| - need + 1 (prefix filter), have at least ``need`` distinct words (length filter), and meet
 its first template word early enough for ``need`` to remain (positional filter); only then is the
-overlap counted. Runs are looked at only in texts that hold ``need`` of the words at all. The templates
+overlap counted, for lines and for runs. The templates
 are a parameter of bounded size, so their words are literals in the plan: texts are scanned where they lie and never shuffled.
 """
 
@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 #: Lower-cased words: ASCII digits and letters, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-KIND = "array<struct<block:int,label:string,containment:double>>"
+KIND = "array<struct<block:int,label:string,containment:double,first:int,end:int>>"
+
+#: Lines whose words are summed at once.
+CHUNK = 256
 
 # Phrases with their labels, and license notices with theirs.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -90,32 +93,51 @@ def _containment(block: Column, plan: Plan) -> Column:
     return F.when(share * n >= plan.need, share)
 
 
-def _runs(w: Column, held: Column, lines: Column, plan: Plan) -> Column:
-    """The best run of words for a template as an array of one (block, label, containment), empty below the threshold.
+def _runs(held: Column, plan: Plan) -> Column:
+    """Runs of as many words as the template has that meet the threshold, as an array of (block, label, containment, first, end), empty where there are none.
 
-    held: the words of any template that stand in w. A run's block is the line that it starts on; of
-    equally good runs the first counts. A best run starts with a word of the template.
+    Looked at in columns words, sizes and heads (see scan()); held: the words of any template that stand in the text. A run starts with a word of
+    the template. Of runs that overlap the best stays, of equally good ones the first; what overlaps it goes, and so on with the rest. A run's block
+    is the line that it starts on. Texts that hold too few of the template's words or none of its prefix are not looked at, and each run
+    passes the filters of a block.
     """
-    literal, n = F.array(*map(F.lit, plan.tokens)), len(plan.tokens)
-    none = F.array().cast(KIND)
-    starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(literal, F.get(w, i)))
-    sized = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(literal, F.slice(w, i + 1, plan.length))).alias("n"), (-i).alias("at")))
+    literal, none = F.array(*map(F.lit, plan.tokens)), F.array().cast(KIND)
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(literal, F.get("words", i)))
+
+    def sized(i: Column) -> Column:
+        run = F.slice("words", i + 1, plan.length)
+        return F.struct((-_containment(F.array_distinct(run), plan)).alias("worse"), i.alias("first"), (i + F.size(run)).alias("end"))
+
+    fit = F.array_sort(F.filter(F.transform(at, sized), lambda x: x.worse.isNotNull()))
+    apart = lambda taken, x: ~F.exists(taken, lambda y: (y.first < x.end) & (x.first < y.end))
+    best = F.aggregate(fit, F.array().cast("array<struct<worse:double,first:int,end:int>>"), lambda taken, x: F.when(apart(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    hits = F.transform(best, lambda x: F.struct(_line_of(x.first).alias("block"), F.lit(plan.label).alias("label"), (-x.worse).alias("containment"), x.first.alias("first"), x.end.alias("end")))
+    may = (F.size(F.array_intersect(literal, held)) >= plan.need) & F.arrays_overlap(held, F.array(*map(F.lit, plan.prefix)))
+    return F.when(may, hits.cast(KIND)).otherwise(none)
 
-    def line(at: Column) -> Column:
-        """How many lines end before a place."""
-        zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
-        def add(acc: Column, x: Column) -> Column:
-            end = acc.end + F.size(words(x))
-            return F.struct(end.alias("end"), (acc.n + (end <= at).cast("int")).alias("n"))
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
 
-        return F.aggregate(lines, zero, add, lambda acc: acc.n)
 
-    def hit(best: Column) -> Column:
-        return F.struct(line(-best.at).alias("block"), F.lit(plan.label).alias("label"), (best.n / F.lit(float(n))).alias("containment"))
+def _sums(sizes: Column) -> Column:
+    """Running sums of an array of numbers."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, lambda acc, x: F.struct((acc.n + x).alias("n"), F.concat(acc.out, F.array(acc.n + x)).alias("out")), lambda acc: acc.out)
 
-    best = F.transform(F.filter(F.array(F.array_max(sized)), lambda x: x.n >= plan.need), hit).cast(KIND)
-    return F.when(F.size(F.array_intersect(literal, held)) >= plan.need, best).otherwise(none)
+
+def _words_before(line: Column) -> Column:
+    """How many words stand before a line. Column sizes has the words of each line, heads their sums up to every CHUNK lines: a text of very many lines is not summed anew for each."""
+    chunk = F.floor(line / CHUNK).cast("int")
+    return F.coalesce(F.when(chunk > 0, F.get("heads", chunk - 1)), F.lit(0)) + _total(F.slice("sizes", chunk * CHUNK + 1, line % CHUNK))
+
+
+def _line_of(word: Column) -> Column:
+    """The line that a word stands on."""
+    chunk = F.size(F.filter("heads", lambda h: h <= word))
+    start = F.struct(F.coalesce(F.when(chunk > 0, F.get("heads", chunk - 1)), F.lit(0)).alias("end"), F.lit(0).alias("n"))
+    inside = F.aggregate(F.slice("sizes", chunk * CHUNK + 1, F.lit(CHUNK)), start, lambda acc, x: F.struct((acc.end + x).alias("end"), (acc.n + (acc.end + x <= word).cast("int")).alias("n")), lambda acc: acc.n)
+    return chunk * CHUNK + inside
 
 
 def _stands(w: Column, parts: list[str]):
@@ -127,51 +149,56 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
     """docs with n_words, n_base, first_word, last_word, base_labels, blocks, labels and score.
 
     base: every place where a phrase's words stand consecutively. blocks: array of (block, label,
-    containment) for every line (numbered from 0) and template that meet the threshold, and for each
-    template its best run of words where that beats all lines. score: 1 with
+    containment, first, end) for every line (numbered from 0) and template that meet the threshold, and for every run of words that
+    does (see _runs()), but for runs that overlap a line that is as good; first to end - 1 are its words in the text. score: 1 with
     a base place, else the best containment found, else 0. Null and empty texts: no words, empty
     labels, null first and last word, score 0. Rows are kept as they are, repeats included; columns
-    of these names in docs are replaced.
+    of these names in docs are replaced, all others stay whatever their names.
     """
+    made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "blocks", "labels", "score")
     plans = plan_templates(docs, templates, threshold, text_col)
-    seen = "__words"
-    df = docs.withColumn(seen, words(F.col(text_col)))
-    w, n = F.col(seen), F.size(seen)
+    # docs' columns travel as one, so that none can bear the name of a column made here.
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
+    w, n = F.col("words"), F.size("words")
     starts = []
     for phrase in phrases:
         parts = phrase.split()
         starts.append(F.when(F.array_contains(w, parts[-1]) & (n >= len(parts)), F.filter(F.sequence(F.lit(0), n - len(parts)), _stands(w, parts))).otherwise(F.array().cast("array<int>")))
-    df = df.withColumn("__starts", F.array(*starts) if starts else F.array().cast("array<array<int>>"))
-    rare = sorted({t for p in plans for t in p.prefix})
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kind = KIND
-
-    def hits(line: Column, i: Column) -> Column:
-        block = F.array_distinct(words(line))
-        found = F.array(*[F.struct(i.alias("block"), F.lit(p.label).alias("label"), _containment(block, p).alias("containment")) for p in plans])
-        return F.when(F.arrays_overlap(block, F.array(*map(F.lit, rare))), F.filter(found, lambda x: x.containment.isNotNull())).otherwise(F.array().cast(kind))
-
-    blocks = F.when(F.arrays_overlap(w, F.array(*map(F.lit, rare))), F.flatten(F.transform(lines, hits))).otherwise(F.array().cast(kind)) if rare else F.array().cast(kind)
-    df = df.withColumn("__lines", blocks.cast(kind))
-    vocabulary = sorted({t for p in plans for t in p.tokens})
-    if vocabulary:
-        df = df.withColumn("__held", F.array_intersect(F.array(*map(F.lit, vocabulary)), w))
-        runs = F.concat(*[_runs(w, F.col("__held"), lines, p) for p in plans])
-        runs = F.when(F.arrays_overlap("__held", F.array(*map(F.lit, rare))), runs).otherwise(F.array().cast(kind))
-        better = F.filter(runs, lambda x: ~F.exists("__lines", lambda y: (y.label == x.label) & (y.containment >= x.containment)))
-        df = df.withColumn("blocks", F.concat("__lines", better)).drop("__held", "__lines")
+    df = df.withColumn("starts", F.array(*starts) if starts else F.array().cast("array<array<int>>"))
+    none = F.array().cast(KIND)
+    vocabulary, rare = (sorted({t for p in plans for t in getattr(p, of)}) for of in ("tokens", "prefix"))
+    if rare:
+        held = F.array_intersect(F.array(*map(F.lit, vocabulary)), w)
+        df = df.withColumn("held", held).withColumn("may", F.arrays_overlap("held", F.array(*map(F.lit, rare))))
+        lines = F.transform(F.split("text", "\n", -1), words)
+        df = df.withColumn("lines", F.when(F.col("may"), lines).otherwise(F.array().cast("array<array<string>>")))
+        df = df.withColumn("sizes", F.transform("lines", F.size))
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("sizes") - 1, F.lit(0)), F.lit(CHUNK)), lambda at: _total(F.slice("sizes", at + 1, F.lit(CHUNK))))
+        df = df.withColumn("heads", _sums(chunks))
+
+        def hits(line: Column, i: Column) -> Column:
+            block, first = F.array_distinct(line), _words_before(i)
+            found = F.array(*[F.struct(F.lit(p.label).alias("label"), _containment(block, p).alias("containment")) for p in plans])
+            met = F.transform(F.filter(found, lambda x: x.containment.isNotNull()), lambda x: F.struct(i.alias("block"), x.label.alias("label"), x.containment.alias("containment"), first.alias("first"), (first + F.size(line)).alias("end")))
+            return F.when(F.arrays_overlap(block, F.array(*map(F.lit, rare))), met.cast(KIND)).otherwise(none)
+
+        df = df.withColumn("by_line", F.when(F.col("may"), F.flatten(F.transform("lines", hits)).cast(KIND)).otherwise(none))
+        df = df.withColumn("by_run", F.when(F.col("may"), F.concat(*[_runs(F.col("held"), p) for p in plans])).otherwise(none))
+        better = F.filter("by_run", lambda x: ~F.exists("by_line", lambda y: (y.label == x.label) & (y.containment >= x.containment) & (y.first < x.end) & (x.first < y.end)))
+        df = df.withColumn("blocks", F.concat("by_line", better))
     else:
-        df = df.withColumn("blocks", F.col("__lines")).drop("__lines")
-    every = F.flatten("__starts")
-    base = F.array_compact(F.array(*[F.when(F.size(F.get("__starts", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(phrases.values())])) if phrases else F.array().cast("array<string>")
+        df = df.withColumn("blocks", none)
+    every = F.flatten("starts")
+    base = F.array_compact(F.array(*[F.when(F.size(F.get("starts", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(phrases.values())])) if phrases else F.array().cast("array<string>")
     found = F.transform("blocks", lambda x: x.label)
-    return (
-        df.withColumn("n_words", n.cast("long"))
-        .withColumn("n_base", F.size(every).cast("long"))
-        .withColumn("first_word", F.array_min(every).cast("long"))
-        .withColumn("last_word", F.array_max(every).cast("long"))
-        .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct(base)), ","))
-        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ","))
-        .withColumn("score", F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x.containment)), F.lit(0.0))))
-        .drop(seen, "__starts")
+    return df.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made],
+        n.cast("long").alias("n_words"),
+        F.size(every).cast("long").alias("n_base"),
+        F.array_min(every).cast("long").alias("first_word"),
+        F.array_max(every).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        "blocks",
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"),
+        F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x.containment)), F.lit(0.0))).alias("score"),
     )
