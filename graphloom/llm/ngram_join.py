@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch, wordhash
 from .components import connected
@@ -487,14 +488,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
 
 
 def with_signatures(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
-    """docs with __n, __sig and __sig2: size and signature of each row's set."""
-    names = docs.columns
-    kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __n long, __sig long, __sig2 long"
+    """(row, n, sig, sig2): docs' columns as a struct, and size and signature of each row's set."""
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = T.StructType([base.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n", "sig", "sig2")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in wordhash.portions(batch, len(names)):
-                h, size = sets_of(b.column(len(names)), k)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _signed(size), *map(_signed, _signatures(h, size))], names=[*names, "__n", "__sig", "__sig2"])
+            for b in wordhash.portions(batch, 1):
+                h, size = sets_of(b.column(1), k)
+                yield pa.RecordBatch.from_arrays([b.column(0), _signed(size), *map(_signed, _signatures(h, size))], names=["row", "n", "sig", "sig2"])
 
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, kind)
+    return base.mapInArrow(run, kind)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch, wordhash
 
@@ -295,8 +296,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_rows: i
     share = min(1.0, max_rows / total) if total else 1.0
     # At most about max_rows ids and labels: a bound that does not depend on the input.
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    chosen = usable.where(draw < share).select(F.col(id_col).alias("__id"), (F.col("toxic") > 0).cast("int").alias("__toxic"))
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).cast("string").alias("text"), F.col("__id").alias("id"), F.col("__toxic").alias("toxic"))
+    chosen = usable.where(draw < share).select(F.col(id_col).alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+    sample = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).join(F.broadcast(chosen), "id").select("text", "id", "toxic")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(counts)
@@ -381,13 +382,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     without words. Rows stay one for one, repeats included; columns named score or predicted are replaced.
     """
     names = [c for c in (docs.columns if keep else [id_col]) if c not in ("score", "predicted")]
-    base = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
-    kind = ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c != "__text") + ", score double, predicted int"
+    # The columns that stay travel as one, so that none can bear the name of another.
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = T.StructType([base.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model.counts, (w for w in model.places if not w.startswith("^")))
-        for b in (p for batch in batches for p in wordhash.portions(batch, len(names))):
-            p = [model.score(r.words(t.as_py())) for t in b.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=[*names, "score", "predicted"])
+        for b in (p for batch in batches for p in wordhash.portions(batch, 1)):
+            p = [model.score(r.words(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=["row", "score", "predicted"])
 
-    return base.mapInArrow(run, kind)
+    return base.mapInArrow(run, kind).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "score", "predicted")

@@ -55,3 +55,21 @@ def test_every_stage_takes_an_empty_table_nulls_and_repeats(spark):
     assert total > 50_000 and total == sum(r.length for r in packed)
     # At most one short sequence for each partition.
     assert -(-total // 1024) <= len({r.sequence_id for r in packed}) <= -(-total // 1024) + 4
+
+
+def test_extra_columns_of_any_name_stay_as_they_are(spark):
+    """Names that the stages use themselves; of repeated ids, too."""
+    extra = ["__text", "__n", "__sig", "__id", "__words", "text_", "row", "id", "n", "sig", "sig2", "score", "predicted", "toxic", "n_words", "n_removed", "spans", "others", "stands", "stays", "times", "n_shingles", "component_id", "start", "ids"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, t, "en", "s", 1, *(f"{c}-{k}" for c in extra)) for k, (i, t) in enumerate([(1, long), (1, "other words here"), (2, long + " x"), (3, None), (4, "a b c d e f g"), (4, "a b c d e f g"), (None, "y")])]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        found = got.collect()
+        assert found, name
+        for r in found:
+            assert tuple(r)[5:] in {x[5:] for x in rows}, name
+            assert next(x for x in rows if x[5:] == tuple(r)[5:])[0] == r.doc_id, name
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0

@@ -393,3 +393,12 @@ def test_remembered_strings_are_worked_out_again_when_forgotten(vocab, monkeypat
     for t in texts * 2:
         assert sentencepiece.encode(t, v) == brute_viterbi(v.marked(t), v)
         assert len(v.words) <= 3 and len(v.words.before) <= 3
+
+
+def test_toxicity_takes_columns_of_any_name(spark):
+    kind = "doc_id long, text string, `__text` string, `__id` string, `__toxic` int, text2 string, row string, score string, toxic string"
+    docs = spark.createDataFrame([(i, t, "a", "b", 1, "c", "d", "e", "f") for i, t in enumerate(["good words", "bad words", None, ""])], kind)
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(4)] + [(1, 1, "x")] * 3, "doc_id long, toxic int, `__id` string")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), keep=True)
+    assert got.columns == [c for c in docs.columns if c != "score"] + ["score", "predicted"]
+    assert [(r["__text"], r["__id"], r["__toxic"], r.row, r.toxic) for r in got.collect()] == [("a", "b", 1, "d", "f")] * 4
