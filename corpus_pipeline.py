@@ -16,11 +16,19 @@ from graphloom.llm.queries import table, tokenizer_path
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(text, row): the text, and all other columns as one, so that none can bear the name of a column that a stage makes."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _column(name: str):
+    return F.col("text") if name == "text" else F.col(f"row.`{name}`").alias(name)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5, unchanged, repeated rows included. Null and empty texts score as texts without words; an empty table gives none."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return toxicity.score(docs, model, keep=True).where("predicted = 0").select(*columns)
+    return toxicity.score(_packed(docs), model, keep=True).where("predicted = 0").select(*map(_column, docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +37,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by id and set: of rows that share an id but not their words each is its own case, and of
     repeated rows one stays. An empty table gives none.
     """
-    key = ["doc_id", "__sig", "__sig2"]
     classes = scratch.keep(ngram_join.jaccard_components(docs, with_sets=True), "classes")
     stays = F.col("stands") | (F.col("n_shingles") == 0)
     ids = scratch.keep(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.max(stays).alias("stays")), "ids")
-    kept = docs.join(ids.where("stays and times = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(ids.where("stays and times = 1").select("doc_id"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     several = ids.where("stays and times > 1").select("doc_id")
     if several.limit(1).count():
         # An id alone does not tell its rows apart; their sets do.
-        rows = ngram_join.with_signatures(docs.join(several, "doc_id", "left_semi"))
-        standing = classes.where("stands").select("doc_id", F.col("sig").alias("__sig"), F.col("sig2").alias("__sig2")).distinct()
-        one = rows.where("__n > 0").join(standing, key, "left_semi").dropDuplicates(key)
-        kept = kept.union(one.select(*docs.columns)).union(rows.where("__n = 0").select(*docs.columns))
+        rows = ngram_join.with_signatures(docs.join(several, "doc_id", "left_semi")).withColumn("id", F.col("row.doc_id"))
+        standing = classes.where("stands").select(F.col("doc_id").alias("id"), "sig", "sig2").distinct()
+        one = rows.where("n > 0").join(standing, ["id", "sig", "sig2"], "left_semi").dropDuplicates(["id", "sig", "sig2"])
+        columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+        kept = kept.union(one.select(*columns)).union(rows.where("n = 0").select(*columns))
     return kept.union(docs.where("doc_id is null"))
 
 
@@ -50,9 +58,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows stay one for one, null and empty texts as they are; repeated rows of 35 words and more repeat each other
     and lose all. An empty table gives none.
     """
-    cut = substring.drop_repeats(docs, keep=True)
-    changed = F.col("n_removed") > 0
-    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = substring.drop_repeats(_packed(docs), id_col="row.doc_id", keep=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return cut.select(*[n_chars if c == "n_chars" else _column(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
