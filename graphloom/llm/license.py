@@ -50,7 +50,7 @@ def lowered(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words in order. Cut at what is no word: regexp_extract_all() takes time with the length of the text for every word that it finds."""
+    """Words in order. Cut at what is no word: the class of that is plain, and on texts with accents many times as fast to match as the negated one of words."""
     return F.array_remove(F.split(lowered(text), GAP, -1), "")
 
 
