@@ -16,8 +16,10 @@ def extract_all(queries: DataFrame, schemas: DataFrame, key: str, schema_key: st
 
     schemas: schema_key, labels array<string>, relations array<struct<source, type, target>>. Schemas of up to
     ship_up_to characters in all travel with the function, so that none is sent with each of its
-    queries; beyond that, queries are joined to their schemas.
+    queries; beyond that, queries are joined to their schemas. A schema id that stands twice fails either way.
     """
+    if repeated := schemas.groupBy(schema_key).count().where("count > 1").limit(1).collect():
+        raise ValueError(f"schema {repeated[0][0]!r} stands {repeated[0][1]} times")
     size = schemas.agg(F.sum(F.length(F.to_json(F.struct("labels", "relations"))))).first()[0] or 0
     if size > ship_up_to:
         joined = queries.join(schemas, schema_key)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 def grouped_pairs(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str, sums: list[Column], place: str = "i") -> DataFrame:
     """(group, units, first, *sums, contiguous, agrees) of rows joined by their numbers from 0.
 
-    contiguous: the group's rows stand together; agrees: every row has its partner, with the same key.
+    contiguous: the group's rows stand together; agrees: every row has its partner, with the same key. Rows of the right that have
+    no partner make a group of their own, null, which does not agree.
     """
-    both = left.join(right.select(place, *[c for c in right.columns if c != place and c not in left.columns]), place, "left")
+    both = left.join(right.select(place, *[c for c in right.columns if c != place and c not in left.columns]), place, "full")
     same = F.bool_and(F.col(left_key).eqNullSafe(F.col(right_key)))
     per = both.groupBy(group).agg(F.count("*").alias("units"), F.min(place).alias("first"), F.max(place).alias("last"), *sums, same.alias("agrees"))
     return per.withColumn("contiguous", F.col("last") - F.col("first") + 1 == F.col("units")).drop("last")

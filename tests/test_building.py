@@ -177,3 +177,27 @@ def test_chained_contrast_pairs_stay_among_a_questions_units(spark):
     held = {(str(r.example_id), str(r.unit_id), r.label) for r in role(spark, d, "selection").collect()}
     assert len(got) == 200 and len({(r.graph, r.example_id) for r in got}) == 200
     assert all((r.example_id, r.positive, 1) in held and (r.example_id, r.negative, 0) in held for r in got)
+
+
+def test_surplus_rows_of_either_side_are_noticed(spark):
+    from graphloom.operators import selection
+
+    left = spark.createDataFrame([(0, "a", "x"), (1, "a", "y"), (2, "b", "z")], "i int, g string, k string")
+    for n, want in ((3, {"a": True, "b": True}), (2, {"a": True, "b": False}), (5, {"a": True, "b": True, None: False})):
+        right = spark.createDataFrame([(i, "xyzvw"[i]) for i in range(n)], "i int, o string")
+        assert {r.g: r.agrees for r in selection.grouped_pairs(left, right, "g", "k", "o", []).collect()} == want
+
+
+def test_null_schemas_and_repeated_schema_ids(spark):
+    from graphloom.functions.schemas import normalize_distinct
+    from graphloom.operators.extraction import extract_all
+
+    rows = spark.createDataFrame([(1, "text", "g", None), (2, "text", "g", ""), (3, "text", None, None), (4, "text", "g", None)], "id int, kind string, graph string, text string")
+    got = {r.id: (r.error, r.n_units) for r in normalize_distinct(rows, "kind", "graph", "text").collect()}
+    assert len(got) == 4 and got[1] == got[4] and all(n == 0 and error for error, n in got.values())
+    queries = spark.createDataFrame([(1, 7, "MATCH (a:A) RETURN a")], "id int, schema_id int, query string")
+    kind = "schema_id int, labels array<string>, relations array<struct<source:string,type:string,target:string>>"
+    for ship in (0, 1 << 20):
+        with pytest.raises(ValueError, match="stands 2 times"):
+            extract_all(queries, spark.createDataFrame([(7, ["A"], []), (7, ["B"], [])], kind), "id", ship_up_to=ship)
+        assert extract_all(queries, spark.createDataFrame([(7, ["A"], [])], kind), "id", ship_up_to=ship).count() == 1
