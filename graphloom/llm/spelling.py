@@ -8,7 +8,8 @@ first or second half as it is, so each key holds a half, too: that splits the gr
 loses no pair. What meets is verified by edit distance.
 
 Words are counted before the shuffle; everything after that grows with the vocabulary, not with the text. Only
-the order of bigrams is broadcast: there are at most 90 * 90, by the alphabet.
+the order of bigrams is broadcast: there are at most 90 * 90, by the alphabet. All other joins are told to merge: a kept table
+is small on disk, and once exploded it is many times what Spark takes it for, too much for a driver to send around.
 """
 
 from __future__ import annotations
@@ -76,8 +77,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = scratch.keep(rarest_bigrams(words), "grams")
     key = ["length", "gram", "at", "side", "half"]
     short, long = _keyed(grams, False), _keyed(grams, True)
-    replaced = short.join(short.withColumnRenamed("word", "near"), key).where("word < near")
-    inserted = short.join(long.withColumnRenamed("word", "near"), key)
+    replaced = short.join(short.withColumnRenamed("word", "near").hint("merge"), key).where("word < near")
+    inserted = short.join(long.withColumnRenamed("word", "near").hint("merge"), key)
     met = replaced.select("word", "near").union(inserted.select("word", "near"))
     one = scratch.keep(met.where(F.levenshtein("word", "near", 1) == 1).distinct(), "near")
     return one.union(one.select(F.col("near").alias("word"), F.col("word").alias("near")))
@@ -92,18 +93,18 @@ def group_variants(words: DataFrame, factor: int = 5) -> DataFrame:
     if factor < 2:
         raise ValueError("factor must be 2 or more")
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("m"))
-    best = near_pairs(words).join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("near").alias("near"))).alias("b"))
-    joined = words.join(best, "word", "left").withColumn("of", F.when(-F.col("b.m") >= factor * F.col("n"), F.col("b")))
+    best = near_pairs(words).join(counts.hint("merge"), "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("near").alias("near"))).alias("b"))
+    joined = words.join(best.hint("merge"), "word", "left").withColumn("of", F.when(-F.col("b.m") >= factor * F.col("n"), F.col("b")))
     formed = scratch.keep(joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("of.near").alias("form"), (-F.col("of.m")).alias("form_n")), "formed")
     # Each form is factor times as frequent, so a chain of counts has under 64 / log2(factor) links and doubling its reach settles soon.
     steps, reach = formed.where("form is not null").select("word", F.col("form").alias("root")), 1
     while reach < 64:
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        further = scratch.keep(steps.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        further = scratch.keep(steps.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         steps, reach = further.select("word", "root"), 2 * reach
         if not further.where("moved").limit(1).count():
             break
-    return formed.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(steps.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, shortest: int = 6, least: int = 5, factor: int = 5, slip: int | None = 199, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

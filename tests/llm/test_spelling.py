@@ -107,3 +107,19 @@ def test_empty_tables_and_bad_factor(spark):
     assert rows(spelling.spelling_variants(spark.createDataFrame([], DOCS))) == []
     with pytest.raises(ValueError):
         spelling.group_variants(spark.createDataFrame([], "word string, n long"), factor=1)
+
+
+def test_only_the_order_of_bigrams_is_broadcast(spark, monkeypatch):
+    """Kept tables look small to Spark, whatever they explode to: only the bigrams, at most 90 * 90, may pass through the driver."""
+    plans, keep = [], spelling.scratch.keep
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(spelling.scratch, "keep", seen)
+    words = spark.createDataFrame([("abcdef", 90), ("abcdeg", 9), ("abcdefg", 5)], "word string, n long")
+    out = spelling.group_variants(words)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.word: r.form for r in out.collect()} == {"abcdef": None, "abcdeg": "abcdef", "abcdefg": "abcdef"}
+    assert sum(p.count("BroadcastHashJoin") for p in plans) == 1 and sum(p.count("SortMergeJoin") for p in plans) >= 6
