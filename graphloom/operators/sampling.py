@@ -6,6 +6,8 @@ alone, and any engine repeats it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,6 +93,16 @@ def number(rows: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     return ranged.join(F.broadcast(starts), "range_").select(*rows.columns, (F.col("before_") + F.col("at_")).alias(name))
 
 
+def at_share(rows: DataFrame, column: str, share: float):
+    """The smallest value up to which at least that share of a column's values lie, nulls aside; None without values.
+
+    Values are sorted, not counted in one map, so their number does not matter.
+    """
+    placed = number(rows.select(column).where(F.col(column).isNotNull()), [column])
+    n = placed.count()
+    return placed.where(F.col("i") == max(0, math.ceil(n * share) - 1)).first()[0] if n else None
+
+
 def batches(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """Rows of each key numbered into batches of size."""
     rn = F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1

@@ -17,3 +17,14 @@ def test_only_distinct_schemas_are_read_as_text(spark, monkeypatch):
     monkeypatch.setattr(schemas, "normalize_distinct", lambda rows, *keys: (read.append(rows.count()), real(rows, *keys))[1])
     assert more.normalized_schemas(spark, "/root/testdata/sf0.001").count() > 1000
     assert len(read) == 1 and read[0] <= 5
+
+
+def test_a_share_of_values_is_found_by_sorting(spark):
+    from graphloom.operators import sampling
+
+    r = random.Random(5)
+    for values in ([], [None], [7], [1, 2, 3, 4], [r.randrange(40) for _ in range(333)] + [None] * 50):
+        held = sorted(v for v in values if v is not None)
+        for share in (0.0, 0.25, 0.5, 1.0):
+            want = next((v for i, v in enumerate(held, 1) if i >= share * len(held)), None)
+            assert sampling.at_share(spark.createDataFrame([(v,) for v in values], "x long").repartition(5), "x", share) == want
