@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.cypher import EXTRACTION, extract, extract_udf
+from ..functions.cypher import EXTRACTION, Graph, extract_from, extract_udf, extracted
+
+#: Queries read together.
+AT_ONCE = 2000
 
 
 def extract_all(queries: DataFrame, schemas: DataFrame, key: str, schema_key: str = "schema_id", query: str = "query", ship_up_to: int = 8 << 20) -> DataFrame:
@@ -25,17 +29,20 @@ def extract_all(queries: DataFrame, schemas: DataFrame, key: str, schema_key: st
         joined = queries.join(schemas, schema_key)
         return joined.select(key, extract_udf(query, "labels", "relations").alias("x")).select(key, "x.*")
     few = schemas.collect()
-    known = {r[schema_key]: (list(r.labels), [(x.source, x.type, x.target) for x in r.relations]) for r in few}
-    names = EXTRACTION.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, s, q in zip(b[key], b[schema_key], b[query]):
-                if s in known:
-                    x = extract(q or "", *known[s])
-                    rows.append((k, *(sorted(v) for v in (x.node_ids, x.relation_ids, x.unmapped_labels, x.unmapped_types, x.unmatched)), x.unresolved_nodes, x.ambiguous_relations, x.complete))
-            yield pd.DataFrame(rows, columns=[key, *names])
+    known = {r[schema_key]: Graph(r.labels, [(x.source, x.type, x.target) for x in r.relations]) for r in few if r[schema_key] is not None}
+    types = to_arrow_schema(EXTRACTION)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # Few rows at a time, as a query may use all of a schema; queries that stand there more than once are read once.
+            for b in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                asked = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+                place = {x: i for i, x in enumerate(dict.fromkeys(x for x in asked if x[0] in known))}
+                read = [extracted(extract_from(q or "", known[s])) for s, q in place]
+                rows = pa.array([i for i, x in enumerate(asked) if x in place], pa.int64())
+                values = pa.array([place[x] for x in asked if x in place], pa.int64())
+                columns = [pa.array([r[i] for r in read], f.type).take(values) for i, f in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *columns], names=[key, *types.names])
 
     kind = f"{key} {dict(queries.dtypes)[key]}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EXTRACTION)
-    return queries.select(key, schema_key, query).mapInPandas(run, kind)
+    return queries.select(key, schema_key, query).mapInArrow(run, kind)

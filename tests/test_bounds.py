@@ -28,3 +28,41 @@ def test_a_share_of_values_is_found_by_sorting(spark):
         for share in (0.0, 0.25, 0.5, 1.0):
             want = next((v for i, v in enumerate(held, 1) if i >= share * len(held)), None)
             assert sampling.at_share(spark.createDataFrame([(v,) for v in values], "x long").repartition(5), "x", share) == want
+
+
+def test_relations_are_looked_up_as_by_trying_all():
+    from graphloom.functions.cypher import Graph
+
+    r = random.Random(2)
+    relations = [(r.choice("abcd"), r.choice("xyz"), r.choice("abcd")) for _ in range(60)]
+    graph = Graph("abcd", relations)
+    some = lambda: set(r.sample("abcde", r.randrange(4)))
+    for _ in range(500):
+        type_, left, right, direction = r.choice(["x", "y", "w", None]), some(), some(), r.choice(["out", "in", "undirected"])
+        fits = lambda a, b: (not left or a in left) and (not right or b in right)
+        test = {"out": lambda s, t: fits(s, t), "in": lambda s, t: fits(t, s), "undirected": lambda s, t: fits(s, t) or fits(t, s)}[direction]
+        assert graph.candidates(type_, left, right, direction) == [x for x in relations if type_ in (None, x[1]) and test(x[0], x[2])]
+
+
+def test_many_queries_over_a_large_schema_do_not_try_all_relations(spark):
+    from graphloom.functions import cypher
+
+    labels = [f"L{i}" for i in range(300)]
+    graph = cypher.Graph(labels, [(a, "T", b) for a in labels[:299] for b in labels[:299]])
+    graph.relations = type("Counted", (list,), {"__iter__": lambda self: (_ for _ in ()).throw(AssertionError("all relations were read"))})(graph.relations)
+    got = cypher.extract_from("MATCH (a:L1)-[:T]->(b:L2) RETURN b", graph)
+    assert got.relation_ids == {"relation:L1|T|L2"} and got.complete
+
+
+def test_extraction_keeps_keys_and_repeated_queries(spark):
+    from graphloom.functions.cypher import extract
+    from graphloom.operators import extraction
+
+    schemas = spark.createDataFrame([("s", ["A", "B"], [("A", "R", "B")]), (None, ["A"], [])], "schema_id string, labels array<string>, relations array<struct<source:string,type:string,target:string>>")
+    texts = ["MATCH (a:A)-[:R]->(b) RETURN b", None, "MATCH (x:C) RETURN x"]
+    rows = [(i, ["s", "s", "s", None, "other"][i % 5], texts[i % 3]) for i in range(5000)]
+    got = extraction.extract_all(spark.createDataFrame(rows, "id long, schema_id string, query string").coalesce(1), schemas, "id").collect()
+    assert sorted(r.id for r in got) == [i for i, s, _ in rows if s == "s"]
+    for r in got[:9]:
+        want = extract(rows[r.id][2] or "", ["A", "B"], [("A", "R", "B")])
+        assert (r.node_ids, r.relation_ids, r.unmapped_labels, r.complete) == (sorted(want.node_ids), sorted(want.relation_ids), sorted(want.unmapped_labels), want.complete)
