@@ -66,3 +66,18 @@ def test_extraction_keeps_keys_and_repeated_queries(spark):
     for r in got[:9]:
         want = extract(rows[r.id][2] or "", ["A", "B"], [("A", "R", "B")])
         assert (r.node_ids, r.relation_ids, r.unmapped_labels, r.complete) == (sorted(want.node_ids), sorted(want.relation_ids), sorted(want.unmapped_labels), want.complete)
+
+
+def test_patterns_are_matched_where_they_lie(spark):
+    from graphloom.operators import units
+
+    r = random.Random(4)
+    relations = sorted({(r.randrange(5), r.choice("xy"), r.randrange(5)) for _ in range(25)})
+    sides = lambda: r.sample(range(6), r.randrange(3))
+    patterns = [(i, r.choice(["x", "y", None, None]), sides(), sides(), r.choice(["out", "in", "undirected", "undirected"])) for i in range(200)]
+    fits = lambda p, a, b: (not p[2] or a in p[2]) and (not p[3] or b in p[3])
+    want = [(p[0], *x) for p in patterns for x in relations if p[1] in (None, x[1]) and ((p[4] != "in" and fits(p, x[0], x[2])) or (p[4] != "out" and fits(p, x[2], x[0])))]
+    out = units.match_relations(spark.createDataFrame(patterns, "pattern long, type string, lefts array<int>, rights array<int>, direction string"), spark.createDataFrame(relations, "source int, type string, target int"))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = _plan(out)
+    assert "Exchange hashpartitioning" not in plan and "Aggregate" not in plan
