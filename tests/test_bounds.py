@@ -81,3 +81,19 @@ def test_patterns_are_matched_where_they_lie(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     plan = _plan(out)
     assert "Exchange hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def test_thresholds_make_rows_of_questions_only(spark):
+    from graphloom.operators import metrics
+
+    r = random.Random(6)
+    rows = [(r.randrange(20), r.choice([0, 1, 1, None]), r.choice([None, 0.1, 0.3, 0.4, 0.9])) for _ in range(400)]
+    got = metrics.threshold_sweep(spark.createDataFrame(rows, "example_id long, label int, p_yes double"), [0.3, 0.5])
+    plan = _plan(got)
+    assert plan.index("Generate explode") < plan.index("hashpartitioning(example_id")
+    for x in got.collect():
+        n = lambda gold, yes, q=None: sum(1 for e, label, p in rows if label == gold and p is not None and (p >= x.threshold) == yes and q in (None, e))
+        ids = {e for e, _, _ in rows}
+        tp, fp, fn = n(1, True), n(0, True), n(1, False)
+        assert (x.questions, x.precision, x.recall) == (len(ids), 100 * (tp / (tp + fp)), 100 * (tp / (tp + fn)))
+        assert x.missing_pct == 100 * sum(n(1, False, q) > 0 for q in ids) / len(ids) and x.exact_pct == 100 * sum(n(1, False, q) == n(0, True, q) == 0 for q in ids) / len(ids)
