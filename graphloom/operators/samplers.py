@@ -33,9 +33,15 @@ def sample_distractors(pools: dict[str, list[str]], ends: dict[str, tuple[str, s
     pools: candidates by pool; ends: a relation's two nodes by its id. A relation costs itself and those
     of its ends that are missing, which then come along; one that no longer fits is passed over.
     """
-    left, have, out = {p: list(dict.fromkeys(pools.get(p, []))) for p in POOLS}, set(gold), []
+    return _sample({p: list(dict.fromkeys(pools.get(p, []))) for p in POOLS}, ends, gold, target, weights, draws)
+
+
+def _sample(pools: dict[str, list[str]], ends: dict[str, tuple[str, str]], gold: set[str], target: int, weights: dict[str, float], draws: Draws) -> list[str]:
+    """sample_distractors() of pools without repeats, which are only read: what is drawn from one is noted by its place."""
+    gone: dict[str, list[int]] = {p: [] for p in POOLS}
+    have, out = set(gold), []
     while len(out) < target:
-        open_ = [p for p in POOLS if left[p] and weights.get(p, 0) > 0]
+        open_ = [p for p in POOLS if len(gone[p]) < len(pools[p]) and weights.get(p, 0) > 0]
         if not open_:
             break
         at, chosen = draws.next() * sum(weights[p] for p in open_), open_[-1]
@@ -44,7 +50,7 @@ def sample_distractors(pools: dict[str, list[str]], ends: dict[str, tuple[str, s
             if at < 0:
                 chosen = p
                 break
-        unit = left[chosen].pop(draws.pick(len(left[chosen])))
+        unit = pools[chosen][_take(gone[chosen], draws.pick(len(pools[chosen]) - len(gone[chosen])))]
         if unit in have:
             continue
         added = [n for n in dict.fromkeys(ends.get(unit, ())) if n not in have] + [unit]
@@ -54,6 +60,28 @@ def sample_distractors(pools: dict[str, list[str]], ends: dict[str, tuple[str, s
     return out
 
 
+def _take(gone: list[int], k: int) -> int:
+    """The place of what is the k-th, from 0, without the places in gone, a sorted list that it joins."""
+    for i, g in enumerate(gone):
+        if g > k:
+            gone.insert(i, k)
+            return k
+        k += 1
+    gone.append(k)
+    return k
+
+
+def shared_distractor_udf(pools: dict[str, list[str]], ends: dict[str, tuple[str, str]], target: int, weights: dict[str, float], seed: int):
+    """distractor_udf() for rows of one schema, whose pools and relations travel once with the function: a column function (key, gold)."""
+    fixed = {p: list(dict.fromkeys(pools.get(p, []))) for p in POOLS}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(key: pd.Series, gold: pd.Series) -> pd.Series:
+        return pd.Series([_sample(fixed, ends, set(g), target, weights, Draws(seed, str(k))) for k, g in zip(key, gold)])
+
+    return run
+
+
 def distractor_udf(target: int, weights: dict[str, float], seed: int):
     """A column function (key, hard, neighbor, lexical, random, gold, relations) -> array of unit ids."""
 

@@ -97,3 +97,34 @@ def test_thresholds_make_rows_of_questions_only(spark):
         tp, fp, fn = n(1, True), n(0, True), n(1, False)
         assert (x.questions, x.precision, x.recall) == (len(ids), 100 * (tp / (tp + fp)), 100 * (tp / (tp + fn)))
         assert x.missing_pct == 100 * sum(n(1, False, q) > 0 for q in ids) / len(ids) and x.exact_pct == 100 * sum(n(1, False, q) == n(0, True, q) == 0 for q in ids) / len(ids)
+
+
+def test_shared_pools_draw_as_pools_of_each_row(spark):
+    from graphloom.operators import samplers
+
+    pools = {"hard": ["r1", "r2", "r1"], "neighbor": ["a", "e", "f"], "random": ["a", "b", "c", "d", "r1", "r2", "r3"]}
+    ends = {"r1": ("a", "b"), "r2": ("c", "d"), "r3": ("a", "c")}
+    weights = {"hard": 2.0, "neighbor": 1.0, "lexical": 1.0, "random": 0.5}
+
+    def drawn(gold, target, draws):
+        """As a list for each pool that shrinks."""
+        left, have, out = {p: list(dict.fromkeys(pools.get(p, []))) for p in samplers.POOLS}, set(gold), []
+        while len(out) < target and (open_ := [p for p in samplers.POOLS if left[p]]):
+            at, chosen = draws.next() * sum(weights[p] for p in open_), open_[-1]
+            for p in open_:
+                at -= weights[p]
+                if at < 0:
+                    chosen = p
+                    break
+            unit = left[chosen].pop(draws.pick(len(left[chosen])))
+            added = [n for n in dict.fromkeys(ends.get(unit, ())) if n not in have] + [unit]
+            if unit not in have and len(out) + len(added) <= target:
+                out += added
+                have.update(added)
+        return out
+
+    golds = [(i, sorted(random.Random(i).sample("abcdef", i % 4))) for i in range(200)]
+    run = samplers.shared_distractor_udf(pools, ends, 4, weights, 7)
+    got = spark.createDataFrame(golds, "id long, gold array<string>").select("id", run("id", "gold").alias("d")).collect()
+    assert {r.id: r.d for r in got} == {i: drawn(g, 4, samplers.Draws(7, str(i))) for i, g in golds}
+    assert all(samplers.sample_distractors(pools, ends, set(g), 6, weights, samplers.Draws(1, str(i))) == drawn(g, 6, samplers.Draws(1, str(i))) for i, g in golds)
