@@ -15,7 +15,8 @@ def grouped_pairs(left: DataFrame, right: DataFrame, group: str, left_key: str,
     """
     both = left.join(right.select(place, *[c for c in right.columns if c != place and c not in left.columns]), place, "full")
     same = F.bool_and(F.col(left_key).eqNullSafe(F.col(right_key)))
-    per = both.groupBy(group).agg(F.count("*").alias("units"), F.min(place).alias("first"), F.max(place).alias("last"), *sums, same.alias("agrees"))
+    # Rows of a group come together before they are summed: a task then holds an entry for each group, not for nearly each row.
+    per = both.repartition(group).groupBy(group).agg(F.count("*").alias("units"), F.min(place).alias("first"), F.max(place).alias("last"), *sums, same.alias("agrees"))
     return per.withColumn("contiguous", F.col("last") - F.col("first") + 1 == F.col("units")).drop("last")
 
 

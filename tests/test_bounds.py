@@ -128,3 +128,13 @@ def test_shared_pools_draw_as_pools_of_each_row(spark):
     got = spark.createDataFrame(golds, "id long, gold array<string>").select("id", run("id", "gold").alias("d")).collect()
     assert {r.id: r.d for r in got} == {i: drawn(g, 4, samplers.Draws(7, str(i))) for i, g in golds}
     assert all(samplers.sample_distractors(pools, ends, set(g), 6, weights, samplers.Draws(1, str(i))) == drawn(g, 6, samplers.Draws(1, str(i))) for i, g in golds)
+
+
+def test_groups_come_together_before_they_are_summed(spark):
+    from graphloom.operators import selection
+
+    left = spark.createDataFrame([(0, "a", "x"), (1, "a", "y"), (2, "b", "z")], "i long, g string, k string")
+    right = spark.createDataFrame([(0, "x"), (1, "y"), (2, "q"), (3, "r")], "i long, o string")
+    out = selection.grouped_pairs(left, right, "g", "k", "o", [F.count("o").alias("n")])
+    assert {r.g: (r.units, r.n, r.contiguous, r.agrees) for r in out.collect()} == {"a": (2, 2, True, True), "b": (1, 1, True, False), None: (1, 1, True, False)}
+    assert "REPARTITION_BY_COL" in _plan(out)
