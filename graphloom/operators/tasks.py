@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +49,24 @@ def task_metrics(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    read = Tokenizer.from_file(path)
+    read.encode_special_tokens = True
+    return read
+
+
 def token_counter(path: str):
-    """A column function: how many tokens a text has by the tokenizer file at path, special strings as ordinary text. A worker reads the file once."""
+    """A column function: how many tokens a text has by the tokenizer file at path, special strings as ordinary text. A worker reads the file once.
 
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
+    Texts go through one by one: what a worker holds depends on the longest text, not on how many an Arrow batch would take.
+    """
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        for texts in batches:
-            found = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-            yield pd.Series([len(x.ids) for x in found], dtype="int32")
+    @F.udf("int", useArrow=False)
+    def count(text: str | None) -> int:
+        return len(_tokenizer(path).encode(text or "", add_special_tokens=False))
 
     return count
 

@@ -138,3 +138,18 @@ def test_groups_come_together_before_they_are_summed(spark):
     out = selection.grouped_pairs(left, right, "g", "k", "o", [F.count("o").alias("n")])
     assert {r.g: (r.units, r.n, r.contiguous, r.agrees) for r in out.collect()} == {"a": (2, 2, True, True), "b": (1, 1, True, False), None: (1, 1, True, False)}
     assert "REPARTITION_BY_COL" in _plan(out)
+
+
+def test_texts_are_counted_one_by_one(spark):
+    import public_tokenizers
+
+    from graphloom.operators import tasks
+
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["", "one two <|im_end|> three", None, "é " * 50]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tasks.token_counter(path)("t").alias("n"))
+    assert "ArrowEvalPython" not in _plan(out) and "BatchEvalPython" in _plan(out)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    assert {r.i: r.n for r in out.collect()} == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
