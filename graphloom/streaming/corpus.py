@@ -64,9 +64,26 @@ def _of(kind: str) -> Column:
     return F.filter("gold", lambda u: F.startswith(u, F.lit(f"{kind}:")))
 
 
-def _labelled(keep: Column) -> Column:
-    """(unit_id, unit_type, label) of the schema's units that are kept, in canonical order."""
-    return F.transform(F.filter("schema_units", lambda u: F.array_contains(keep, u)), lambda u: F.struct(u.alias("unit_id"), F.split_part(u, F.lit(":"), F.lit(1)).alias("unit_type"), F.array_contains("gold", u).cast("int").alias("label")))
+def _labelled(others: Column) -> Column:
+    """(unit_id, unit_type, label) of the gold units and of others, each in canonical order. Sets are told apart by hashing: no unit is sought among all."""
+    unit = lambda label: lambda u: F.struct(u.alias("unit_id"), F.split_part(u, F.lit(":"), F.lit(1)).alias("unit_type"), F.lit(label).alias("label"))
+    return F.concat(F.transform("gold", unit(1)), F.transform(others, unit(0)))
+
+
+def _units(negative_ratio: float | None, seed: int) -> tuple[Column, Column, Column]:
+    """Units of a selection row, whether an example goes to inference, and its units there; labels there only where the gold ones are whole."""
+    every = F.array_compact(F.array_except("schema_units", "gold"))
+    others = every
+    if negative_ratio is not None:
+        drawn = F.array_sort(F.transform(every, lambda u: F.struct(draw(seed, *map(F.col, KEY), u).alias("d"), u.alias("u"))))
+        others = F.transform(F.slice(drawn, F.lit(1), F.bround(F.size("gold") * F.lit(float(negative_ratio))).cast("int")), lambda x: x.u)
+    test = (F.col("split") == "test") & ~(_blank("question") | _blank("cypher")) & (F.size("schema_units") > 0)
+    told = F.transform(_labelled(every), lambda x: F.struct(x.unit_id.alias("unit_id"), x.unit_type.alias("unit_type"), F.when(_told(), x.label).alias("label")))
+    return _labelled(others), test, told
+
+
+def _told() -> Column:
+    return (F.size("gold") > 0) & F.col("whole")
 
 
 def outputs(rows: DataFrame, negative_ratio: float | None = None, seed: int = 42) -> dict[str, DataFrame]:
@@ -76,17 +93,12 @@ def outputs(rows: DataFrame, negative_ratio: float | None = None, seed: int = 42
     Test examples with question, query and schema go to inference whatever their gold; gold columns and labels only where it is whole.
     """
     usable, context = rows.where("reason is null"), [*KEY, "schema_id", "question"]
-    others = F.array_except("schema_units", "gold")
-    if negative_ratio is not None:
-        drawn = F.array_sort(F.transform(others, lambda u: F.struct(draw(seed, *map(F.col, KEY), u).alias("d"), u.alias("u"))))
-        others = F.transform(F.slice(drawn, F.lit(1), F.bround(F.size("gold") * F.lit(float(negative_ratio))).cast("int")), lambda x: x.u)
+    selected, tested, told = _units(negative_ratio, seed)
     exploded = lambda df, units: df.select(*context, F.explode(units).alias("x")).select(*context, "x.*")
-    test = rows.where((F.col("split") == "test") & ~(_blank("question") | _blank("cypher")) & (F.size("schema_units") > 0))
-    gold = (F.size("gold") > 0) & F.col("whole")
-    told = F.transform(_labelled(F.col("schema_units")), lambda x: F.struct(x.unit_id.alias("unit_id"), x.unit_type.alias("unit_type"), F.when(gold, x.label).alias("label")))
+    test, gold = rows.where(tested), _told()
     made = {
         "generation": usable.select(*CONTEXT, _of("node").alias("nodes"), _of("relation").alias("relations")),
-        "selection": exploded(usable, _labelled(F.concat("gold", others))),
+        "selection": exploded(usable, selected),
         "rejected": rows.where("reason is not null").select(*CONTEXT, "reason"),
         "issues": rows.select(*KEY, "schema_id", F.explode("issues").alias("issue")),
         "inference_generation": test.select(*CONTEXT, gold.alias("gold_available"), F.when(gold, _of("node")).alias("nodes"), F.when(gold, _of("relation")).alias("relations")),
@@ -123,6 +135,19 @@ def counts(made: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def counted(rows: DataFrame, negative_ratio: float | None = None, seed: int = 42) -> DataFrame:
+    """counts() of the outputs() of routed examples in one pass, by the sizes of what an example gives to each output."""
+    selected, test, told = _units(negative_ratio, seed)
+    usable, issues = F.col("reason").isNull(), F.coalesce(F.greatest(F.size("issues"), F.lit(0)), F.lit(0))
+    one = lambda held: (F.lit(1), None, held)
+    many = lambda units, held: (F.size(units), F.size(F.filter(units, lambda x: x.label == 1)), held)
+    given = {"generation": one(usable), "selection": many(selected, usable), "rejected": one(~usable), "issues": (issues, None, F.lit(True)), "inference_generation": one(test), "inference_selection": many(told, test)}
+    held = lambda c, of: F.when(of, c).otherwise(0).cast("long")
+    each = [F.struct(F.lit(name).alias("output"), held(n, of).alias("n"), (F.lit(None).cast("long") if labelled is None else held(labelled, of)).alias("labelled")) for name, (n, labelled, of) in given.items()]
+    sums = rows.select("source", "split", F.explode(F.array(*each)).alias("x")).select("source", "split", "x.*").groupBy("source", "split", "output")
+    return sums.agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled")).where("n > 0")
+
+
 def read_outputs(spark, path: str) -> dict[str, DataFrame]:
     """What build_stream() has committed."""
     return {name: versions.read_log(spark, f"{path}/{name}", schema).drop("batch") for name, schema in OUTPUTS.items()}

@@ -153,3 +153,18 @@ def test_texts_are_counted_one_by_one(spark):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     assert {r.i: r.n for r in out.collect()} == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_corpus_is_counted_in_one_pass(spark):
+    from graphloom.streaming import corpus
+
+    schemas = spark.createDataFrame([("s", ["node:a", "node:b", "relation:a|r|b"]), ("t", ["node:c"])], "schema_id string, units array<string>")
+    kinds = [(s, u, c, sp) for s in ("s", "t", "none") for u in (["node:a"], None, ["node:x", "node:c"]) for c in (True, None) for sp in ("test", "train")]
+    rows = [(f"e{i}", sp, "g", s, "q" if i % 5 else "", "c", u, c, [None, [], ["x", "y"]][i % 3]) for i, (s, u, c, sp) in enumerate(kinds)]
+    examples = spark.createDataFrame(rows, "example_id string, split string, graph string, schema_id string, question string, cypher string, units array<string>, complete boolean, issues array<string>")
+    for strict in (True, False):
+        for ratio in (None, 1.0):
+            routed = corpus.routed(corpus.union({"one": examples, "two": examples.limit(5)}), schemas, strict)
+            got = corpus.counted(routed, ratio)
+            assert sorted(got.collect(), key=repr) == sorted(corpus.counts(corpus.outputs(routed, ratio)).collect(), key=repr)
+            assert _plan(corpus.counted(routed, ratio)).count("Scan ExistingRDD") <= 3
