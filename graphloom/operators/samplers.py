@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import insort
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import staging
+from .sampling import number
+
 POOLS = ("hard", "neighbor", "lexical", "random")
 
 
@@ -126,20 +130,111 @@ def choose_pairs(rows: list[tuple[str, str, int]], n_pairs: int, draws: Draws) -
     return out
 
 
+def _at(gone: list[int], k: int) -> int:
+    """The place of what is the k-th, from 0, without the places in gone, a sorted list."""
+    for g in gone:
+        if g > k:
+            break
+        k += 1
+    return k
+
+
+def reachable(sizes: dict[str | None, int], n_pairs: int, draws: Draws) -> set[tuple[str | None, int]]:
+    """(unit, place): where choose_pairs() may look in the sorted lists of questions with a positive unit, or of all (None).
+
+    The t-th draw falls on a list that has lost at most t questions, so its place is known but for t. A unit of
+    more than n_pairs questions is never passed over: only rarer ones, whose lists count whole, leave t open.
+    """
+    u = [draws.next() for _ in range(n_pairs)]
+    order = sorted((c, unit) for unit, c in sizes.items() if unit is not None)
+    rare = [unit for c, unit in order if c <= n_pairs]
+    out = {(unit, k) for unit in rare for k in range(sizes[unit])}
+    for j, (c, unit) in enumerate(order[len(rare) :]):
+        for t in range(j, min(n_pairs, len(rare) + j + 1)):
+            out |= {(unit, k) for k in range(int(u[t] * (c - t)), min(c, int(u[t] * c) + t + 1))}
+    total = sizes.get(None, 0)
+    for t in range(min(n_pairs, len(order) - len(rare)), min(n_pairs, total)):
+        k = int(u[t] * (total - t))
+        out |= {(None, x) for x in range(k, min(total, k + t + 1))}
+    return out
+
+
+def choose_listed(count: tuple[dict[str, int], dict[str, int]], total: int, listed: list[tuple[str | None, int, str]], rows: list[tuple[str, str, int]], n_pairs: int, draws: Draws) -> list[tuple[str, str, str]]:
+    """choose_pairs() where only the questions that reachable() leads to are at hand.
+
+    count: by unit, the questions with both labels that have it as positive, as negative; total: all of them; listed: (unit, place, question) of those at hand.
+    """
+    by, at, places, gone = defaultdict(lambda: ([], [])), {}, defaultdict(dict), defaultdict(list)
+    for question, unit, label in sorted(rows):
+        by[question][1 - label].append(unit)
+    for unit, place, question in listed:
+        at[unit, place] = question
+        places[question][unit] = place
+    covered: tuple[set, set] = (set(), set())
+    out = []
+
+    def drawn(unit: str | None, free: int) -> str:
+        return at[unit, _at(gone[unit], draws.pick(free))]
+
+    def take(question: str, positive: str) -> None:
+        negative = min(by[question][1], key=lambda u: (u in covered[1], count[1][u], u))
+        covered[0].add(positive)
+        covered[1].add(negative)
+        out.append((question, positive, negative))
+        for unit, place in places[question].items():
+            insort(gone[unit], place)
+
+    for unit in sorted(count[0], key=lambda u: (count[0][u], u)):
+        if len(out) < n_pairs and (free := count[0][unit] - len(gone[unit])):
+            take(drawn(unit, free), unit)
+    while len(out) < min(n_pairs, total):
+        question = drawn(None, total - len(out))
+        take(question, min(by[question][0], key=lambda u: (u in covered[0], count[0][u], u)))
+    return out
+
+
 def contrast_sample(rows: DataFrame, graph: str, question: str, unit: str, label: str, pairs_per_graph: int, seed: int) -> DataFrame:
-    """Covering contrast pairs for each graph: (graph, question, positive, negative).
+    """Covering contrast pairs for each graph: (graph, question, positive, negative), as choose_pairs() gives them.
 
-    A graph's rows are one schema's questions; the greedy choice over them is sequential.
+    The greedy choice is sequential, but looks at few questions: the sorted lists of questions of each unit are numbered by Spark, and
+    what draws can reach in them, by the lists' lengths, goes to one function for each graph: about pairs_per_graph squared questions and those of
+    rare units, whatever the number of rows.
     """
-    names = (graph, question, unit, label)
-    kind = f"{graph} string, {question} string, positive string, negative string"
+    text = rows.select(*[F.col(c).cast("int" if c == label else "string").alias(n) for c, n in ((graph, "g"), (question, "q"), (unit, "u"), (label, "l"))])
+    both = text.groupBy("g", "q").agg(F.bool_or(F.col("l") == 1).alias("p"), F.bool_or(F.col("l") == 0).alias("n")).where("p and n")
+    fit = staging.kept(text.join(both.select("g", "q"), ["g", "q"], "left_semi").distinct(), "fit")
+    lists = fit.where("l = 1").select("g", "u", "q").unionByName(fit.select("g", F.lit(None).cast("string").alias("u"), "q").distinct())
+    numbered = number(lists, ["g", "u", "q"])
+    sizes = numbered.groupBy("g", "u").agg(F.min("i").alias("start"), F.count("*").alias("n"))
+
+    def looked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = dict(zip(pdf.u, pdf.start))
+        found = reachable(dict(zip(pdf.u, pdf.n)), pairs_per_graph, Draws(seed, str(key[0])))
+        return pd.DataFrame({"i": sorted(int(starts[u]) + k for u, k in found)}, dtype="int64")
+
+    places = sizes.groupBy("g").applyInPandas(looked, "i long")
+    near = staging.kept(numbered.join(places, "i").select("g", "q").distinct(), "near")
+    none = lambda kind: F.lit(None).cast(kind)
+    start = sizes.select(F.col("g").alias("h"), F.col("u").alias("v"), "start")
+    own = numbered.join(near, ["g", "q"], "left_semi").join(start, (F.col("h") == F.col("g")) & F.col("v").eqNullSafe(F.col("u"))).select("g", "q", "u", none("int").alias("l"), (F.col("i") - F.col("start")).alias("n"))
+    counted = fit.groupBy("g", "u", "l").agg(F.count("*").alias("n")).unionByName(sizes.where("u is null").select("g", "u", F.lit(1).alias("l"), "n"))
+    at_hand = fit.join(near, ["g", "q"], "left_semi").withColumn("n", none("long")).unionByName(own).unionByName(counted.select("g", none("string").alias("q"), "u", "l", "n"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        picked = choose_pairs(list(zip(pdf[question], pdf[unit], pdf[label].astype(int))), pairs_per_graph, Draws(seed, str(key[0])))
+        count, total, listed, held = ({}, {}), 0, [], []
+        for q, u, l, n in zip(pdf.q, pdf.u, pdf.l, pdf.n):
+            if q is None and u is None:
+                total = int(n)
+            elif q is None:
+                count[1 - int(l)][u] = int(n)
+            elif pd.isna(n):
+                held.append((q, u, int(l)))
+            else:
+                listed.append((u, int(n), q))
+        picked = choose_listed(count, total, listed, held, pairs_per_graph, Draws(seed, str(key[0])))
         return pd.DataFrame([(key[0], *p) for p in picked], columns=[graph, question, "positive", "negative"])
 
-    text = rows.select(*[F.col(c).cast("int" if c == label else "string").alias(c) for c in names])
-    return text.groupBy(graph).applyInPandas(run, kind)
+    return at_hand.groupBy("g").applyInPandas(run, f"{graph} string, {question} string, positive string, negative string")
 
 
 def pair_competitors(pairs: list[tuple[str, str, str]], rows: list[tuple[str, str, int]], kind: dict[str, str], competes, draws: Draws) -> tuple[list[tuple[str, str, str]], dict[str, int]]:

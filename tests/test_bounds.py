@@ -168,3 +168,17 @@ def test_corpus_is_counted_in_one_pass(spark):
             got = corpus.counted(routed, ratio)
             assert sorted(got.collect(), key=repr) == sorted(corpus.counts(corpus.outputs(routed, ratio)).collect(), key=repr)
             assert _plan(corpus.counted(routed, ratio)).count("Scan ExistingRDD") <= 3
+
+
+def test_contrast_pairs_are_those_of_a_loop_over_all_rows(spark, monkeypatch):
+    from graphloom.operators import samplers
+
+    r, rows = random.Random(9), []
+    for g, units, questions in (("a", 8, 300), ("b", 40, 60), ("c", 3, 5), ("d", 4, 90)):
+        rows += [(g, f"q{r.randrange(questions)}", f"u{int(units * r.random() ** 2)}", int(r.random() < 0.4)) for _ in range(questions * 4)]
+    for n in (1, 12, 40):
+        want = {(g, *p) for g in "abcd" for p in samplers.choose_pairs([x[1:] for x in rows if x[0] == g], n, samplers.Draws(5, g))}
+        out = samplers.contrast_sample(spark.createDataFrame(rows, "g string, q string, u string, l int"), "g", "q", "u", "l", n, 5)
+        assert {tuple(x) for x in out.collect()} == want and out.columns == ["g", "q", "positive", "negative"]
+    # Of long lists little is at hand.
+    assert len(samplers.reachable({None: 10**6, **{f"u{i}": 10**5 + i for i in range(60)}}, 40, samplers.Draws(1, "g"))) <= 40 * 40
