@@ -18,15 +18,15 @@ from ..sources import staging
 from .sampling import draw
 
 
-def settle(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def settle(edges: DataFrame, max_rounds: int = 1000, kept: bool = False) -> DataFrame:
     """(taker, thing) for every taker that gets something.
 
     edges: taker, turn (smaller: earlier; one for each taker), thing, wish (smaller: better; among a taker's rows no two alike). Any types
-    that have an order. Equals the loop over takers by turn in which each takes the thing of its smallest wish that is not taken yet.
+    that have an order. kept: edges are a table of staging.kept(), which is read as it is and stays. Equals the loop over takers by turn in which each takes the thing of its smallest wish that is not taken yet.
     """
-    left = staging.kept(edges.select("taker", "turn", "thing", "wish"), "edges")
+    left = edges if kept else staging.kept(edges.select("taker", "turn", "thing", "wish"), "edges")
     holds = staging.kept(left.limit(0).select("thing", "taker", "turn"), "holds")
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         idle = left.join(holds.select("taker"), "taker", "left_anti")
         asks = idle.groupBy("taker").agg(F.min(F.struct("wish", "thing", "turn")).alias("b")).select("b.thing", "taker", "b.turn")
         after = holds.select("thing", "taker", "turn").unionByName(asks).groupBy("thing").agg(F.min(F.struct("turn", "taker")).alias("h"), F.count("*").alias("n"))
@@ -35,12 +35,18 @@ def settle(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
             return now.select("taker", "thing")
         rest = left.join(now.select("thing", F.col("turn").alias("held")), "thing", "left").where("held is null or turn < held").drop("held")
         rest = staging.kept(rest, "edges")
-        staging.forget(left)
+        if i or not kept:
+            staging.forget(left)
         staging.forget(holds)
         left, holds = rest, now
     raise RuntimeError(f"choices did not settle in {max_rounds} rounds")
 
 
+def _drawn(seed: int, *keys: str) -> Column:
+    """draw() as 16 bytes in place of 32 signs, in the same order."""
+    return F.unhex(draw(seed, *keys))
+
+
 def _whole(columns: list[str]) -> Column:
     return F.struct(*columns)
 
@@ -58,11 +64,12 @@ def choose(rows: DataFrame, example: list[str], unit: list[str], seed: int, turn
     one, else one of all its units; the rarest of them, ties at random by seed. first: whether none before it took the unit. Nulls are values
     like others; repeated rows count once; no rows give none.
     """
-    turn = F.struct((draw(seed, *example) if turn is None else turn).alias("t"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(example)])
-    own = frequencies(rows.withColumn("turn_", turn), [*example, "turn_"], unit)
-    edges = own.select(_whole(example).alias("taker"), F.col("turn_").alias("turn"), _whole(unit).alias("thing"), F.struct("f", draw(seed, *example, *unit).alias("d"), *unit).alias("wish"))
+    # A turn of random order follows from the example, so it is made after rows have moved.
+    own = frequencies(rows, example, unit) if turn is None else frequencies(rows.withColumn("turn_", turn), [*example, "turn_"], unit)
+    turn = F.struct((_drawn(seed, *example) if turn is None else F.col("turn_")).alias("t"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(example)])
+    edges = own.select(_whole(example).alias("taker"), turn.alias("turn"), _whole(unit).alias("thing"), F.struct("f", _drawn(seed, *example, *unit).alias("d"), *unit).alias("wish"))
     edges = staging.kept(edges, "choices")
-    got = settle(edges).withColumn("first", F.lit(True))
+    got = settle(edges, kept=True).withColumn("first", F.lit(True))
     best = edges.groupBy("taker").agg(F.min(F.struct("wish", "thing")).alias("b")).select("taker", F.col("b.thing").alias("any_"))
     out = best.join(got, "taker", "left").select("taker", F.coalesce("thing", "any_").alias("thing"), F.coalesce("first", F.lit(False)).alias("first"))
     return out.select("taker.*", "thing.*", "first")
@@ -75,7 +82,7 @@ def cover(rows: DataFrame, example: list[str], unit: list[str], seed: int) -> Da
     before it took. A unit that finds none is left out: see uncovered().
     """
     own = frequencies(rows, example, unit)
-    edges = own.select(_whole(unit).alias("taker"), F.struct("f", *unit).alias("turn"), _whole(example).alias("thing"), F.struct(draw(seed, *example, *unit).alias("d"), *example).alias("wish"))
+    edges = own.select(_whole(unit).alias("taker"), F.struct("f", *unit).alias("turn"), _whole(example).alias("thing"), F.struct(_drawn(seed, *example, *unit).alias("d"), *example).alias("wish"))
     return settle(edges).select("thing.*", "taker.*")
 
 

@@ -182,3 +182,15 @@ def test_contrast_pairs_are_those_of_a_loop_over_all_rows(spark, monkeypatch):
         assert {tuple(x) for x in out.collect()} == want and out.columns == ["g", "q", "positive", "negative"]
     # Of long lists little is at hand.
     assert len(samplers.reachable({None: 10**6, **{f"u{i}": 10**5 + i for i in range(60)}}, 40, samplers.Draws(1, "g"))) <= 40 * 40
+
+
+def test_choices_are_written_once_and_short(spark, monkeypatch):
+    from graphloom.operators import covering
+
+    written, kept = [], covering.staging.kept
+    monkeypatch.setattr(covering.staging, "kept", lambda df, name: (written.append((name, dict(df.dtypes))), kept(df, name))[1])
+    rows = spark.createDataFrame([(e, u) for e in range(20) for u in range(e % 3, 6)], "e int, u int")
+    out = covering.choose(rows, ["e"], ["u"], 3)
+    assert out.count() == 20 and out.where("first").count() == 6
+    assert written[0][0] == "choices" and written[1][0] == "holds"
+    assert "t:binary" in written[0][1]["turn"] and "d:binary" in written[0][1]["wish"]
