@@ -194,3 +194,16 @@ def test_choices_are_written_once_and_short(spark, monkeypatch):
     assert out.count() == 20 and out.where("first").count() == 6
     assert written[0][0] == "choices" and written[1][0] == "holds"
     assert "t:binary" in written[0][1]["turn"] and "d:binary" in written[0][1]["wish"]
+
+
+def test_examples_and_units_meet_without_another_shuffle(spark):
+    from graphloom.operators import distractors
+
+    units = spark.createDataFrame([("s", "node:a", "node", "a", ["p"], None, None), ("s", "relation:a|p|a", "relation", "p", [], "node:a", "node:a")], "schema_id string, unit string, kind string, name string, properties array<string>, source string, target string")
+    gold = spark.createDataFrame([(0, "s", "node:a")], "turn int, schema_id string, unit string")
+    examples = spark.createDataFrame([(0, "s", "what is pp")], "turn int, schema_id string, question string")
+    met = distractors.asked(examples, gold, units, ["turn"]).join(distractors.unit_index(units), list(distractors.MEET))
+    met.collect()
+    final = _plan(met).split("== Initial Plan ==")[0]
+    by_key = [x for x in final.splitlines() if "Exchange hashpartitioning(schema_id" in x and "by#" in x and "value#" in x]
+    assert len(by_key) == 2 and all("REPARTITION_BY_COL" in x for x in by_key)
