@@ -1,7 +1,9 @@
 """Memory, time and shuffles that must not outgrow the input: how plans are made, beside what they give."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -207,3 +209,12 @@ def test_examples_and_units_meet_without_another_shuffle(spark):
     final = _plan(met).split("== Initial Plan ==")[0]
     by_key = [x for x in final.splitlines() if "Exchange hashpartitioning(schema_id" in x and "by#" in x and "value#" in x]
     assert len(by_key) == 2 and all("REPARTITION_BY_COL" in x for x in by_key)
+
+
+@pytest.mark.parametrize("name", ["augmented_examples"])
+def test_what_examples_and_units_share_is_not_shuffled(spark, name):
+    from graphloom.plans import augmenting
+
+    plan = _plan(getattr(augmenting, name)(spark, "/root/testdata/sf0.001"))
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and {re.sub(r"#\w+", "", x) for x in dealt} == {"schema_id", "schema_id, slice"}
