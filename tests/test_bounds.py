@@ -211,7 +211,7 @@ def test_examples_and_units_meet_without_another_shuffle(spark):
     assert len(by_key) == 2 and all("REPARTITION_BY_COL" in x for x in by_key)
 
 
-@pytest.mark.parametrize("name", ["distractor_pools", "augmented_examples"])
+@pytest.mark.parametrize("name", ["distractor_pools", "distractor_pool_sizes", "augmented_examples"])
 def test_what_examples_and_units_share_is_not_shuffled(spark, name):
     from graphloom.plans import augmenting
 
